@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocktide.llm.common import slices, with_fields
+from stocktide.llm.common import lowest_by_hash, slices, with_fields
 
 WORD = re.compile(r"\w+")
 CHAIN = 64
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # Twice as many ids as are kept, for those whose text is missing or too long.
     pick = None
     for kind in (0, 1):
-        part = marked.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample_rows)
+        part = lowest_by_hash(marked.where(F.col("toxic") == kind), ["doc_id"], 2 * sample_rows)
         pick = part if pick is None else pick.unionAll(part)
     texts = docs.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= sample_bytes)).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(pick), "doc_id").select("toxic", "doc_id", "text").collect()  # at most 4 * sample_rows ids
