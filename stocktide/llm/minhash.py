@@ -3,8 +3,8 @@
 Each distinct set of shingles gets a sketch of BINS bins from a single hash of every shingle; an empty bin borrows from the first
 filled bin in an order that hashes fix for it. Bands of ROWS bins are bucket keys. Within a bucket only
 star edges from a centre are candidates; full sets confirm them. Members that a star leaves outside its centre's group are tried
-again with the best-linked member as centre, and whatever is still apart at the end meets every other group of
-its bucket, so no candidate link is lost. Components come from alternating large and small stars.
+again with the best-linked member as centre. What is still apart at the end is compared by whole sketches, in blocks
+of a bucket, and pairs that may reach the similarity are confirmed on full sets. Components come from alternating large and small stars.
 
 Cases: rows that share an id are one node; rows with null id link with nothing and are kept; texts without words
 (null ones too) have an empty set and link with nothing; equal sets are one node from the start, whatever
@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,8 @@ from stocktide.llm.common import slices, stored
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 POWER = np.uint64(0x9E3779B97F4A7C15)
-SKETCH = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>"
+SKETCH = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, sketch binary"
+BLOCK = 2000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,14 +126,16 @@ def sketch_rows(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 20):
             h, counts = shingle_hashes(batch.column("text").to_pylist(), words)
-            keys = band_keys(sketches(h, counts))
+            bins = sketches(h, counts)
+            keys = band_keys(bins)
+            short = (bins >> np.uint64(32)).astype(np.uint32)
             with np.errstate(over="ignore"):
                 ends = np.cumsum(counts)
                 sums = [np.r_[np.uint64(0), np.cumsum(x)] for x in (mix(h ^ POWER), mix(h * POWER + np.uint64(7)))]
                 s1, s2 = ((s[ends] - s[ends - counts]).view(np.int64) for s in sums)
             some = counts > 0
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some * BANDS)], pa.int32()), pa.array(keys[some].ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(s1), pa.array(s2), lists], names=["doc_id", "n_shingles", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(s1), pa.array(s2), lists, pa.array([x.tobytes() for x in short], pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SKETCH)
 
@@ -165,6 +169,35 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def alike(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket but different components whose whole sketches agree as pairs of the wanted similarity do
+    (3.5 standard deviations allowed). Members are compared in blocks, and only pairs that agree are given out, by
+    their first common band."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j, band = key[1], key[2], int(pdf["band"].iat[0])
+        pdf = pdf.sort_values("rep", ignore_index=True)
+        bins = np.frombuffer(b"".join(pdf["sketch"]), np.uint32).reshape(-1, BINS)
+        n, component, block, rep = (pdf[c].to_numpy() for c in ("n", "component", "block", "rep"))
+        out = []
+        for k in range(len(rep)):
+            rest = np.flatnonzero((component != component[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])) & (rep > rep[k] if i == j else (block == j) & (block[k] == i)))
+            if not len(rest):
+                continue
+            equal = bins[rest] == bins[k]
+            effective = np.minimum(BINS, 0.75 * np.minimum(n[rest], n[k]) + 1)
+            least = percent / 100 - 3.5 * np.sqrt(percent / 100 * (1 - percent / 100) / effective)
+            good = equal.mean(1) >= least
+            first = equal[good].reshape(-1, BANDS, ROWS).all(2).argmax(1)
+            out += [(min(int(rep[k]), int(rep[x])), max(int(rep[k]), int(rep[x]))) for x in rest[good][first == band]]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    blocks = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = open_.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.join(sketches, "rep").select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "band", "rep", "n", "component", "block", "sketch")
+    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge; the component is its smallest node.
 
@@ -190,11 +223,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     rows = stored(sketch_rows(docs, words, id_col, text_col), "sketches")
-    sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
-    sets = stored(sets.select("n_shingles", "s1", "s2", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")), "sets")
-    members = sets.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("m"))
+    sets = stored(sets.select("n_shingles", "s1", "s2", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands"), F.col("m.sketch").alias("sketch")), "sets")
+    members = sets.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("size")).where("size > 1").select("key", "centre")
-    close = stored(members.join(shared, "key"), "buckets")  # rep, n, key, centre
+    close = stored(members.join(shared, "key"), "buckets")  # rep, n, band, key, centre
     reps = close.select(F.col("rep").alias("doc_id")).distinct()
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = stored(base.join(reps, "doc_id", "left_semi"), "texts")
@@ -205,7 +238,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     links = stored(confirmed(tested, texts, words, percent), "links")
     for attempt in range(hub_rounds + 1):
         groups = components(links)
-        at = close.select("rep", "n", "key").join(groups, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        at = close.select("rep", "n", "band", "key").join(groups, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
         apart = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
         open_ = stored(at.join(apart, "key"), "open")
         if open_.isEmpty():
@@ -216,8 +249,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
             hub = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("low"), "rep", "n", "component")).alias("hub"))
             new = ranked.join(hub, "key").where("component != hub.component and 100 * least(n, hub.n) >= %d * greatest(n, hub.n)" % percent).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
         else:
-            other = open_.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-            new = open_.join(other, "key").where("rep < rep2 and component != component2 and 100 * least(n, n2) >= %d * greatest(n, n2)" % percent).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+            new = alike(open_, sets.select("rep", "sketch"), percent)
         new = stored(new.distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionAll(new)
         found = stored(confirmed(new, texts, words, percent), "links")

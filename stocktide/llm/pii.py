@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocktide.llm.common import slices, with_fields
+from stocktide.llm.common import lowest_by_hash, slices, with_fields
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.
@@ -187,7 +187,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     Labels: a base match is 1 if it passes its check, else 0; every other loose candidate is left out, for nobody labels it.
     """
     rows = docs.where((F.octet_length(text_col) <= sample_bytes) & F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).cast("string").alias("text"))
-    texts = [r["text"] for r in rows.orderBy(F.xxhash64("text"), "text").limit(sample_rows).collect()]
+    texts = [r["text"] for r in lowest_by_hash(rows, ["text"], sample_rows).collect()]
     x, y, fold = [], [], []
     for text in texts:
         for start, end, kind, ok in base_candidates(text):

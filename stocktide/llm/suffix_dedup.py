@@ -25,6 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,18 +210,37 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = text_bytes(base)
     chunks, buckets = max(12, math.ceil(size / CHUNK_BYTES)), max(12, math.ceil(size / BUCKET_BYTES))
-    rows = base.select(F.pmod(row_key("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), row_key("doc_id", "text").alias("rk"), F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    base = base.select(F.pmod(row_key("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), row_key("doc_id", "text").alias("rk"), F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), "text")
+    # A text that a smaller id has too goes as a whole; its windows needn't be looked at.
+    slim = base.where(F.octet_length("text") >= length).select("chunk", "rk", "doc_id", F.octet_length("text").cast("bigint").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    owners = slim.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("copies")).where("copies > 1").select("digest", "owner")
+    copies = stored(slim.join(owners, "digest").where("doc_id > owner").select("chunk", "rk", "n"), "copies")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            packed = pa.array([squeeze(x.as_buffer()) if x.is_valid else squeeze(b"") for x in batch.column("text").cast(pa.binary())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=batch.schema.names)
+
+    rows = base.mapInArrow(pack, "chunk int, rk bigint, doc_id bigint, text binary")
+
+    def unpacked(pdf: pd.DataFrame) -> pd.DataFrame:
+        open_ = zstandard.ZstdDecompressor().decompress
+        return pdf.assign(text=[open_(x) if x else b"" for x in pdf["text"]]).sort_values("rk", ignore_index=True)
 
     def runs_of(texts) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         for i, text in enumerate(texts):
             if text is not None and len(text) >= length:
                 yield (i, *minimizer_runs(text, length))
 
-    def survey(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def owners_only(pdf: pd.DataFrame, gone: set[int]) -> list[bytes | None]:
+        return [None if rk in gone else text for rk, text in zip(pdf["rk"].tolist(), pdf["text"])]
+
+    def survey(key: tuple, pdf: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
         """Distinct minimizers of a chunk by share; the lowest bit tells that two of its texts have it."""
-        each = [np.unique(h) for _, h, _, _ in runs_of(pdf["text"])]
+        each = [np.unique(h) for _, h, _, _ in runs_of(owners_only(unpacked(pdf), set(gone["rk"].tolist())))]
         if not each:
-            return pd.DataFrame({"share": [], "chunk": [], "hashes": []})
+            return pd.DataFrame({"share": [], "chunk": [], "hashes": []}, dtype="object")
         h, n = np.unique(np.concatenate(each) | np.uint64(1), return_counts=True)
         h = h ^ (n > 1).astype(np.uint64)  # bit 0 clear: in several
         share = ((h >> np.uint64(32)) * np.uint64(chunks) >> np.uint64(32)).astype(np.int64)
@@ -244,57 +265,87 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "hashes": out})
 
     def fragments(key: tuple, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        """Distinct fragments of a chunk under their bucket, with the texts and places that have them."""
-        names = ["bucket", "hot", "fragment", "least", "chunk", "rks", "ids", "places"]
-        if not len(texts) or not len(found):
+        """Distinct fragments of a chunk under their bucket, with the places (text of the chunk, byte) that have them;
+        the first `top` places are in texts of the least id."""
+        names = ["bucket", "hot", "fragment", "least", "chunk", "top", "places"]
+        some = found["hashes"].notna()
+        value = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in found["hashes"][some]])) if some.any() else np.zeros(0, np.uint64)
+        if not len(texts) or not len(value):
             return pd.DataFrame({x: [] for x in names})
-        value = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in found["hashes"]]))
-        ids = texts["doc_id"].to_numpy(np.int64)
-        rks = texts["rk"].to_numpy(np.int64)
-        places: dict[tuple[int, bool, bytes], list[tuple[int, int, int]]] = {}
-        for i, h, first, n in runs_of(texts["text"]):
-            text = texts["text"].iat[i]
-            at = np.minimum(np.searchsorted(value, h & ~np.uint64(1)), max(0, len(value) - 1))
-            match = (value[at] | np.uint64(1)) == (h | np.uint64(1)) if len(value) else np.zeros(len(h), bool)
-            for k in np.flatnonzero(match).tolist():
-                a, m = int(first[k]), int(n[k])
-                if int(value[at[k]]) & 1:
-                    for b in range(a, a + m):
-                        places.setdefault((0, True, text[b : b + length]), []).append((int(ids[i]), int(rks[i]), b))
-                else:
-                    places.setdefault((int((int(h[k]) >> 1) % buckets), False, text[a : a + m + length - 1]), []).append((int(ids[i]), int(rks[i]), a))
-        if not places:
-            return pd.DataFrame({x: [] for x in names})
-        cols = [np.array(x, np.int64) for x in places.values()]
-        return pd.DataFrame({"bucket": [k[0] for k in places], "hot": [k[1] for k in places], "fragment": [k[2] for k in places], "least": [int(c[:, 0].min()) for c in cols], "chunk": int(key[0]), "rks": [c[:, 1].tobytes() for c in cols], "ids": [c[:, 0].tobytes() for c in cols], "places": [c[:, 2].tobytes() for c in cols]})
+        texts = unpacked(texts)
+        ids, all_texts = texts["doc_id"].tolist(), owners_only(texts, set(found["rk"][~some].tolist()))
+        places: dict[bytes, list[int]] = {}
+        bucket_of: list[int] = []
+        for i, h, first, n in runs_of(all_texts):
+            text, high = all_texts[i], i << 32
+            at = np.minimum(np.searchsorted(value, h & ~np.uint64(1)), len(value) - 1)
+            match = np.flatnonzero((value[at] | np.uint64(1)) == (h | np.uint64(1)))
+            bucket = ((h[match] >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+            bucket[(value[at[match]] & np.uint64(1)) == 1] = -1
+            for a, m, b in zip(first[match].tolist(), n[match].tolist(), bucket.tolist()):
+                for x in range(a, a + m) if b < 0 else (a,):
+                    fragment = text[x : x + length] if b < 0 else text[a : a + m + length - 1]
+                    old = places.get(fragment)
+                    if old is None:
+                        places[fragment] = [high | x]
+                        bucket_of.append(b)
+                    else:
+                        old.append(high | x)
+        least, top, packed = [], [], []
+        for spots in places.values():
+            if len(spots) == 1:
+                least.append(ids[spots[0] >> 32])
+                top.append(1)
+                packed.append(spots[0].to_bytes(8, "little"))
+            else:
+                spots.sort(key=lambda x: (ids[x >> 32], x))
+                low = ids[spots[0] >> 32]
+                least.append(low)
+                top.append(sum(ids[x >> 32] == low for x in spots))
+                packed.append(np.array(spots, "<i8").tobytes())
+        bucket = np.array(bucket_of, np.int64)
+        return pd.DataFrame({"bucket": bucket, "hot": bucket < 0, "fragment": list(places), "least": least, "chunk": int(key[0]), "top": top, "places": packed})
+
+    def covered(chunk, spot, start, stop) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": chunk, "text": spot >> 32, "start": (spot & 0xFFFFFFFF) + start, "stop": (spot & 0xFFFFFFFF) + stop})
 
     def collection(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Bucket of fragments -> per chunk, the windows to remove: places (rk, first, windows) with their marks."""
+        """Bucket of fragments -> the bytes that go, by text of a chunk."""
         codes, distinct = pd.factorize(pdf["fragment"])
+        own_least = pdf["least"].to_numpy()
         least = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(least, codes, pdf["least"].to_numpy())
+        np.minimum.at(least, codes, own_least)
         flags = covered_windows(list(distinct), least, length)
-        out: list[tuple[int, int, int, int]] = []
-        for code, chunk, rks, ids, places in zip(codes, pdf["chunk"], pdf["rks"], pdf["ids"], pdf["places"]):
-            own = _spans(flags[code], length)
-            whole = np.array([[0, len(distinct[code])]])
-            for rk, i, p in zip(np.frombuffer(rks, np.int64).tolist(), np.frombuffer(ids, np.int64).tolist(), np.frombuffer(places, np.int64).tolist()):
-                for a, b in whole if i > least[code] else own:
-                    out.append((chunk, rk, p + int(a), p + int(b)))
-        return pd.DataFrame(out, columns=["chunk", "rk", "start", "stop"])
+        n = pdf["places"].map(len).to_numpy() // 8
+        spot = np.frombuffer(b"".join(pdf["places"]), "<i8")
+        code, chunk = np.repeat(codes, n), np.repeat(pdf["chunk"].to_numpy(), n)
+        nth = np.arange(len(spot)) - np.repeat(np.cumsum(n) - n, n)
+        # A text with a larger id than the fragment's least loses it all, one with the least id what the marks say.
+        whole = np.repeat(own_least > least[codes], n) | (nth >= np.repeat(pdf["top"].to_numpy(), n))
+        sizes = np.array([len(x) for x in distinct])
+        parts = [covered(chunk[whole], spot[whole], 0, sizes[code[whole]])]
+        for k in np.flatnonzero(~whole & np.array([f.any() for f in flags])[code]).tolist():
+            run = _spans(flags[code[k]], length)
+            parts.append(covered(chunk[k], np.repeat(spot[k], len(run)), run[:, 0], run[:, 1]))
+        return pd.concat(parts, ignore_index=True)
 
     def strip(key: tuple, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        texts = unpacked(texts) if len(texts) else texts
+        rks = texts["rk"].to_numpy(np.int64)
+        whole, part = found[found["text"] < 0], found[found["text"] >= 0]
+        gone = set(whole["rk"].tolist())
         by: dict[int, np.ndarray] = {}
-        if len(found):
-            found = found.sort_values(["rk", "start"])
-            rk = found["rk"].to_numpy()
-            cut = np.flatnonzero(np.r_[True, rk[1:] != rk[:-1]])
-            spans = found[["start", "stop"]].to_numpy()
-            by = {int(rk[a]): spans[a:b] for a, b in zip(cut, np.r_[cut[1:], len(rk)])}
+        if len(part):
+            part = part.sort_values(["text", "start"])
+            of = rks[part["text"].to_numpy()]
+            cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            spans = part[["start", "stop"]].to_numpy(np.int64)
+            for a, b in zip(cut.tolist(), np.r_[cut[1:], len(of)].tolist()):
+                by[int(of[a])] = np.concatenate([by[int(of[a])], spans[a:b]]) if int(of[a]) in by else spans[a:b]
         out = []
-        for i, rk, text in zip(texts["doc_id"], texts["rk"], texts["text"]):
-            runs: list[list[int]] = []
-            for a, b in by.get(int(rk), np.zeros((0, 2), np.int64)).tolist():
+        for i, rk, text in zip(texts["doc_id"].tolist(), rks.tolist(), texts["text"]):
+            runs: list[list[int]] = [[0, len(text)]] if rk in gone else []
+            for a, b in sorted(by[rk].tolist()) if rk in by and not runs else []:
                 if runs and a <= runs[-1][1]:
                     runs[-1][1] = max(runs[-1][1], b)
                 else:
@@ -304,27 +355,28 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 digest.update(text[at:a])
                 at = b
             digest.update(text[at:])
-            out.append((int(i), len(text), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), np.array(runs, "<i8").tobytes()))
+            out.append((i, len(text), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), np.array(runs, "<i8").tobytes()))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    surveyed = rows.groupBy("chunk").applyInPandas(survey, "share int, chunk int, hashes binary")
+    surveyed = rows.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInPandas(survey, "share int, chunk int, hashes binary")
     answers = surveyed.groupBy("share").applyInPandas(repeated, "chunk int, hashes binary")
-    cut = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(fragments, "bucket int, hot boolean, fragment binary, least bigint, chunk int, rks binary, ids binary, places binary")
+    told = answers.select("chunk", "hashes", F.lit(0).cast("bigint").alias("rk")).unionAll(copies.select("chunk", F.lit(None).cast("binary").alias("hashes"), "rk"))
+    cut = rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(fragments, "bucket bigint, hot boolean, fragment binary, least bigint, chunk int, top int, places binary")
     cut = stored(cut, "fragments")
-    cold = cut.where("not hot").groupBy("bucket").applyInPandas(collection, "chunk int, rk bigint, start bigint, stop bigint")
-    heads = cut.where("hot").select(F.xxhash64("fragment").alias("h1"), F.sha2("fragment", 256).alias("h2"), "least", "chunk", "rks", "ids", "places")
-    lows = heads.groupBy("h1", "h2").agg(F.min("least").alias("low"))
+    cold = cut.where("not hot").groupBy("bucket").applyInPandas(collection, "chunk int, text bigint, start bigint, stop bigint")
+    heads = cut.where("hot").withColumn("digest", F.sha2("fragment", 256)).drop("fragment")
+    lows = heads.groupBy("digest").agg(F.min("least").alias("low"))
 
-    def unpack(batches):
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for low, chunk, rks, ids, places in zip(pdf["low"], pdf["chunk"], pdf["rks"], pdf["ids"], pdf["places"]):
-                for rk, i, p in zip(np.frombuffer(rks, np.int64).tolist(), np.frombuffer(ids, np.int64).tolist(), np.frombuffer(places, np.int64).tolist()):
-                    if i > low:
-                        out.append((chunk, rk, p, p + length))
-            yield pd.DataFrame(out, columns=["chunk", "rk", "start", "stop"])
-
-    warm = heads.join(lows, ["h1", "h2"]).select("low", "chunk", "rks", "ids", "places").mapInPandas(unpack, "chunk int, rk bigint, start bigint, stop bigint")
-    spans = cold.unionAll(warm)
+            n = pdf["places"].map(len).to_numpy() // 8
+            spot = np.frombuffer(b"".join(pdf["places"]), "<i8")
+            nth = np.arange(len(spot)) - np.repeat(np.cumsum(n) - n, n)
+            goes = np.repeat((pdf["least"] > pdf["low"]).to_numpy(), n) | (nth >= np.repeat(pdf["top"].to_numpy(), n))
+            yield covered(np.repeat(pdf["chunk"].to_numpy(), n)[goes], spot[goes], 0, length)
+
+    warm = heads.join(lows, "digest").select("low", "least", "chunk", "top", "places").mapInPandas(spread, "chunk int, text bigint, start bigint, stop bigint")
+    spans = cold.unionAll(warm).select("chunk", "text", "start", "stop", F.lit(0).cast("bigint").alias("rk"))
+    spans = spans.unionAll(copies.select("chunk", F.lit(-1).cast("bigint").alias("text"), F.lit(0).cast("bigint").alias("start"), F.col("n").alias("stop"), "rk"))
     out = rows.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInPandas(strip, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans binary")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(LOWEST)))
