@@ -74,7 +74,7 @@ def plan(rows: DataFrame, target_entropy: float | None, max_repeat: float | None
     for i, r in enumerate(sums):
         repeat = whole * float(w[i]) / r["tokens"] if r["tokens"] else 1.0
         passes = math.floor(repeat + 1e-9)
-        out.append((r["_source"], float(w[i]), passes, max(0.0, repeat - passes) * r["tokens"] if repeat - passes > 1e-9 else 0.0, max(1, -(-r["n"] // BLOCK_ROWS))))
+        out.append((r["_source"], float(w[i]), passes, float(max(0.0, repeat - passes) * r["tokens"] if repeat - passes > 1e-9 else 0.0), max(1, -(-r["n"] // BLOCK_ROWS))))
     return rows.sparkSession.createDataFrame(out, "_source string, weight double, passes int, partial double, blocks bigint")
 
 
