@@ -183,26 +183,22 @@ def column_wise(fragments: list[bytes], length: int) -> tuple[np.ndarray, np.nda
     return who, long, lcp
 
 
-def covered_windows(fragments: list[bytes], least_id: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each fragment, which of its windows also start in a text with a smaller id than its own least one."""
+def covered_runs(fragments: list[bytes], least_id: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fragment, start, stop) of the bytes of each fragment that windows cover which also start in a text with a smaller id
+    than the fragment's own least one: maximal runs, in order of fragments."""
     who, long, lcp = column_wise(fragments, length)
     group = np.flatnonzero(np.r_[True, lcp[1:] < length])
     lowest = np.repeat(np.minimum.reduceat(least_id[who], group), np.diff(np.r_[group, len(who)]))
     hit = np.flatnonzero((long >= length) & (lowest < least_id[who]))
-    windows = np.array([len(f) - length + 1 for f in fragments])
-    first = np.cumsum(windows) - windows
-    flags = np.zeros(int(windows.sum()), bool)
-    flags[first[who[hit]] + windows[who[hit]] + (length - 1) - long[hit]] = True
-    return np.split(flags, first[1:])
-
-
-def _spans(flags: np.ndarray, length: int) -> np.ndarray:
-    """(start, end) of the bytes that marked windows cover, as maximal runs."""
-    at = np.flatnonzero(flags)
+    sizes = np.array([len(f) for f in fragments])
+    of, at = who[hit], sizes[who[hit]] - long[hit]
+    order = np.lexsort((at, of))
+    of, at = of[order].astype(np.int64), at[order].astype(np.int64)
     if not len(at):
-        return np.zeros((0, 2), np.int64)
-    cut = np.flatnonzero(np.diff(at) > length)  # windows that touch form one run
-    return np.stack([at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]] + length], 1)
+        return of, at, at
+    cut = np.flatnonzero((of[1:] != of[:-1]) | (np.diff(at) > length))  # windows that touch form one run
+    first, last = np.r_[0, cut + 1], np.r_[cut, len(at) - 1]
+    return of[first], at[first], at[last] + length
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -315,7 +311,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         own_least = pdf["least"].to_numpy()
         least = np.full(len(distinct), np.iinfo(np.int64).max)
         np.minimum.at(least, codes, own_least)
-        flags = covered_windows(list(distinct), least, length)
+        of, start, stop = covered_runs(list(distinct), least, length)
         n = pdf["places"].map(len).to_numpy() // 8
         spot = np.frombuffer(b"".join(pdf["places"]), "<i8")
         code, chunk = np.repeat(codes, n), np.repeat(pdf["chunk"].to_numpy(), n)
@@ -323,11 +319,12 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         # A text with a larger id than the fragment's least loses it all, one with the least id what the marks say.
         whole = np.repeat(own_least > least[codes], n) | (nth >= np.repeat(pdf["top"].to_numpy(), n))
         sizes = np.array([len(x) for x in distinct])
-        parts = [covered(chunk[whole], spot[whole], 0, sizes[code[whole]])]
-        for k in np.flatnonzero(~whole & np.array([f.any() for f in flags])[code]).tolist():
-            run = _spans(flags[code[k]], length)
-            parts.append(covered(chunk[k], np.repeat(spot[k], len(run)), run[:, 0], run[:, 1]))
-        return pd.concat(parts, ignore_index=True)
+        run_first = np.searchsorted(of, np.arange(len(distinct) + 1))
+        some = np.flatnonzero(~whole & (np.diff(run_first) > 0)[code])
+        runs = np.diff(run_first)[code[some]]
+        run = np.repeat(run_first[code[some]] - (np.cumsum(runs) - runs), runs) + np.arange(int(runs.sum()))
+        row = np.repeat(some, runs)
+        return pd.concat([covered(chunk[whole], spot[whole], 0, sizes[code[whole]]), covered(chunk[row], spot[row], start[run], stop[run])], ignore_index=True)
 
     def strip(key: tuple, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         texts = unpacked(texts) if len(texts) else texts
