@@ -147,27 +147,26 @@ def column_wise(fragments: list[bytes], length: int) -> tuple[np.ndarray, np.nda
     sizes = np.array([len(f) for f in fragments], np.int64)
     text = np.frombuffer(b"".join(fragments), np.uint8)
     ends = np.cumsum(sizes)
-    owner = np.arange(n, dtype=np.int32)
+    # A suffix is named by where it starts in the texts laid end to end, each with an end symbol.
+    stops = ends + np.arange(n)
     # Round 0: the empty suffixes, in order of fragments; before each stands the fragment's last symbol.
     bwt = text[ends - 1] + np.uint8(1)
-    lcp, who, long = np.zeros(n, np.uint8), owner.copy(), np.zeros(n, np.uint8)
-    place, active = np.arange(n), owner.astype(np.int64)
+    lcp, suffix = np.zeros(n, np.uint8), stops.astype(np.int32)
+    # LF: symbol and place of every suffix that has a symbol before it, sorted; the sorted order is that of the extensions.
+    active = np.argsort(bwt, kind="stable")
+    keys = bwt[active].astype(np.int64) << 32 | active
+    k = np.arange(n)  # of the fragments that still grow, in that order
     for j in range(1, int(sizes.max()) + 1):
-        # LF: extensions of the suffixes stand in order of (symbol, place); those of ended fragments have none.
-        order = np.argsort(bwt, kind="stable")
-        order = order[int(np.count_nonzero(bwt == 0)) :]
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(n, n + len(order))
-        at = rank[place]
+        at = n + k
+        places = keys & 0xFFFFFFFF
         # Common prefixes of the new suffixes with their neighbours: 1 + the least over the stretch between the two places.
-        k = at - n
-        symbol = bwt[order]
-        prev = np.flatnonzero((k > 0) & (symbol[k - 1] == symbol[k]))
-        nxt = np.flatnonzero((k + 1 < len(order)) & (symbol[np.minimum(k + 1, len(order) - 1)] == symbol[k]))
+        lower, upper = np.maximum(k - 1, 0), np.minimum(k + 1, len(keys) - 1)
+        here, down, up = places[k], places[lower], places[upper]
+        prev = np.flatnonzero((k > 0) & (keys[lower] >> 32 == keys[k] >> 32))
+        nxt = np.flatnonzero((k < upper) & (keys[upper] >> 32 == keys[k] >> 32))
+        common = _range_min(lcp, np.r_[down[prev], here[nxt]] + 1, np.r_[here[prev], up[nxt]]) + np.uint8(1)
         before = np.zeros(len(at), np.uint8)
-        before[prev] = _range_min(lcp, order[k[prev] - 1] + 1, order[k[prev]]) + np.uint8(1)
-        after = _range_min(lcp, order[k[nxt]] + 1, order[k[nxt] + 1]) + np.uint8(1)
-        follow = at[nxt] + 1
+        before[prev] = common[: len(prev)]
         # Insert: the symbol before each new suffix, 0 where its fragment is used up.
         left = sizes[active] - j
         coming = np.where(left > 0, text[np.maximum(ends[active] - j - 1, 0)] + np.uint8(1), np.uint8(0)).astype(np.uint8)
@@ -175,12 +174,20 @@ def column_wise(fragments: list[bytes], length: int) -> tuple[np.ndarray, np.nda
         keep[at] = False
         bwt = columns.inserted(bwt, at, coming, keep)
         lcp = columns.inserted(lcp, at, before, keep)
-        lcp[follow] = after
-        who = columns.inserted(who, at, active.astype(np.int32), keep)
-        long = columns.inserted(long, at, np.full(len(at), j, np.uint8), keep)
-        going = left > 0
-        active, place = active[going], at[going]
-    return who, long, lcp
+        lcp[at[nxt] + 1] = common[len(prev) :]
+        suffix = columns.inserted(suffix, at, (stops[active] - j).astype(np.int32), keep)
+        # Old places move up by what was inserted before them; the new suffixes join in.
+        keys += np.flatnonzero(keep)[places] - places
+        coming, at, active = (x[left > 0] for x in (coming, at, active))
+        new = coming.astype(np.int64) << 32 | at
+        sorted_ = np.argsort(new)
+        new, active = new[sorted_], active[sorted_]
+        k = np.searchsorted(keys, new) + np.arange(len(new))
+        keep = np.ones(len(keys) + len(new), bool)
+        keep[k] = False
+        keys = columns.inserted(keys, k, new, keep)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes + 1)[suffix]
+    return owner, (stops[owner] - suffix).astype(np.uint8), lcp
 
 
 def covered_runs(fragments: list[bytes], least_id: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
