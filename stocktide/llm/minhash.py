@@ -236,8 +236,10 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
 
     tested = stored(close.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = stored(confirmed(tested, texts, words, percent), "links")
+    spanning = links  # edges that hold together what is linked so far
     for attempt in range(hub_rounds + 1):
-        groups = components(links)
+        groups = components(spanning)
+        spanning = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
         at = close.select("rep", "n", "band", "key").join(groups, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
         apart = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
         open_ = stored(at.join(apart, "key"), "open")
@@ -253,8 +255,6 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
         new = stored(new.distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionAll(new)
         found = stored(confirmed(new, texts, words, percent), "links")
-        links = links.unionAll(found)
-        if attempt == hub_rounds:
-            break
-    groups = stored(components(links.unionAll(same)), "groups")
+        links, spanning = links.unionAll(found), spanning.unionAll(found)
+    groups = stored(components(spanning.unionAll(same)), "groups")
     return rows.join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
