@@ -84,8 +84,8 @@ def shingle_hashes(texts: list[str | None], words: int) -> tuple[np.ndarray, np.
     return h, np.bincount(owner, minlength=len(texts))
 
 
-def sketches(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Densified one-permutation sketch of every set; rows of empty sets are zero."""
+def sketches(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Densified one-permutation sketch of every set, and which of its bins the set itself fills."""
     n = len(counts)
     owner = np.repeat(np.arange(n), counts)
     with np.errstate(over="ignore"):
@@ -99,7 +99,8 @@ def sketches(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
         out[key[start]] = np.minimum.reduceat(values[order], start)
     filled = np.zeros(n * BINS, bool)
     filled[key] = True
-    out, filled = out.reshape(n, BINS), filled.reshape(n, BINS)
+    out, own = out.reshape(n, BINS), filled.reshape(n, BINS)
+    filled = own.copy()
     row, col = np.nonzero(~filled & (counts > 0)[:, None])
     for attempt in range(BINS):
         if not len(row):
@@ -108,7 +109,7 @@ def sketches(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
         hit = filled[row, source]
         out[row[hit], col[hit]] = out[row[hit], source[hit]]
         row, col = row[~hit], col[~hit]
-    return out
+    return out, own
 
 
 def band_keys(sketch: np.ndarray) -> np.ndarray:
@@ -126,58 +127,71 @@ def sketch_rows(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 20):
             h, counts = shingle_hashes(batch.column("text").to_pylist(), words)
-            bins = sketches(h, counts)
+            bins, own = sketches(h, counts)
             keys = band_keys(bins)
             short = (bins >> np.uint64(32)).astype(np.uint32)
+            packed = np.packbits(own, axis=1)
             with np.errstate(over="ignore"):
                 ends = np.cumsum(counts)
                 sums = [np.r_[np.uint64(0), np.cumsum(x)] for x in (mix(h ^ POWER), mix(h * POWER + np.uint64(7)))]
                 s1, s2 = ((s[ends] - s[ends - counts]).view(np.int64) for s in sums)
             some = counts > 0
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some * BANDS)], pa.int32()), pa.array(keys[some].ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(s1), pa.array(s2), lists, pa.array([x.tobytes() for x in short], pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(s1), pa.array(s2), lists, pa.array([x.tobytes() + y.tobytes() for x, y in zip(short, packed)], pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SKETCH)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity."""
+def full_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, hashes): the sorted shingle hashes of every row, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_text, last = None, np.zeros(0, np.uint64)
-        for batch in slices(batches, 1 << 20, "text_b"):
-            sets_b, counts = shingle_hashes(batch.column("text_b").to_pylist(), words)
+        for batch in slices(batches, 1 << 20):
+            h, counts = shingle_hashes(batch.column("text").to_pylist(), words)
             ends = np.cumsum(counts)
+            sets = pa.array([h[end - n : end].tobytes() for end, n in zip(ends, counts)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], names=["doc_id", "hashes"])
+
+    return docs.mapInArrow(run, "doc_id bigint, hashes binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             keep = []
-            for i, text in enumerate(batch.column("text_a")):
-                text = text.as_py()
-                if text != last_text:
-                    last_text, last = text, shingle_hashes([text], words)[0]
-                b = sets_b[ends[i] - counts[i] : ends[i]]
-                small, large = (last, b) if len(last) < len(b) else (b, last)
+            for x, y in zip(batch.column("hashes_a"), batch.column("hashes_b")):
+                small, large = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                if len(small) > len(large):
+                    small, large = large, small
                 both = 0
-                if len(large):
+                if len(small):
                     at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                     both = int((large[at] == small).sum())
-                keep.append(both > 0 and 100 * both >= percent * (len(last) + len(b) - both))
+                keep.append(both > 0 and 100 * both >= percent * (len(small) + len(large) - both))
             kept = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
             if kept.num_rows:
                 yield kept
 
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"hashes_{x}"))
     full = pairs.join(side("b"), "b").join(side("a"), "a")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint").distinct()
+    return full.select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def alike(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket but different components whose whole sketches agree as pairs of the wanted similarity do
-    (3.5 standard deviations allowed). Members are compared in blocks, and only pairs that agree are given out, by
+    (3.5 standard deviations allowed), and whose bins don't prove too many differences: each bin that the two sets fill
+    differently, or only one of them fills, holds a shingle of just one set, and sets of p percent differ in at most
+    (100 - p) / (100 + p) of their summed sizes. Members are compared in blocks, and only pairs that agree are given out, by
     their first common band."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j, band = key[1], key[2], int(pdf["band"].iat[0])
         pdf = pdf.sort_values("rep", ignore_index=True)
-        bins = np.frombuffer(b"".join(pdf["sketch"]), np.uint32).reshape(-1, BINS)
+        raw = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+        bins = np.ascontiguousarray(raw[:, : 4 * BINS]).view(np.uint32)
+        own = np.unpackbits(raw[:, 4 * BINS :], axis=1, count=BINS).astype(bool)
         n, component, block, rep = (pdf[c].to_numpy() for c in ("n", "component", "block", "rep"))
         out = []
         for k in range(len(rep)):
@@ -187,12 +201,14 @@ def alike(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             equal = bins[rest] == bins[k]
             effective = np.minimum(BINS, 0.75 * np.minimum(n[rest], n[k]) + 1)
             least = percent / 100 - 3.5 * np.sqrt(percent / 100 * (1 - percent / 100) / effective)
-            good = equal.mean(1) >= least
+            apart = (own[rest] ^ own[k] | own[rest] & own[k] & ~equal).sum(1)
+            good = (equal.mean(1) >= least) & ((100 + percent) * apart <= (100 - percent) * (n[rest] + n[k]))
             first = equal[good].reshape(-1, BANDS, ROWS).all(2).argmax(1)
             out += [(min(int(rep[k]), int(rep[x])), max(int(rep[k]), int(rep[x]))) for x in rest[good][first == band]]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    blocks = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # The only pair of a bucket of two has been a star's edge.
+    blocks = open_.groupBy("key").agg(F.count("*").alias("size")).where("size > 2").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     dealt = open_.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.join(sketches, "rep").select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "band", "rep", "n", "component", "block", "sketch")
     return dealt.groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
@@ -230,12 +246,12 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     close = stored(members.join(shared, "key"), "buckets")  # rep, n, band, key, centre
     reps = close.select(F.col("rep").alias("doc_id")).distinct()
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = stored(base.join(reps, "doc_id", "left_semi"), "texts")
+    full = stored(full_sets(base.join(reps, "doc_id", "left_semi"), words), "full")
     # Rows that share an id are one node: every set of theirs leads to the id.
     same = rows.where("n_shingles > 0 and doc_id is not null").join(sets.select("n_shingles", "s1", "s2", "rep"), ["n_shingles", "s1", "s2"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
     tested = stored(close.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = stored(confirmed(tested, texts, words, percent), "links")
+    links = stored(confirmed(tested, full, percent), "links")
     spanning = links  # edges that hold together what is linked so far
     for attempt in range(hub_rounds + 1):
         groups = components(spanning)
@@ -254,7 +270,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
             new = alike(open_, sets.select("rep", "sketch"), percent)
         new = stored(new.distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionAll(new)
-        found = stored(confirmed(new, texts, words, percent), "links")
+        found = stored(confirmed(new, full, percent), "links")
         links, spanning = links.unionAll(found), spanning.unionAll(found)
     groups = stored(components(spanning.unionAll(same)), "groups")
     return rows.join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
