@@ -12,6 +12,7 @@ document count once, by the largest label; null labels are left out; other colum
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -27,7 +28,7 @@ from stocktide.llm.common import lowest_by_hash, slices, with_fields
 
 WORD = re.compile(r"\w+")
 CHAIN = 64
-SAMPLE_ROWS, SAMPLE_BYTES, MIN_DOCS = 3000, 20_000, 5
+SAMPLE_ROWS, SAMPLE_BYTES, MIN_DOCS, CHANCE = 3000, 20_000, 5, 1e-4
 
 
 @dataclass
@@ -121,6 +122,13 @@ def _only_p(field: ToxicField, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return odds / (1 + odds)
 
 
+def by_chance(toxic: int, clean: int, share: float) -> float:
+    """Probability that so many or more of a word's documents are toxic if each is with probability `share`."""
+    n = toxic + clean
+    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share) for k in range(toxic, n + 1)]
+    return sum(map(math.exp, logs))
+
+
 def fit(texts: list[str], labels: list[int], weights: list[float], steps: int = 80) -> ToxicField:
     """Field and document layer from a bounded list of labelled texts; `weights` undo how the sample was drawn."""
     words = [WORD.findall(t.lower()) for t in texts]
@@ -132,9 +140,10 @@ def fit(texts: list[str], labels: list[int], weights: list[float], steps: int =
             for before, word, after in zip(["", *w], w, [*w[1:], ""]):
                 around.setdefault(word, set()).add((before, after))
     n1, n0 = max(1, sum(labels)), max(1, len(labels) - sum(labels))
-    # A word counts as toxic if its share of toxic documents is many times its share of clean ones, in settings
-    # that differ: copies of one toxic document don't make its other words toxic.
-    odd = {w for w, n in toxic.items() if n >= MIN_DOCS and n / n1 > 8 * (clean[w] + 1) / n0 and n > 0.02 * n1 and len(around[w]) > max(MIN_DOCS, n / 2)}
+    # A word counts as toxic if its share of toxic documents is many times its share of clean ones, by more than chance, in
+    # settings that differ: copies of one toxic document don't make its other words toxic. The share itself is free, so that
+    # the words of a language with few documents count too.
+    odd = {w for w, n in toxic.items() if n >= MIN_DOCS and n / n1 > 8 * (clean[w] + 1) / n0 and len(around[w]) > max(MIN_DOCS, n / 2) and by_chance(n, clean[w], n1 / (n1 + n0)) < CHANCE}
     common = [w for w, n in (toxic + clean).most_common(50_000) if n >= MIN_DOCS or w in odd]
     vocabulary = {w: i for i, w in enumerate(sorted(common), 1)}
     tokens = [np.array([vocabulary.get(x, 0) for x in w], np.int32) for w in words]

@@ -174,6 +174,24 @@ def test_toxicity_awkward(spark, awkward, empty):
     assert toxicity.score(empty, toxicity.train(empty, labels)).count() == 0
 
 
+def test_toxic_words_of_a_small_language_count(spark):
+    """Recall on toxic and false alarms on clean documents, by language: one has under 2 % of the toxic documents."""
+    rng = np.random.default_rng(4)
+    toxic_words = {"big": [f"bad{k}" for k in range(6)], "small": [f"mal{k}" for k in range(6)]}
+
+    def document(lang, toxic):
+        words = [f"{lang}{k}" for k in rng.integers(0, 300, 40)] + toxic_words[lang] * toxic
+        return " ".join(rng.permutation(words).tolist())
+
+    kinds = [("big", 1, 400, 50), ("big", 0, 2000, 200), ("small", 1, 7, 20), ("small", 0, 200, 100)]
+    rows = [(lang, toxic, k < learned) for lang, toxic, learned, held in kinds for k in range(learned + held)]
+    docs = spark.createDataFrame([(i, document(lang, toxic), lang, toxic) for i, (lang, toxic, _) in enumerate(rows)], "doc_id long, text string, lang string, toxic int")
+    labels = spark.createDataFrame([(i, toxic) for i, (_, toxic, learns) in enumerate(rows) if learns], "doc_id long, toxic int")
+    scored = toxicity.accept(toxicity.score(docs.join(labels, "doc_id", "left_anti"), toxicity.train(docs, labels), keep=("lang", "toxic")))
+    share = {(r["lang"], r["toxic"]): r["p"] for r in scored.groupBy("lang", "toxic").agg(F.avg("predicted").alias("p")).collect()}
+    assert min(share["big", 1], share["small", 1]) > 0.9 and max(share["big", 0], share["small", 0]) < 0.05, share
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(1)
     e, move, mask = rng.normal(size=(1, 5)), rng.normal(size=(2, 2)), np.ones((1, 5), bool)
