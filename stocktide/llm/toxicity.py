@@ -29,6 +29,7 @@ from stocktide.llm.common import lowest_by_hash, slices, with_fields
 WORD = re.compile(r"\w+")
 CHAIN = 64
 SAMPLE_ROWS, SAMPLE_BYTES, MIN_DOCS, CHANCE = 3000, 20_000, 5, 1e-4
+BATCH, EPOCHS = 4096, 2  # chains of a gradient step; times that every chain is in one, at least
 
 
 @dataclass
@@ -151,23 +152,28 @@ def fit(texts: list[str], labels: list[int], weights: list[float], steps: int =
     is_odd = np.zeros(len(vocabulary) + 1, bool)
     is_odd[[vocabulary[w] for w in odd]] = True
     y = is_odd[ids] & mask & np.array(labels, bool)[of][:, None]
-    some = np.flatnonzero(y.any(1))
-    rest = np.flatnonzero(~y.any(1))
-    rest = rest[:: max(1, len(rest) // 2000)]
-    pick = np.r_[some[:4000], rest]
-    ids_, mask_, y_ = ids[pick], mask[pick], y[pick]
+    # Every chain is learned from, in batches that hold both sorts alike: toxic chains and others, each in an order drawn at random.
+    some, rest = np.flatnonzero(y.any(1)), np.flatnonzero(~y.any(1))
+    draw = np.random.default_rng(0)
+    pick = np.r_[draw.permutation(some), draw.permutation(rest)]
+    pick = pick[np.argsort(np.r_[(np.arange(len(some)) + 0.5) / max(1, len(some)), (np.arange(len(rest)) + 0.5) / max(1, len(rest))], kind="stable")]
+    batches = np.array_split(pick, max(1, -(-len(pick) // BATCH)))
+    steps = max(steps, EPOCHS * len(batches))
     field = ToxicField(vocabulary, *(np.zeros(len(vocabulary) + 1) for _ in range(3)), -3.0, np.zeros((2, 2)), np.zeros(3))
     parts = [field.own, field.left, field.right, np.array([field.bias]), field.move]
     mean, var = [np.zeros_like(x) for x in parts], [np.zeros_like(x) for x in parts]
     size = len(vocabulary) + 1
-    pair_y = np.stack([np.stack([(y_[:, :-1] == i) & (y_[:, 1:] == j) for j in (0, 1)], -1) for i in (0, 1)], -2) & mask_[:, 1:, None, None] if len(pick) else None
     for step in range(1, steps + 1 if len(some) else 1):
+        at = batches[step % len(batches)]
+        ids_, mask_, y_ = ids[at], mask[at], y[at]
         field.bias = float(parts[3][0])
         p, pair = marginals(field.emissions(ids_, mask_), mask_, field.move)
         d = np.where(mask_, y_ - p, 0.0)
-        grads = [np.bincount(ids_.ravel(), d.ravel(), size), np.bincount(ids_[:, :-1].ravel(), d[:, 1:].ravel(), size), np.bincount(np.where(mask_[:, 1:], ids_[:, 1:], 0).ravel(), (d[:, :-1] * mask_[:, 1:]).ravel(), size), np.array([d.sum()]), pair_y.sum((0, 1)) - pair.sum((0, 1))]
+        # How often a state follows a state by the labels, over neighbours in the chain.
+        pair_y = np.bincount((2 * y_[:, :-1] + y_[:, 1:])[mask_[:, 1:]], minlength=4).reshape(2, 2)
+        grads = [np.bincount(ids_.ravel(), d.ravel(), size), np.bincount(ids_[:, :-1].ravel(), d[:, 1:].ravel(), size), np.bincount(np.where(mask_[:, 1:], ids_[:, 1:], 0).ravel(), (d[:, :-1] * mask_[:, 1:]).ravel(), size), np.array([d.sum()]), pair_y - pair.sum((0, 1))]
         for k, (x, g) in enumerate(zip(parts, grads)):
-            g = g - 0.05 * x  # Gaussian prior
+            g = g * (len(pick) / len(at)) - 0.05 * x  # Gaussian prior
             mean[k] = 0.9 * mean[k] + 0.1 * g
             var[k] = 0.99 * var[k] + 0.01 * g * g
             x += 0.15 * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.99**step)) + 1e-8)

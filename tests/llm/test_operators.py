@@ -192,6 +192,16 @@ def test_toxic_words_of_a_small_language_count(spark):
     assert min(share["big", 1], share["small", 1]) > 0.9 and max(share["big", 0], share["small", 0]) < 0.05, share
 
 
+def test_every_toxic_chain_is_learned_from():
+    """Words that only stand in the last of more than 4000 toxic chains get their weight."""
+    rng = np.random.default_rng(5)
+    plain = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 500, n))
+    early = [" ".join(f"bad{rng.integers(3)} {plain(toxicity.CHAIN - 1)}" for _ in range(2)) for _ in range(2100)]
+    late = [f"{plain(5)} mal {plain(20)}" for _ in range(100)]
+    field = toxicity.fit([plain(20) for _ in range(500)] + early + late, [0] * 500 + [1] * 2200, [1.0] * 2700, steps=4)
+    assert field.own[field.vocabulary["mal"]] > 0 and field.own[field.vocabulary["bad0"]] > 0
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(1)
     e, move, mask = rng.normal(size=(1, 5)), rng.normal(size=(2, 2)), np.ones((1, 5), bool)
