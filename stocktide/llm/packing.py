@@ -28,6 +28,7 @@ from stocktide.llm.common import stored
 
 END_ID = 2
 WORD_CACHE = 400_000
+LONG_SPACE = 4096
 GROUP_ITEMS = 1 << 16
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", g bigint, bin bigint, offset bigint, free int, gap bigint"
@@ -36,12 +37,17 @@ PACKED = PIECES + ", g bigint, bin bigint, offset bigint, free int, gap bigint"
 class _Encoder(dict):
     """Word -> little-endian ids of " word", filled as words turn up.
 
+    The ids are those of `tokenizers` with the vocabulary's json, without special tokens added. Its merges in the core of
+    `tiktoken` give the same ids faster, but that core knows no added tokens and fails on very long runs of white space: texts with
+    either go through `tokenizers` itself.
+
     A single space between two characters that aren't white space always starts a new pre-token, so such a text
     can be encoded word by word; any other text is encoded in one piece.
     """
 
     def __init__(self, vocabulary: str):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
@@ -50,15 +56,29 @@ class _Encoder(dict):
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         core = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.whole, self.single = core.encode_ordinary, core.encode_single_piece
-        self.spaces = re.compile(r"\s\s")
+        self.spaces = re.compile(r"\s\s+")
+        self.json, self.exact = public_tokenizers.path(vocabulary), None
+        with open(self.json, encoding="utf-8") as f:
+            self.added = [x["content"] for x in json.load(f)["added_tokens"]]
 
     def __missing__(self, word: str) -> bytes:
         ids = array("I", self.single((" " + word).encode()) if word.isalpha() else self.whole(" " + word)).tobytes()
         self[word] = ids
         return ids
 
+    def by_tokenizers(self, text: str) -> bytes:
+        if self.exact is None:
+            from tokenizers import Tokenizer
+
+            self.exact = Tokenizer.from_file(self.json)
+        return array("I", self.exact.encode(text, add_special_tokens=False).ids).tobytes()
+
     def encode(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return self.by_tokenizers(text)
         if self.spaces.search(text):
+            if any(x.end() - x.start() > LONG_SPACE for x in self.spaces.finditer(text)):
+                return self.by_tokenizers(text)
             return array("I", self.whole(text)).tobytes()
         first, *rest = text.split(" ")
         return array("I", self.whole(first)).tobytes() + b"".join(map(self.__getitem__, rest))
