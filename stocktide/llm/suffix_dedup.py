@@ -9,8 +9,8 @@ Burrows-Wheeler transform grows by columns: each round inserts one symbol of eve
 and updates the transform, the common prefixes of neighbours and their owners in one sequential sweep over columns that
 lie in scratch files once they outgrow memory. Neighbours that share `length` bytes are equal windows.
 
-Minimizers of more than `hot` groups of texts would overfill a bucket: their windows are keyed by their own content, and each
-key's smallest id is found by partial aggregation.
+Minimizers of more than `hot` fragments (those that differ within a chunk of texts, summed over the chunks) would overfill a
+bucket: their windows are keyed by their own content, and each key's smallest id is found by partial aggregation.
 
 Cases: a null text is empty; texts shorter than `length` lose nothing; equal ids never remove each other's
 bytes, null ids count as smallest; repeated rows give equal rows; other columns are ignored.
@@ -37,7 +37,7 @@ CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 1 << 20  # of text for each bucket
 SLICE = 1 << 18
 IN_MEMORY = 64 << 20
-HOT = 1 << 16
+HOT = 1 << 16  # fragments of one minimizer, of at most 76 bytes each
 LOWEST = -(1 << 63)
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -76,8 +76,9 @@ def _sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (w - size)], h[w - size :]) if w > size else h
 
 
-def minimizer_runs(text: bytes, length: int = LENGTH, m: int = MINIMIZER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, windows) of the runs of windows that share a minimizer (the leftmost of the least hashes).
+def minimizer_runs(text: bytes, length: int = LENGTH, m: int = MINIMIZER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, windows, hash of the fragment) of the runs of windows that share a minimizer (the leftmost of the
+    least hashes).
 
     A position is told apart by its hash and, as the window slides on, by whether the least hash is met anew.
     """
@@ -86,21 +87,25 @@ def minimizer_runs(text: bytes, length: int = LENGTH, m: int = MINIMIZER) -> tup
     w = length - m + 1
     for start in range(0, len(data) - length + 1, SLICE):
         part = data[start : min(len(data), start + SLICE + length - 1)]
-        h = _hashes(part, m)
-        least = _sliding_min(h, w)
-        change = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-        out.append((least[change], change + start, np.diff(np.r_[change, len(least)])))
+        all_h = _hashes(part, m)
+        least = _sliding_min(all_h, w)
+        first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        h, n = least[first], np.diff(np.r_[first, len(least)])
+        # Runs longer than w windows (a minimizer met again, a long repeat) are cut by content: pieces start where a run does.
+        if (n > w).any():
+            pieces = -(-n // w)
+            h, base = np.repeat(h, pieces), np.repeat(first, pieces)
+            k = np.arange(len(h)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            n = np.minimum(w, np.repeat(n, pieces) - k * w)
+            first = base + k * w
+        # A fragment is known by the hashes of m bytes that cover it.
+        key, last = h, n + length - 1 - m
+        for at in range(0, w + length - 1, m):
+            key = _mix(key * C1 + all_h[first + np.minimum(at, last)])
+        out.append((h, first + start, n, key))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, first, n = (np.concatenate([x[k] for x in out]) for k in range(3))
-    # Runs longer than w windows (a minimizer met again, a long repeat) are cut by content: pieces start where a run does.
-    if (n > w).any():
-        pieces = -(-n // w)
-        h, base = np.repeat(h, pieces), np.repeat(first, pieces)
-        k = np.arange(len(h)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        n = np.minimum(w, np.repeat(n, pieces) - k * w)
-        first = base + k * w
-    return h, first, n
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate([x[k] for x in out]) for k in range(4))
 
 
 class Columns:
@@ -151,7 +156,7 @@ def column_wise(fragments: list[bytes], length: int) -> tuple[np.ndarray, np.nda
     stops = ends + np.arange(n)
     # Round 0: the empty suffixes, in order of fragments; before each stands the fragment's last symbol.
     bwt = text[ends - 1] + np.uint8(1)
-    lcp, suffix = np.zeros(n, np.uint8), stops.astype(np.int32)
+    lcp, suffix = np.zeros(n, np.uint8), stops.astype(np.int32 if stops[-1] < 1 << 31 else np.int64)
     # LF: symbol and place of every suffix that has a symbol before it, sorted; the sorted order is that of the extensions.
     active = np.argsort(bwt, kind="stable")
     keys = bwt[active].astype(np.int64) << 32 | active
@@ -175,7 +180,7 @@ def column_wise(fragments: list[bytes], length: int) -> tuple[np.ndarray, np.nda
         bwt = columns.inserted(bwt, at, coming, keep)
         lcp = columns.inserted(lcp, at, before, keep)
         lcp[at[nxt] + 1] = common[len(prev) :]
-        suffix = columns.inserted(suffix, at, (stops[active] - j).astype(np.int32), keep)
+        suffix = columns.inserted(suffix, at, (stops[active] - j).astype(suffix.dtype), keep)
         # Old places move up by what was inserted before them; the new suffixes join in.
         keys += np.flatnonzero(keep)[places] - places
         coming, at, active = (x[left > 0] for x in (coming, at, active))
@@ -231,7 +236,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         open_ = zstandard.ZstdDecompressor().decompress
         return pdf.assign(text=[open_(x) if x else b"" for x in pdf["text"]]).sort_values("rk", ignore_index=True)
 
-    def runs_of(texts) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def runs_of(texts) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for i, text in enumerate(texts):
             if text is not None and len(text) >= length:
                 yield (i, *minimizer_runs(text, length))
@@ -240,16 +245,21 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         return [None if rk in gone else text for rk, text in zip(pdf["rk"].tolist(), pdf["text"])]
 
     def survey(key: tuple, pdf: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
-        """Distinct minimizers of a chunk by share; the lowest bit tells that two of its texts have it."""
-        each = [np.unique(h) for _, h, _, _ in runs_of(owners_only(unpacked(pdf), set(gone["rk"].tolist())))]
-        if not each:
-            return pd.DataFrame({"share": [], "chunk": [], "hashes": []}, dtype="object")
+        """Distinct minimizers of a chunk by share, and how many distinct fragments each has; the lowest bit tells that two of its
+        texts have it."""
+        runs = [(np.unique(h), h, k) for _, h, _, _, k in runs_of(owners_only(unpacked(pdf), set(gone["rk"].tolist())))]
+        if not runs:
+            return pd.DataFrame({"share": [], "chunk": [], "hashes": [], "counts": []}, dtype="object")
+        each, every, keys = zip(*runs)
         h, n = np.unique(np.concatenate(each) | np.uint64(1), return_counts=True)
+        distinct = np.unique(np.concatenate(keys), return_index=True)[1]
+        counts = np.bincount(np.searchsorted(h, np.concatenate(every)[distinct] | np.uint64(1)), minlength=len(h)).astype("<u4")
         h = h ^ (n > 1).astype(np.uint64)  # bit 0 clear: in several
         share = ((h >> np.uint64(32)) * np.uint64(chunks) >> np.uint64(32)).astype(np.int64)
         cut = np.searchsorted(share, np.arange(chunks + 1))
         some = np.flatnonzero(np.diff(cut))
-        return pd.DataFrame({"share": some, "chunk": int(key[0]), "hashes": [h[cut[s] : cut[s + 1]].tobytes() for s in some]})
+        squeeze = zstandard.ZstdCompressor(level=1).compress  # nearly all counts are 1
+        return pd.DataFrame({"share": some, "chunk": int(key[0]), "hashes": [h[cut[s] : cut[s + 1]].tobytes() for s in some], "counts": [squeeze(counts[cut[s] : cut[s + 1]].tobytes()) for s in some]})
 
     def repeated(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """For each chunk, which of its minimizers other texts have too; bit 0 marks the hot ones."""
@@ -259,7 +269,9 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         several = np.zeros(len(value), bool)
         several[back[(every & np.uint64(1)) == 0]] = True
         good = (n > 1) | several
-        value = np.where(n > hot, value, value ^ np.uint64(1))
+        open_ = zstandard.ZstdDecompressor().decompress
+        fragments = np.bincount(back, np.concatenate([np.frombuffer(open_(x), "<u4") for x in pdf["counts"]]), len(value))
+        value = np.where(fragments > hot, value, value ^ np.uint64(1))
         out, at = [], 0
         for a in arrays:
             b = back[at : at + len(a)]
@@ -279,7 +291,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         ids, all_texts = texts["doc_id"].tolist(), owners_only(texts, set(found["rk"][~some].tolist()))
         places: dict[bytes, list[int]] = {}
         bucket_of: list[int] = []
-        for i, h, first, n in runs_of(all_texts):
+        for i, h, first, n, _ in runs_of(all_texts):
             text, high = all_texts[i], i << 32
             at = np.minimum(np.searchsorted(value, h & ~np.uint64(1)), len(value) - 1)
             match = np.flatnonzero((value[at] | np.uint64(1)) == (h | np.uint64(1)))
@@ -362,7 +374,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             out.append((i, len(text), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), np.array(runs, "<i8").tobytes()))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    surveyed = rows.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInPandas(survey, "share int, chunk int, hashes binary")
+    surveyed = rows.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInPandas(survey, "share int, chunk int, hashes binary, counts binary")
     answers = surveyed.groupBy("share").applyInPandas(repeated, "chunk int, hashes binary")
     told = answers.select("chunk", "hashes", F.lit(0).cast("bigint").alias("rk")).unionAll(copies.select("chunk", F.lit(None).cast("binary").alias("hashes"), "rk"))
     cut = rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(fragments, "bucket bigint, hot boolean, fragment binary, least bigint, chunk int, top int, places binary")

@@ -88,6 +88,20 @@ def test_suffix_dedup_awkward(awkward, empty, hot):
     assert suffix_dedup.removed(empty, hot=hot).count() == 0
 
 
+def test_suffix_dedup_keeps_frequent_minimizers_out_of_buckets(spark, monkeypatch):
+    """A passage that all texts hold in contexts of their own: no minimizer brings more than `hot` fragments to a bucket."""
+    rng = np.random.default_rng(6)
+    noise = lambda: bytes(rng.integers(97, 123, 70).astype(np.uint8)).decode()
+    passage = noise()
+    docs = spark.createDataFrame([(int(i), noise() + passage + noise()) for i in rng.permutation(300)], "doc_id long, text string")
+    kept, keep = {}, suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, name: kept.setdefault(name, keep(df, name)))
+    got = by_id(removed_rows(suffix_dedup.removed(docs, hot=50)))
+    assert got == by_id(removed_brute(pairs_of(docs), 50)) and sum(r[2] for r in got) >= 299 * 70
+    cold = kept["fragments"].where("not hot").groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+    assert kept["fragments"].where("hot").count() > 300 and cold <= 100
+
+
 def test_column_wise_order_is_the_suffix_order():
     rng = np.random.default_rng(3)
     fragments = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in rng.integers(1, 60, 80)]
