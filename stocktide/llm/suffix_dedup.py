@@ -108,6 +108,11 @@ def minimizer_runs(text: bytes, length: int = LENGTH, m: int = MINIMIZER) -> tup
     return tuple(np.concatenate([x[k] for x in out]) for k in range(4))
 
 
+def share_of(h: np.ndarray, shares: int) -> np.ndarray:
+    """Share of each minimizer, whatever its bit 0. A minimizer is the least of several hashes, so its own top bits are uneven."""
+    return ((_mix(h | np.uint64(1)) >> np.uint64(32)) * np.uint64(shares) >> np.uint64(32)).astype(np.int64)
+
+
 class Columns:
     """The columns of a growing collection; each round writes them anew, front to back, in memory or in scratch files."""
 
@@ -255,8 +260,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         distinct = np.unique(np.concatenate(keys), return_index=True)[1]
         counts = np.bincount(np.searchsorted(h, np.concatenate(every)[distinct] | np.uint64(1)), minlength=len(h)).astype("<u4")
         h = h ^ (n > 1).astype(np.uint64)  # bit 0 clear: in several
-        share = ((h >> np.uint64(32)) * np.uint64(chunks) >> np.uint64(32)).astype(np.int64)
-        cut = np.searchsorted(share, np.arange(chunks + 1))
+        share = share_of(h, chunks)
+        order = np.argsort(share, kind="stable")
+        h, counts = h[order], counts[order]
+        cut = np.searchsorted(share[order], np.arange(chunks + 1))
         some = np.flatnonzero(np.diff(cut))
         squeeze = zstandard.ZstdCompressor(level=1).compress  # nearly all counts are 1
         return pd.DataFrame({"share": some, "chunk": int(key[0]), "hashes": [h[cut[s] : cut[s + 1]].tobytes() for s in some], "counts": [squeeze(counts[cut[s] : cut[s + 1]].tobytes()) for s in some]})

@@ -102,6 +102,14 @@ def test_suffix_dedup_keeps_frequent_minimizers_out_of_buckets(spark, monkeypatc
     assert kept["fragments"].where("hot").count() > 300 and cold <= 100
 
 
+def test_minimizers_are_shared_out_evenly():
+    text = bytes(np.random.default_rng(7).integers(97, 123, 200_000).astype(np.uint8))
+    h = np.unique(suffix_dedup.minimizer_runs(text)[0])
+    for shares in (12, 64):
+        assert np.bincount(suffix_dedup.share_of(h, shares), minlength=shares).max() < 1.5 * len(h) / shares
+    assert (suffix_dedup.share_of(h ^ np.uint64(1), 64) == suffix_dedup.share_of(h, 64)).all()
+
+
 def test_column_wise_order_is_the_suffix_order():
     rng = np.random.default_rng(3)
     fragments = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in rng.integers(1, 60, 80)]
