@@ -62,18 +62,45 @@ def by_name(rows: DataFrame, products: DataFrame) -> DataFrame:
     return rows.select("ord", text.normalize_name(F.col("product")).alias("key")).join(index, "key").select("ord", "product_id", F.lit(NAME).alias("method"))
 
 
-def by_similarity(rows: DataFrame, products: DataFrame, threshold: float = 0.86) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of rows whose token sets may reach the similarity, each once. Both sides have a column of distinct tokens: `lt`, `rt`.
+
+    Sets of that similarity share at least threshold * size tokens of either, hence one of the size - that + 1 rarest of each: only
+    these are joined.
+    """
+    seen = left.select(F.explode("lt").alias("token")).unionAll(right.select(F.explode("rt").alias("token"))).groupBy("token").agg(F.count("*").alias("df"))
+
+    def rarest(df: DataFrame, tokens: str, out: str) -> DataFrame:
+        ranked = df.select(tokens).distinct().select(tokens, F.explode(tokens).alias("token")).join(seen, "token").groupBy(tokens).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+        prefix = F.slice(F.col("r.token"), F.lit(1), (F.size("r") - F.ceil(F.size("r") * threshold - 1e-9) + 1).cast("int"))
+        return df.join(ranked.select(tokens, prefix.alias(out)), tokens).withColumn("token", F.explode(out))
+
+    n, m = F.size("lt"), F.size("rt")
+    both = rarest(left, "lt", "lp").join(rarest(right, "rt", "rp"), "token").where(F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9)
+    return both.where(F.col("token") == F.element_at(F.array_intersect("lp", "rp"), 1)).drop("token", "lp", "rp")
+
+
+def by_similarity(rows: DataFrame, products: DataFrame, threshold: float = 0.86, others: bool = False) -> DataFrame:
     """Best Jaccard similarity of name tokens, the earliest product on ties; names of one token never match.
 
-    Pairs come from shared tokens, so only names that have one in common are compared; equal names are one on either side.
+    Equal names are one on either side. With `others`, a row's ord is a product's id, which the row can't have as its match.
     """
-    side = lambda df, col: df.select(text.name_tokens(F.col(col)).alias("tokens"), "*").where(F.size("tokens") >= 2)
-    left = side(rows.groupBy("product").agg(F.min("ord").alias("any")), "product").select("product", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    right = side(products.groupBy("name").agg(F.min_by("id", "ord").alias("id"), F.min("ord").alias("first")), "name").select("id", "first", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
-    both = left.join(right, "token").where("least(n, m) >= %r * greatest(n, m)" % threshold).groupBy("product", "id", "first", "n", "m").agg(F.count("*").alias("k"))
-    scored = both.withColumn("score", F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).where(F.col("score") >= threshold)
-    best = scored.groupBy("product").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("first"))).alias("b"))
-    return rows.select("ord", "product").join(best, "product").select("ord", F.col("b.id").alias("product_id"), F.format_string("名称相似度 %.2f", "b.score").alias("method"))
+    side = lambda df, col, out: df.withColumn(out, text.name_tokens(F.col(col))).where(F.size(out) >= 2)
+    left = side(rows.select("product").distinct(), "product", "lt")
+    first = F.slice(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("first"), "id"))), 1, 2) if others else F.array(F.min(F.struct(F.col("ord").alias("first"), "id")))
+    right = side(products.groupBy("name").agg(first.alias("f")), "name", "rt")
+    k = F.size(F.array_intersect("lt", "rt"))
+    scored = candidates(left, right, threshold).select("product", (k / (F.size("lt") + F.size("rt") - k)).alias("score"), "f").where(F.col("score") >= threshold)
+    scored = scored.select("product", "score", F.explode("f").alias("f")).select("product", F.struct((-F.col("score")).alias("s"), "f.first", "f.id", "score").alias("b"))
+    if not others:
+        best = scored.groupBy("product").agg(F.min("b").alias("b"))
+        hits = rows.select("ord", "product").join(best, "product")
+    else:
+        # At most one entry is the row itself: the better two are enough.
+        place = F.row_number().over(Window.partitionBy("product").orderBy("b"))
+        two = scored.withColumn("place", place).where("place <= 2").groupBy("product").agg(F.array_sort(F.collect_list("b")).alias("two"))
+        hits = rows.select("ord", "product").join(two, "product").withColumn("b", F.get(F.filter("two", lambda b: b["id"] != F.col("ord")), 0)).where("b is not null")
+    return hits.select("ord", F.col("b.id").alias("product_id"), F.format_string("名称相似度 %.2f", "b.score").alias("method"))
 
 
 def match_products(rows: DataFrame, products: DataFrame, rules: DataFrame | None = None, combos: bool = False, threshold: float = 0.86) -> DataFrame:

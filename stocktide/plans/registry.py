@@ -90,12 +90,25 @@ def fuzzy_name_top1(spark, sf_dir):
     return match.by_similarity(rows, p.where("id % 7 <> 0").select("id", F.col("id").alias("ord"), "name"), 0.6).select("ord", "product_id")
 
 
+def fuzzy_name_every(spark, sf_dir):
+    """Every part against all others."""
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_type", "p_name").alias("name"))
+    rows = p.select(F.col("id").alias("ord"), F.col("name").alias("product"))
+    return match.by_similarity(rows, p.withColumn("ord", F.col("id")), 0.6, others=True).select("ord", "product_id")
+
+
 def nearest_sku_topk(spark, sf_dir):
     c = _catalogue(spark, sf_dir)
     wanted = c.where("id % 11 = 3").select(F.concat("sku", F.lit("X")).alias("key"))
     return match.nearest_sku(wanted, c).select("key", "id", F.col("distance").cast("bigint").alias("distance"), F.col("place").cast("bigint").alias("place"))
 
 
+def nearest_sku_every(spark, sf_dir):
+    """Every identifier with one symbol too many against all products."""
+    c = _catalogue(spark, sf_dir)
+    return match.nearest_sku(c.select(F.concat("sku", F.lit("X")).alias("key")), c).select("key", "id", F.col("distance").cast("bigint").alias("distance"), F.col("place").cast("bigint").alias("place"))
+
+
 def _stock(spark, sf_dir) -> DataFrame:
     li = _table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").cast("bigint").alias("q"))
     k = F.col("l_partkey") + F.col("l_suppkey")
@@ -164,7 +177,7 @@ def rollback_identity(spark, sf_dir):
     return back.select("ord", "new_qty", "new_status", (F.col("back_qty").eqNullSafe(F.col("store_qty")) & F.col("back_status").eqNullSafe(F.col("store_status"))).alias("restored"))
 
 
-QUERIES = (sku_normalize, name_normalize, size_alias, to_int_parse, forward_fill, consecutive_dedup, occurrence_islands, block_split, first_wins_index, rule_cascade, fuzzy_name_top1, nearest_sku_topk, reconcile_diff, reconcile_summary, update_payload, collapsed_updates, manual_by_product, change_by_product, duplicate_keys, quality_histogram, source_stats, orphan_skus, rollback_identity)
+QUERIES = (sku_normalize, name_normalize, size_alias, to_int_parse, forward_fill, consecutive_dedup, occurrence_islands, block_split, first_wins_index, rule_cascade, fuzzy_name_top1, fuzzy_name_every, nearest_sku_topk, nearest_sku_every, reconcile_diff, reconcile_summary, update_payload, collapsed_updates, manual_by_product, change_by_product, duplicate_keys, quality_histogram, source_stats, orphan_skus, rollback_identity)
 
 
 def queries() -> dict:
