@@ -39,6 +39,14 @@ def test_one_of_each_near_group_stays(steps):
     assert sorted(ids(steps[2])) == sorted(i for i, _, _, kept in near_brute(rows, 5, 80) if kept)
 
 
+def test_different_texts_under_one_id_all_stay(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (1, None), (2, c), (2, c + " more"), (3, a + " end"), (None, "no id")]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (1, None), (2, c), (None, "no id")], key=str)
+
+
 def test_personal_data_is_redacted(steps):
     before = {r["doc_id"]: r["text"] for r in steps[2].collect()}
     model = pii.train(steps[2])
