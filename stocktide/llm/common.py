@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,24 +12,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Where the session names none: the warehouse, or on one machine a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = LOCAL_CHECKPOINTS
+        local = spark.sparkContext.master.startswith("local")
+        folder = f"{tempfile.gettempdir()}/checkpoints" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors. The tables go with the application."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    files, where = _file_system(spark, folder)
+    files.deleteOnExit(where)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a stored table that nothing reads any more."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        files, where = _file_system(df.sparkSession, path)
+        files.delete(where, True)
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,17 +60,15 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
 
 
 def lowest_by_hash(rows: DataFrame, key: list[str], n: int) -> DataFrame:
-    """The n rows of the smallest key hashes. A bound on the hash, from a count, keeps what the tasks hand in near n in all."""
-    total = rows.count()
-    place = F.xxhash64(*key)
+    """The n rows of the smallest key hashes, one of each key. A bound on the hash, from a count of the keys, keeps what the tasks
+    hand in near n in all."""
+    place = F.pmod(F.xxhash64(*key), F.lit(1 << 40))
+    total = rows.agg(F.approx_count_distinct(place)).first()[0]
     if total > 4 * n:
-        rows = rows.where(F.pmod(place, F.lit(1 << 40)) < F.lit(int(2 * n / total * (1 << 40))))
-    return rows.orderBy(F.pmod(place, F.lit(1 << 40)), *key).limit(n)
-
-
-def row_key(id_col: str, text_col: str):
-    """64-bit key of a row; only rows equal in id and text share one."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+        rows = rows.where(place < F.lit(int(2.5 * n / total * (1 << 40))))
+    others = [F.first(c).alias(c) for c in rows.columns if c not in key]
+    once = rows.groupBy(*key).agg(*others) if others else rows.select(*key).distinct()
+    return once.orderBy(place, *key).limit(n).select(*rows.columns)
 
 
 def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,8 @@ documents, rows that share an id are ordered by text; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ WORDS = 5
 FRACTION = 0.25
 BUCKET_BYTES = 4 << 20
 SAMPLES_PER_BUCKET = 16
+MAX_BUCKETS = 1 << 16  # bounds what the driver samples and broadcasts; larger ranges are sorted with spilling
 LOWEST = -(1 << 63)
 
 
@@ -56,41 +59,35 @@ def written(s: Column) -> Column:
     return F.lower(F.array_join(F.transform(s, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
-def _bounds(docs: DataFrame) -> tuple[list[int], bool, int, int]:
-    """Ids that start the buckets (the smallest one first), whether there are null ids, and the range of ids."""
-    n, size, low, high, nulls = docs.agg(F.count("*"), F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+def _bounds(docs: DataFrame) -> tuple[list[int], bool]:
+    """Ids that start the buckets (the smallest one first), and whether there are null ids."""
+    n, size, low, nulls = docs.agg(F.count("*"), F.sum(F.octet_length("text")), F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     if low is None:
-        return [], bool(nulls), 0, 0
-    buckets = max(1, min(n, (size or 0) // BUCKET_BYTES + 1))
+        return [], bool(nulls)
+    buckets = min(n, (size or 0) // BUCKET_BYTES + 1, MAX_BUCKETS)
     step = max(1, n // (buckets * SAMPLES_PER_BUCKET))
     sample = sorted(r["doc_id"] for r in docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)).select("doc_id").distinct().collect())
-    return sorted({low, *sample[:: max(1, len(sample) // buckets)]}), bool(nulls), low, high
+    return sorted({low, *sample[:: max(1, len(sample) // buckets)]}), bool(nulls)
 
 
 def with_next(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Each row with `next_text` and a `next_` column for each of `extra`, taken from the row that follows by id (after the last: the first).
 
     Rows are dealt to ranges of ids that start at sampled ids; the first row of a range is also dealt, as a guest, to the
-    range before it, so that every range finds its neighbours by itself.
+    range before it, so that every range finds its neighbours by itself. A range is found in two steps over about the square root of
+    their number, wherever the ids lie.
     """
-    bounds, nulls, low, high = _bounds(docs)
-    width = max(1, -(-(high - low + 1) // max(1, len(bounds))))
-    cells: dict[int, list[int]] = {}
-    for b in bounds:
-        cells.setdefault((b - low) // width, []).append(b)
-    base, table = 0, []
-    for cell in range(max(1, len(bounds))):
-        inside = cells.get(cell, [])
-        table.append((cell, base, inside))
-        base += len(inside)
-    spark = docs.sparkSession
-    # A row for every range at most: as many as there are BUCKET_BYTES of text.
-    lookup = F.broadcast(spark.createDataFrame(table, "cell bigint, base int, inside array<bigint>"))
+    bounds, nulls = _bounds(docs)
+    width = max(1, math.isqrt(len(bounds)))
+    outer = F.array(*[F.lit(b) for b in bounds[::width]]).cast("array<bigint>")
+    table = [(k // width + 1, k, bounds[k : k + width]) for k in range(0, max(1, len(bounds)), width)]
+    # A row for every `width` ranges, MAX_BUCKETS ids in all at most.
+    lookup = F.broadcast(docs.sparkSession.createDataFrame(table, "cell int, base int, inside array<bigint>"))
+    dealt = docs.withColumn("cell", F.greatest(F.lit(1), F.size(F.filter(outer, lambda b: b <= F.col("doc_id"))))).join(lookup, "cell")
     last = max(1, len(bounds))
-    dealt = docs.withColumn("cell", F.coalesce(F.expr(f"(doc_id - {low}) div {width}"), F.lit(0)).cast("bigint")).join(lookup, "cell")
-    bucket = F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("base") + F.size(F.filter("inside", lambda b: b <= F.col("doc_id"))))
+    bucket = F.when(F.col("doc_id").isNull(), 1).otherwise(F.greatest(F.lit(1), F.col("base") + F.size(F.filter("inside", lambda b: b <= F.col("doc_id")))))
     starts = F.array_contains("inside", F.col("doc_id"))
-    opens = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(low)
+    opens = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(bounds[0] if bounds else None)
     dealt = dealt.withColumn("bucket", bucket).withColumn(
         "place",
         F.explode(

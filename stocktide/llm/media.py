@@ -4,9 +4,10 @@
 refers to and its caption. `media_store` holds payloads losslessly as 8-bit greyscale PNGs. `resolve` joins the references
 to the store by digest, and `aligned` puts the results back to their positions.
 
-Cases: null or empty HTML gives an empty sequence; a reference without a stored payload keeps its place with null
-results; a caption belongs to the media element before it in the same <figure>, else it is the alt text; equal payloads are
-stored under one digest; extra input columns are kept only when named.
+Cases: null or empty HTML gives an empty sequence; very long texts are payloads of many rows of samples; a reference without a
+stored payload keeps its place with null results; a caption belongs to the last media element of its <figure> (without a caption: the
+alt text), one outside of figures is text, and one left open ends with its figure or the page; a <body> ends an unclosed <head>; equal
+payloads are stored under one digest and read back once; repeated rows give equal rows; extra input columns are kept only when named.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ from stocktide.llm.common import slices, with_fields
 
 WIDTH = 64
 LEVEL = 3
+SALTS = 8
+KNOWN = 1 << 16  # digests that a task remembers
 SCHEME = "sha256:"
 ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
 RESULT = "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 PNG_MARK = b"\x89PNG\r\n\x1a\n"
-HIDDEN = {"script", "style", "head", "nav", "template", "noscript"}
+HIDDEN = {"script", "style", "head", "template"}
 MEDIA = {"img", "audio", "video", "source", "embed"}
 BLOCKS = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "figure", "table", "tr", "blockquote", "ul", "ol", "pre"}
 
@@ -42,36 +45,51 @@ class _Sequence(HTMLParser):
         self.words: list[str] = []
         self.hidden = 0
         self.caption: list[str] | None = None
+        self.figure: int | None = None  # where the open figure's items start
 
     def flush(self) -> None:
+        if self.caption is not None:
+            self.end_caption()
         if text := " ".join("".join(self.words).split()):
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
         self.words = []
 
+    def end_caption(self) -> None:
+        """The caption goes to the figure's last media item; elsewhere it is text."""
+        text, self.caption = " ".join("".join(self.caption or []).split()), None
+        media = [x for x in self.items[self.figure :] if x["kind"] == "media"] if self.figure is not None else []
+        if text and media:
+            media[-1]["caption"] = text
+        elif text:
+            self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
+
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag in HIDDEN:
             self.hidden += 1
+        elif tag == "body":
+            self.hidden = 0
         elif tag in MEDIA and a.get("src"):
             self.flush()
             self.items.append({"kind": "media", "text": None, "digest": a["src"].removeprefix(SCHEME), "caption": a.get("alt") or None})
         elif tag == "figcaption":
             self.flush()
             self.caption = []
-        elif tag in BLOCKS:
+        elif tag in BLOCKS and self.caption is None:
+            self.flush()
+        if tag == "figure":
             self.flush()
+            self.figure = len(self.items)
 
     def handle_endtag(self, tag):
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
+        elif tag == "figure":
+            self.flush()
+            self.figure = None
         elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            if text and self.items and self.items[-1]["kind"] == "media":
-                self.items[-1]["caption"] = text
-            elif text:
-                self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
-            self.caption = None
-        elif tag in BLOCKS:
+            self.end_caption()
+        elif tag in BLOCKS and self.caption is None:
             self.flush()
 
     def handle_data(self, data):
@@ -171,13 +189,20 @@ def media_store(rows: DataFrame) -> DataFrame:
     """Reads every stored payload back; one row of features per digest."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple] = {}  # copies in one task are decoded once
         for batch in slices(batches, column="media"):
             out: list[list] = [[] for _ in range(7)]
             for digest, media in zip(batch.column("digest").to_pylist(), batch.column("media")):
                 media = media.as_py()
+                form = hashlib.sha256(media).hexdigest()
+                if (digest, form) in known:
+                    continue
+                if len(known) >= KNOWN:
+                    known.clear()
+                known[digest, form] = ()
                 samples = decode_png(media)
                 payload = samples.tobytes()
-                for c, v in zip(out, (digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples))):
+                for c, v in zip(out, (digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), form, feature(samples))):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k in (1, 3, 4) else pa.string()) for k, c in enumerate(out)], names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
@@ -187,9 +212,15 @@ def media_store(rows: DataFrame) -> DataFrame:
 
 
 def resolve(sequences: DataFrame, store: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """A row per item of each sequence; media items get what the store has under their digest."""
+    """A row per item of each sequence; media items get what the store has under their digest.
+
+    References are dealt to SALTS parts of their digest, so that a payload shown everywhere doesn't meet in one task; every
+    stored payload's features go to each part.
+    """
     items = sequences.select(*keep, F.explode("items").alias("item")).select(*keep, "item.*")
-    return items.join(store, "digest", "left")
+    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*keep, "position"), F.lit(SALTS)).cast("int"))
+    copies = store.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["digest", "_salt"], "left").drop("_salt")
 
 
 def aligned(resolved: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
+OUTPUTS = ("n_tokens", "weight", "pass_no", "block", "slot")
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -79,18 +80,26 @@ def plan(rows: DataFrame, target_entropy: float | None, max_repeat: float | None
 
 
 def mix(docs: DataFrame, target_entropy: float | None = 0.97, max_repeat: float | None = 4.0, budget: float | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
-    """A row for each use of a document: the `keep` columns, n_tokens, weight, pass_no, block and slot (place in the block's pass)."""
-    rows = docs.select(*keep, F.col(source_col).cast("string").alias("_source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("bigint").alias("_tokens"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_hash"))
-    sources = plan(rows, target_entropy, max_repeat, budget)
-    dealt = rows.alias("d").join(F.broadcast(sources), F.col("d._source").eqNullSafe(sources["_source"])).select("d.*", "weight", "passes", "partial", F.pmod(F.col("_hash"), F.col("blocks")).alias("block"))
-    inside = Window.partitionBy("_source", "block").orderBy("_hash", *keep)
+    """A row for each use of a document: the `keep` columns, n_tokens, weight, pass_no, block and slot (place in the block's pass).
+
+    A kept column named like one of the others comes as `doc_<name>`.
+    """
+    n_tokens = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("bigint")
+    digest = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    rows = docs.select(F.struct(*keep).alias("kept"), F.col(source_col).cast("string").alias("_source"), n_tokens.alias("_tokens"), digest.alias("_hash"))
+    sources = F.broadcast(plan(rows, target_entropy, max_repeat, budget))
+    by_source = F.col("d._source").eqNullSafe(F.col("s._source"))
+    in_block = F.pmod(F.col("_hash"), F.col("blocks")).alias("block")
+    dealt = rows.alias("d").join(sources.alias("s"), by_source).select("d.*", "weight", "passes", "partial", in_block)
+    inside = Window.partitionBy("_source", "block").orderBy("_hash", "kept")
     ordered = dealt.select("*", F.sum("_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"))
     # Totals come from the windows' own input, before it is widened: a slim row per block.
-    totals = rows.alias("d").join(F.broadcast(sources), F.col("d._source").eqNullSafe(sources["_source"])).groupBy(F.col("d._source").alias("_s"), F.pmod(F.col("_hash"), F.col("blocks")).alias("_b")).agg(F.sum("_tokens").alias("t"))
+    totals = rows.alias("d").join(sources.alias("s"), by_source).groupBy(F.col("d._source").alias("_s"), in_block.alias("_b")).agg(F.sum("_tokens").alias("t"))
     before = totals.select("_s", "_b", (F.sum("t").over(Window.partitionBy("_s").orderBy("_b")) - F.col("t")).alias("_before"))
     joined = ordered.join(before, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     middle = F.col("_before") + F.col("_upto") - F.col("_tokens") / 2
     uses = F.col("passes") + F.when((F.col("_tokens") > 0) & (middle <= F.col("partial")), 1).otherwise(0)
     used = joined.withColumn("_uses", uses).where("_uses > 0").withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.col("_uses") - 1)))
-    place = Window.partitionBy("_source", "block", "pass_no").orderBy(F.xxhash64(F.lit(seed), "pass_no", "_hash"), *keep)
-    return used.select(*keep, F.col("_tokens").alias("n_tokens"), "weight", "pass_no", "block", (F.row_number().over(place) - 1).cast("bigint").alias("slot"))
+    place = Window.partitionBy("_source", "block", "pass_no").orderBy(F.xxhash64(F.lit(seed), "pass_no", "_hash"), "kept")
+    kept = [F.col(f"kept.{c}").alias(f"doc_{c}" if c in OUTPUTS else c) for c in keep]
+    return used.select(*kept, F.col("_tokens").alias("n_tokens"), "weight", "pass_no", "block", (F.row_number().over(place) - 1).cast("bigint").alias("slot"))

@@ -6,8 +6,9 @@ below with dual feasible functions. A partition whose count equals its bound is
 gap exchange the pieces of their unfilled bins with a neighbour and run best-fit decreasing again;
 the better of the old and the new packing stays.
 
-Cases: a null text counts as empty (one end id); an empty table gives no rows; repeated rows are packed
-each on its own; other columns of the input are ignored.
+Cases: a null text counts as empty (one end id); a very long text is as many full pieces as it takes, read whole; pieces that tie
+in length go in order of id, piece and content; an empty table gives no rows; repeated rows and rows without an id are packed each on
+its own; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -98,12 +99,12 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, vocabulary: str = "byte_
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 bounds = [0, *range(first, n + 1, capacity)]
+                if len(encoder) > WORD_CACHE:
+                    encoder.clear()
                 for k in range(len(bounds) - 1):
                     a, b = bounds[k], bounds[k + 1]
                     for column, value in zip(out, (doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]))):
                         column.append(value)
-            if len(encoder) > WORD_CACHE:
-                encoder.clear()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES)
@@ -183,7 +184,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, group_items: int = GROUP_ITEMS
         gap = int(bins.max()) + 1 - lower_bound(lengths, capacity)
         return _laid_out(pdf.assign(g=int(key[0])), bins, capacity, gap)
 
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    # Pieces are read from a table: the row number is the same whenever a task is run again, and deals rows of one id apart.
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     state = stored(dealt.groupBy("g").applyInPandas(first, PACKED), "packed")
     done = []
     for r in range(rounds + 1):

@@ -1,19 +1,27 @@
 """Personal data by candidate gradient boosting.
 
-Generators propose spans: the four base patterns with their checks, and looser ones. Base spans that pass their check always
-stay. Boosted trees, trained here on base spans and on what the checks reject, score the looser candidates by format
-and context; a threshold calibrated on held-out candidates selects which are added. Added spans never overlap a base
-span or each other.
-
-Cases: a null or empty text has no spans; without any training candidate nothing is added; offsets are code points;
-ties in overlap go to the higher score, then the earlier and longer span; other columns are ignored.
+Generators propose spans: the four base patterns with their checks, and looser ones, which may overlap. Base spans that pass their
+check always stay. Boosted trees score the looser candidates by format and context; a threshold calibrated on held-out candidates selects
+which are added. Added spans never overlap a base span or each other.
+
+Nobody labels loose candidates, so training makes some: base spans that pass are written anew where they stand, as people write them
+to hide or to group them ("ann (at) example (dot) org", "0049.30.123456"), and what the generators propose there counts as
+personal data if it is that span, and not if it is only a part of it. What they propose elsewhere, and base matches that fail their check, count
+as other numbers. The checks themselves aren't features.
+
+Cases: a null or empty text has no spans; very long texts are scanned whole; without enough training candidates nothing is added; offsets are
+code points; ties in overlap go to the higher score, then the earlier and longer span; repeated texts are learned from once;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -67,7 +75,7 @@ def base_candidates(text: str) -> list[tuple[int, int, str, bool]]:
         at = text.find("@", max(at + 1, done))
     if DIGIT.search(text):
         if "." in text:
-            found += [(m.start(), m.end(), "ip", all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))) for m in IP.finditer(text)]
+            found += [(m.start(), m.end(), "ip", all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))) for m in IP.finditer(text)]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             found.append((m.start(), m.end(), "card", 14 <= len(digits) <= 19 and luhn(digits)))
@@ -103,7 +111,7 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     edge = lambda c: 0 if not c else 1 if c.isspace() else 2 if c.isalpha() else 3 if c.isdigit() else 4
     return [
         KINDS.index(kind), n, len(digits), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0), len(groups[-1]) if groups else 0, *counts, entropy,
-        float(len(digits) in range(10, 16)), float(14 <= len(digits) <= 19 and luhn("".join(digits))), max((int(g[:6]) for g in groups), default=-1), float(any(len(g) > 1 and g[0] == "0" for g in groups)),
+        max((int(g[:6]) for g in groups), default=-1), float(any(len(g) > 1 and g[0] == "0" for g in groups)),
         edge(left[-1:]), edge(right[:1]), float(bool(re.search(r"[=:#] ?\"?$", left))), sum(c.isdigit() for c in left), sum(c.isdigit() for c in right), sum(c.isalpha() for c in left),
     ]
 
@@ -181,24 +189,64 @@ def calibrate(model: BoostedTrees, x: np.ndarray, y: np.ndarray, precision: floa
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> BoostedTrees | None:
-    """Learns from the candidates of at most `sample_rows` texts of at most `sample_bytes` bytes each, chosen by hash.
-
-    Labels: a base match is 1 if it passes its check, else 0; every other loose candidate is left out, for nobody labels it.
-    """
+def rewritten(span: str, kind: str, form: int) -> str:
+    """A base span as people write it to hide or to group it; `form` picks the way."""
+    if kind == "email":
+        local, host = span.rsplit("@", 1)
+        at, dot = ((" (at) ", " (dot) "), (" [at] ", "."), ("(at)", "."), ("[at]", " [dot] "))[form % 4]
+        return local + at + host.replace(".", dot)
+    if kind == "ip":
+        return span.replace(".", (" . ", ". ", " .")[form % 3])
+    digits = re.sub("[^0-9]", "", span)
+    if kind == "card":
+        return (".", "_", "/", " - ", "  ")[form % 5].join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    lead = ("00", "+", "")[form % 3]
+    sep = (".", "/", " ", "-")[form // 3 % 4]
+    return lead + sep.join([digits[:2], *(digits[k : k + 3] for k in range(2, len(digits) - 3, 3)), digits[2 + (len(digits) - 5 + 2) // 3 * 3 :] or digits[-2:]])
+
+
+def labelled_candidates(text: str) -> tuple[list[list[float]], list[float]]:
+    """Features and labels of the candidates that one text gives for training."""
+    base = base_candidates(text)
+    x = [features(text, *c[:3]) for c in base if not c[3]]
+    x += [features(text, *c) for c in loose_candidates(text, base)]
+    y = [0.0] * len(x)
+    for start, end, kind, ok in base:
+        if not ok:
+            continue
+        new = rewritten(text[start:end], kind, zlib.crc32(text[start:end].encode()))
+        # Context enough for the features; a window keeps long texts linear.
+        left, right = text[max(0, start - 64) : start], text[end : end + 64]
+        around, at = left + new + right, len(left)
+        for a, b, k in loose_candidates(around, [c for c in base_candidates(around) if c[0] >= at + len(new) or c[1] <= at]):
+            if a < at + len(new) and b > at:
+                x.append(features(around, a, b, k))
+                y.append(float(k == kind and a <= at and b >= at + len(new) and b - a <= len(new) + 2))
+    return x, y
+
+
+def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> BoostedTrees | None:
+    """Learns from the candidates of at most `sample_rows` distinct texts of at most `sample_bytes` bytes each, chosen by hash, in a task
+    of its own; only the model comes to the driver."""
     rows = docs.where((F.octet_length(text_col) <= sample_bytes) & F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).cast("string").alias("text"))
-    texts = [r["text"] for r in lowest_by_hash(rows, ["text"], sample_rows).collect()]
-    x, y, fold = [], [], []
-    for text in texts:
-        for start, end, kind, ok in base_candidates(text):
-            x.append(features(text, start, end, kind))
-            y.append(float(ok))
-            fold.append(hashlib.sha256(text.encode()).digest()[0] % 4 == 0)
-    y_, held = np.array(y), np.array(fold, bool)
-    if len(y) < 50 or not 0 < y_[~held].mean() < 1 or held.sum() < 10:
-        return None
-    x_ = np.array(x, np.float64)
-    return calibrate(fit_trees(x_[~held], y_[~held]), x_[held], y_[held])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = sorted(t for b in batches for t in b.column("text").to_pylist())
+        x, y, fold = [], [], []
+        for text in texts:
+            xs, ys = labelled_candidates(text)
+            x += xs
+            y += ys
+            fold += [hashlib.sha256(text.encode()).digest()[0] % 4 == 0] * len(xs)
+        y_, held = np.array(y), np.array(fold, bool)
+        model = None
+        if len(y) >= 50 and held.sum() >= 10 and 0 < y_[~held].mean() < 1:
+            x_ = np.array(x, np.float64)
+            model = calibrate(fit_trees(x_[~held], y_[~held]), x_[held], y_[held])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = lowest_by_hash(rows, ["text"], sample_rows).repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else None
 
 
 def find_spans(text: str, model: BoostedTrees | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -211,8 +259,9 @@ def find_spans(text: str, model: BoostedTrees | None) -> tuple[list[tuple[int, i
     if loose:
         p = model.probability(np.array([features(text, *c) for c in loose], np.float64))
         for _, start, end, kind in sorted((-p[i], a, -b, k) for i, (a, b, k) in enumerate(loose) if p[i] >= model.threshold):
-            if all(-end <= a or b <= start for a, b, _ in added):
-                added.append((start, -end, kind))
+            k = bisect_right(added, (start,))
+            if (k == 0 or added[k - 1][1] <= start) and (k == len(added) or -end <= added[k][0]):
+                added.insert(k, (start, -end, kind))
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     return sorted((x[:3] for x in base if x[3]), key=order), sorted(added, key=order)
 

@@ -5,16 +5,20 @@ toxic if its word is far commoner in toxic than in clean documents. The field (t
 neighbours, four transitions) is fitted by gradient ascent; forward-backward marginals tag every token of a text. A
 logistic layer over the marginals gives the document's score; runs of tokens above one half are its offending offsets.
 
-A chain is a run of at most CHAIN tokens. Cases: null, empty and wordless texts get the layer's score for no
-evidence; without labelled rows of both kinds every score is the share of toxic labels (0 if none); repeated label rows of a
-document count once, by the largest label; null labels are left out; other columns are ignored.
+A text is read in chains of at most CHAIN tokens that overlap by LAP tokens at either end, so that every token that a chain answers for is
+tagged with its neighbours. The field is fitted in a task of its own on a bounded sample; only the model comes to the driver.
+
+Cases: null, empty and wordless texts get the layer's score for no evidence; very long texts are many chains; without labelled
+rows of both kinds every score is the share of toxic labels (0 if none); repeated label rows of a document count once, by the
+largest label; null labels are left out; different texts under one id are all labelled by it; rows that tie in the order of
+the sample are equal in id and text, and one of them is drawn; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import io
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,8 +31,9 @@ from pyspark.sql import functions as F
 from stocktide.llm.common import lowest_by_hash, slices, with_fields
 
 WORD = re.compile(r"\w+")
-CHAIN = 64
-SAMPLE_ROWS, SAMPLE_BYTES, MIN_DOCS, CHANCE = 3000, 20_000, 5, 1e-4
+CHAIN, LAP = 64, 8
+STEP = CHAIN - 2 * LAP
+SAMPLE_ROWS, SAMPLE_BYTES, VOCABULARY, MIN_DOCS, CHANCE = 3000, 20_000, 50_000, 5, 1e-4
 BATCH, EPOCHS = 4096, 2  # chains of a gradient step; times that every chain is in one, at least
 
 
@@ -74,33 +79,36 @@ def marginals(emission: np.ndarray, mask: np.ndarray, move: np.ndarray) -> tuple
     return p, pair * mask[:, 1:].T[:, :, None, None]
 
 
-def _chains(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token ids of several texts as padded rows, their mask, and the text of each row."""
-    rows = [-(-len(x) // CHAIN) for x in tokens]
-    ids = np.zeros((sum(rows), CHAIN), np.int32)
-    mask = np.zeros(ids.shape, bool)
-    flat_ids, flat_mask, at = ids.reshape(-1), mask.reshape(-1), 0
-    for x, r in zip(tokens, rows):
-        flat_ids[at : at + len(x)] = x
-        flat_mask[at : at + len(x)] = True
-        at += r * CHAIN
-    return ids, mask, np.repeat(np.arange(len(tokens)), rows)
+def _chains(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token ids of several texts as padded rows, their mask, the text of each row, the tokens that each row answers for, and where
+    they stand in the texts laid end to end."""
+    sizes = np.array([len(x) for x in tokens], np.int64)
+    rows = -(-sizes // STEP)
+    of = np.repeat(np.arange(len(tokens)), rows)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(rows) - rows, rows)
+    start = np.maximum(0, nth * STEP - LAP)
+    at = start[:, None] + np.arange(CHAIN)
+    mask = at < np.minimum(sizes[of], nth * STEP + STEP + LAP)[:, None]
+    own = mask & (at >= nth[:, None] * STEP) & (at < (nth[:, None] + 1) * STEP)
+    flat = np.concatenate([*tokens, np.zeros(1, np.int32)])
+    place = (np.cumsum(sizes) - sizes)[of][:, None] + at
+    ids = np.where(mask, flat[np.minimum(place, len(flat) - 1)], 0)
+    return ids, mask, of, own, place[own]
 
 
 def _evidence(field: ToxicField, tokens: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Inputs of the document layer, and the marginals of each text's tokens."""
-    ids, mask, of = _chains(tokens)
-    top, total, per_text = np.zeros(len(tokens)), np.zeros(len(tokens)), [np.zeros(0)] * len(tokens)
+    ids, mask, of, own, place = _chains(tokens)
+    top, total = np.zeros(len(tokens)), np.zeros(len(tokens))
+    flat = np.zeros(sum(map(len, tokens)))
     if len(ids):
-        p = marginals(field.emissions(ids, mask), mask, field.move)[0] if len(ids) < 64 else np.concatenate([_only_p(field, ids[i : i + 4096], mask[i : i + 4096]) for i in range(0, len(ids), 4096)])
-        p = np.where(mask, p, 0.0)
+        p = np.concatenate([_only_p(field, ids[i : i + BATCH], mask[i : i + BATCH]) for i in range(0, len(ids), BATCH)])
+        p = np.where(own, p, 0.0)
         np.maximum.at(top, of, p.max(1))
         np.add.at(total, of, p.sum(1))
-        flat, at = p.reshape(-1), 0
-        for i, x in enumerate(tokens):
-            per_text[i] = flat[at : at + len(x)]
-            at += -(-len(x) // CHAIN) * CHAIN
+        flat[place] = p[own]
     top = np.clip(top, 1e-4, 1 - 1e-4)
+    per_text = np.split(flat, np.cumsum([len(x) for x in tokens])[:-1]) if tokens else []
     return np.stack([np.ones(len(tokens)), np.log(top / (1 - top)), np.log1p(total)], 1), per_text
 
 
@@ -130,27 +138,35 @@ def by_chance(toxic: int, clean: int, share: float) -> float:
     return sum(map(math.exp, logs))
 
 
-def fit(texts: list[str], labels: list[int], weights: list[float], steps: int = 80) -> ToxicField:
-    """Field and document layer from a bounded list of labelled texts; `weights` undo how the sample was drawn."""
-    words = [WORD.findall(t.lower()) for t in texts]
+def fit(texts: list[str], labels: list[int], weights: list[float], steps: int = 80, vocabulary_words: int = VOCABULARY) -> ToxicField:
+    """Field and document layer from a bounded list of labelled texts; `weights` undo how the sample was drawn. The field knows the
+    `vocabulary_words` commonest words; others share one weight."""
+    number: dict[str, int] = {}
+    words = [np.fromiter((number.setdefault(w, len(number)) for w in WORD.findall(t.lower())), np.int32) for t in texts]
+    names = list(number)
     toxic, clean = Counter(), Counter()
-    around: dict[str, set] = {}
+    around: dict[int, set] = {}
     for w, y in zip(words, labels):
-        (toxic if y else clean).update(set(w))
+        (toxic if y else clean).update(np.unique(w).tolist())
         if y:
-            for before, word, after in zip(["", *w], w, [*w[1:], ""]):
+            for before, word, after in zip([-1, *w[:-1].tolist()], w.tolist(), [*w[1:].tolist(), -1]):
                 around.setdefault(word, set()).add((before, after))
     n1, n0 = max(1, sum(labels)), max(1, len(labels) - sum(labels))
     # A word counts as toxic if its share of toxic documents is many times its share of clean ones, by more than chance, in
     # settings that differ: copies of one toxic document don't make its other words toxic. The share itself is free, so that
     # the words of a language with few documents count too.
     odd = {w for w, n in toxic.items() if n >= MIN_DOCS and n / n1 > 8 * (clean[w] + 1) / n0 and len(around[w]) > max(MIN_DOCS, n / 2) and by_chance(n, clean[w], n1 / (n1 + n0)) < CHANCE}
-    common = [w for w, n in (toxic + clean).most_common(50_000) if n >= MIN_DOCS or w in odd]
-    vocabulary = {w: i for i, w in enumerate(sorted(common), 1)}
-    tokens = [np.array([vocabulary.get(x, 0) for x in w], np.int32) for w in words]
-    ids, mask, of = _chains(tokens)
+    both = toxic + clean
+    common = sorted((-n, names[w], w) for w, n in both.items() if n >= MIN_DOCS or w in odd)[:vocabulary_words]
+    vocabulary = {w: i for i, w in enumerate(sorted(name for _, name, _ in common), 1)}
+    index = np.zeros(len(names) + 1, np.int32)
+    for _, name, w in common:
+        index[w] = vocabulary[name]
+    tokens = [index[w] for w in words]
+    ids, mask, of, _, _ = _chains(tokens)
     is_odd = np.zeros(len(vocabulary) + 1, bool)
-    is_odd[[vocabulary[w] for w in odd]] = True
+    is_odd[[index[w] for w in odd]] = True
+    is_odd[0] = False
     y = is_odd[ids] & mask & np.array(labels, bool)[of][:, None]
     # Every chain is learned from, in batches that hold both sorts alike: toxic chains and others, each in an order drawn at random.
     some, rest = np.flatnonzero(y.any(1)), np.flatnonzero(~y.any(1))
@@ -187,8 +203,27 @@ def fit(texts: list[str], labels: list[int], weights: list[float], steps: int =
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows=None, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> ToxicField | float:
-    """Learns from at most `sample_rows` labelled texts of each kind, drawn by hash, of at most `sample_bytes` bytes.
+def packed(model: ToxicField | float) -> bytes:
+    if isinstance(model, float):
+        return np.float64(model).tobytes()
+    out = io.BytesIO()
+    words = np.frombuffer("\n".join(model.vocabulary).encode(), np.uint8)
+    np.savez_compressed(out, words=words, own=model.own, left=model.left, right=model.right, bias=np.float64(model.bias), move=model.move, layer=model.layer)
+    return out.getvalue()
+
+
+def unpacked(raw: bytes) -> ToxicField | float:
+    if len(raw) == 8:
+        return float(np.frombuffer(raw, np.float64)[0])
+    with np.load(io.BytesIO(raw)) as x:
+        words = x["words"].tobytes().decode()
+        vocabulary = {w: i for i, w in enumerate(words.split("\n") if words else [], 1)}
+        return ToxicField(vocabulary, x["own"], x["left"], x["right"], float(x["bias"]), x["move"], x["layer"])
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows=None, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, vocabulary_words: int = VOCABULARY) -> ToxicField | float:
+    """Learns from `sample_rows` labelled texts of each kind at most, of at most `sample_bytes` bytes, drawn by hash: among
+    2 * `sample_rows` labelled ids of each kind, for some have no such text.
 
     `train_rows` is a condition on the id column that labels have to meet. With one kind only, the share of label 1.
     """
@@ -199,25 +234,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     totals = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if not totals.get(0) or not totals.get(1):
         return float(bool(totals.get(1)))
-    # Twice as many ids as are kept, for those whose text is missing or too long.
-    pick = None
-    for kind in (0, 1):
-        part = lowest_by_hash(marked.where(F.col("toxic") == kind), ["doc_id"], 2 * sample_rows)
-        pick = part if pick is None else pick.unionAll(part)
+    kinds = [lowest_by_hash(marked.where(F.col("toxic") == kind), ["doc_id"], 2 * sample_rows) for kind in (0, 1)]
     texts = docs.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= sample_bytes)).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(pick), "doc_id").select("toxic", "doc_id", "text").collect()  # at most 4 * sample_rows ids
-    rows.sort(key=lambda r: (r["toxic"], hash_key(r["doc_id"]), r["text"]))
-    kept = [[r for r in rows if r["toxic"] == k][:sample_rows] for k in (0, 1)]
-    if not kept[0] or not kept[1]:
-        return float(bool(kept[1]))
+    found = texts.join(F.broadcast(kinds[0].unionAll(kinds[1])), "doc_id")  # at most 4 * sample_rows ids
+    found = found.withColumn("digest", F.md5("text")).groupBy("toxic", "doc_id", "digest").agg(F.first("text").alias("text"))
+    order = [F.xxhash64("doc_id"), "doc_id", "digest"]
+    sample = [found.where(F.col("toxic") == kind).orderBy(*order).limit(sample_rows) for kind in (0, 1)]
     whole = totals[0] + totals[1]
-    share = (totals[0] / whole / len(kept[0]), totals[1] / whole / len(kept[1]))
-    n = len(kept[0]) + len(kept[1])
-    return fit([r["text"] for k in kept for r in k], [r["toxic"] for k in kept for r in k], [share[r["toxic"]] * n for k in kept for r in k])
-
 
-def hash_key(doc_id) -> int:
-    return zlib.crc32(str(doc_id).encode())
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[tuple[int, str]] = [x for b in batches for x in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist())]
+        known.sort()
+        n1 = sum(y for y, _ in known)
+        n = (len(known) - n1, n1)
+        if not n[0] or not n[1]:
+            model: ToxicField | float = float(bool(n1))
+        else:
+            share = [totals[k] / whole / n[k] * len(known) for k in (0, 1)]
+            model = fit([t for _, t in known], [y for y, _ in known], [share[y] for y, _ in known], vocabulary_words=vocabulary_words)
+        yield pa.RecordBatch.from_arrays([pa.array([packed(model)], pa.binary())], names=["model"])
+
+    one = sample[0].unionAll(sample[1]).select("toxic", "text").repartition(1)
+    made = one.mapInArrow(learn, "model binary").collect()  # a row, of vocabulary_words words at most
+    return unpacked(made[0]["model"]) if made else 0.0
 
 
 def score(docs: DataFrame, model: ToxicField | float, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
