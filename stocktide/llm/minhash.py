@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocktide.llm.common import slices, stored
+from stocktide.llm.common import discard, slices, stored
 
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
@@ -219,7 +219,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating stars: minima are aggregated before they are joined back, so that a hub isn't gathered anywhere.
     """
-    tree = stored(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("to")).where("node != to").distinct(), "stars")
+    tree, old = stored(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("to")).where("node != to").distinct(), "stars"), None
     state = None
     while True:
         both = tree.unionAll(tree.select(F.col("to").alias("node"), F.col("node").alias("to")))
@@ -227,7 +227,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("to > node").join(low, "node").select(F.col("to").alias("node"), F.col("low").alias("to")).where("node != to").distinct()
         least = large.groupBy("node").agg(F.min("to").alias("low"))
         small = large.join(least, "node").select(F.col("to").alias("node"), F.col("low").alias("to")).unionAll(least.select("node", F.col("low").alias("to")))
-        tree = stored(small.where("node != to").distinct(), "stars")
+        tree, old = stored(small.where("node != to").distinct(), "stars"), tree
+        discard(old)
         now = tree.agg(F.count("*"), F.sum(F.xxhash64("node", "to").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -238,39 +239,53 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
-    rows = stored(sketch_rows(docs, words, id_col, text_col), "sketches")
-    sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("m"))
-    sets = stored(sets.select("n_shingles", "s1", "s2", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands"), F.col("m.sketch").alias("sketch")), "sets")
+    made: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(stored(df, name))
+        return made[-1]
+
+    sketched = stored(sketch_rows(docs, words, id_col, text_col), "sketches")
+    filled = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    sets = sketched.where(filled).groupBy("n_shingles", "s1", "s2").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("m"))
+    sets = kept(sets.select("n_shingles", "s1", "s2", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands"), F.col("m.sketch").alias("sketch")), "sets")
+    rows = stored(sketched.drop("bands", "sketch"), "rows")
+    discard(sketched)
     members = sets.select("rep", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("size")).where("size > 1").select("key", "centre")
-    close = stored(members.join(shared, "key"), "buckets")  # rep, n, band, key, centre
-    reps = close.select(F.col("rep").alias("doc_id")).distinct()
+    close = kept(members.join(shared, "key"), "buckets")  # rep, n, band, key, centre
+    reps = kept(close.select(F.col("rep").alias("doc_id")).distinct(), "reps")
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    full = stored(full_sets(base.join(reps, "doc_id", "left_semi"), words), "full")
+    full = kept(full_sets(base.join(reps, "doc_id", "left_semi"), words), "full")
     # Rows that share an id are one node: every set of theirs leads to the id.
-    same = rows.where("n_shingles > 0 and doc_id is not null").join(sets.select("n_shingles", "s1", "s2", "rep"), ["n_shingles", "s1", "s2"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    same = rows.where(filled).join(sets.select("n_shingles", "s1", "s2", "rep"), ["n_shingles", "s1", "s2"]).where("doc_id != rep")
+    same = kept(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "same")
 
-    tested = stored(close.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = stored(confirmed(tested, full, percent), "links")
+    tested = kept(close.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    links = kept(confirmed(tested, full, percent), "links")
     spanning = links  # edges that hold together what is linked so far
     for attempt in range(hub_rounds + 1):
-        groups = components(spanning)
+        groups = kept(components(spanning), "groups")
         spanning = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
         at = close.select("rep", "n", "band", "key").join(groups, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
         apart = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        open_ = stored(at.join(apart, "key"), "open")
+        open_ = kept(at.join(apart, "key"), "open")
         if open_.isEmpty():
             break
         if attempt < hub_rounds:
             degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
             ranked = open_.join(degree, "rep", "left").select("key", "rep", "n", "component", F.coalesce("degree", F.lit(0)).alias("degree"))
             hub = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("low"), "rep", "n", "component")).alias("hub"))
-            new = ranked.join(hub, "key").where("component != hub.component and 100 * least(n, hub.n) >= %d * greatest(n, hub.n)" % percent).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
+            alike_enough = f"component != hub.component and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)"
+            new = ranked.join(hub, "key").where(alike_enough).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
         else:
             new = alike(open_, sets.select("rep", "sketch"), percent)
-        new = stored(new.distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+        new = kept(new.distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionAll(new)
-        found = stored(confirmed(new, full, percent), "links")
+        found = kept(confirmed(new, full, percent), "links")
         links, spanning = links.unionAll(found), spanning.unionAll(found)
     groups = stored(components(spanning.unionAll(same)), "groups")
-    return rows.join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    for table in made:
+        discard(table)
+    joined = rows.join(groups, F.col("doc_id") == F.col("node"), "left")
+    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
