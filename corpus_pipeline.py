@@ -26,13 +26,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near-copies. Rows equal in id and text are one; different texts under one id are documents of
     their own: the first real one goes by the id, the others by a number that a hash of id and text gives, above usual ids."""
     with_id = docs.where("doc_id is not null")
-    ids = with_id.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("text").alias("_first")).where("_n > 1")
+    # Only ids are shuffled to find the repeated ones; tables of known size are broadcast if they are small.
+    ids = stored(with_id.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "repeated")
+    first = F.min("text").over(Window.partitionBy("doc_id"))
     nth = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("lang", "source", "n_chars"))
     other = F.lit(1 << 62) + F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1))
-    repeated = with_id.join(ids, "doc_id").withColumn("_nth", nth).where("_nth = 1").withColumn("_key", F.when(F.col("text").eqNullSafe(F.col("_first")), F.col("doc_id")).otherwise(other))
+    key = F.when(F.col("text").eqNullSafe(F.col("_first")), F.col("doc_id")).otherwise(other)
+    repeated = with_id.join(ids, "doc_id").withColumn("_first", first).withColumn("_nth", nth).where("_nth = 1").withColumn("_key", key)
     rows = with_id.join(ids, "doc_id", "left_anti").withColumn("_key", F.col("doc_id")).select("_key", *COLUMNS).unionAll(repeated.select("_key", *COLUMNS))
-    rows = stored(rows, "keyed")
-    gone = minhash.near_groups(rows, id_col="_key").where("not kept").select(F.col("doc_id").alias("_key")).distinct()
+    gone = stored(minhash.near_groups(rows, id_col="_key").where("not kept").select(F.col("doc_id").alias("_key")).distinct(), "copies")
     return rows.join(gone, "_key", "left_anti").select(*COLUMNS).unionAll(docs.where("doc_id is null").select(*COLUMNS))
 
 
