@@ -6,28 +6,32 @@ never broadcast by hint: their sizes grow with the catalogue, so the planner and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocktide.functions import text
 
 # Labels of how a product was found.
 RULE, RULE_MISSING, SKU, COMBO, NAME, NONE = "人工映射", "映射的 SKU 在本店不存在", "SKU 相同", "组合商品 SKU 命中", "商品名相同", "未匹配"
+TO_FILL = "⚠ 需要人工填写 parent_sku"
 
 
 def rule_lookup(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """`parent_sku` of the first rule key present, out of six from exact to wildcard; null if none is.
+    """`parent_sku` and `size_map` of the first rule key present, out of six from exact to wildcard; null if none is.
 
-    rows: ord, source, category, product, occurrence. rules: source, category, product, parent_sku, ord (last of equal keys counts).
+    rows: ord, source, category, product, occurrence. rules: source, category, product, parent_sku, size_map, ord (last of equal keys counts).
     """
-    last = rules.groupBy("source", F.when(F.trim(F.coalesce("category", F.lit(""))) == "", "*").otherwise(F.trim("category")).alias("category"), "product").agg(F.max_by("parent_sku", "ord").alias("parent_sku"))
+    if "size_map" not in rules.columns:
+        rules = rules.withColumn("size_map", F.lit(""))
+    category = F.when(F.trim(F.coalesce("category", F.lit(""))) == "", "*").otherwise(F.trim("category"))
+    last = rules.groupBy(F.trim("source").alias("source"), category.alias("category"), F.trim("product").alias("product")).agg(F.max_by(F.struct(F.trim(F.coalesce("parent_sku", F.lit(""))).alias("parent_sku"), F.trim(F.coalesce("size_map", F.lit(""))).alias("size_map")), "ord").alias("r")).where("product <> ''")
     s, c, k, p, any_ = (F.col("source"), F.col("category"), F.col("occurrence"), F.col("product"), F.lit("*"))
     keys = [(s, c, k), (any_, c, k), (s, any_, k), (any_, any_, k), (s, c, p), (any_, any_, p)]
     options = F.array(*[F.struct(F.lit(i).alias("prio"), a.alias("rs"), b.alias("rc"), d.alias("rp")) for i, (a, b, d) in enumerate(keys)])
     tried = rows.select("ord", F.explode(options).alias("o")).select("ord", "o.*")
     found = tried.join(last, (F.col("rs") == last["source"]) & (F.col("rc") == last["category"]) & (F.col("rp") == last["product"]))
-    best = found.groupBy("ord").agg(F.min_by(F.struct(F.coalesce("parent_sku", F.lit("")).alias("parent_sku")), "prio").alias("rule"))
-    return rows.join(best, "ord", "left").withColumn("parent_sku", F.col("rule.parent_sku")).drop("rule")
+    best = found.groupBy("ord").agg(F.min_by("r", "prio").alias("rule"))
+    return rows.join(best, "ord", "left").withColumn("parent_sku", F.col("rule.parent_sku")).withColumn("size_map", F.col("rule.size_map")).drop("rule")
 
 
 def sku_index(products: DataFrame) -> DataFrame:
@@ -104,47 +108,107 @@ def by_similarity(rows: DataFrame, products: DataFrame, threshold: float = 0.86,
 
 
 def match_products(rows: DataFrame, products: DataFrame, rules: DataFrame | None = None, combos: bool = False, threshold: float = 0.86) -> DataFrame:
-    """ord, product_id, method of every row."""
+    """ord, product_id, method of every row.
+
+    All exact strategies are tried at once and the first that hits is kept; similarity sees only the names of the rows that are left.
+    """
     if rules is not None:
         rows = rule_lookup(rows, rules)
-    found, left = None, rows
-    steps = [lambda r: by_rule_sku(r, products)] if rules is not None else []
-    steps += [lambda r: by_keys(r, sku_index(products), SKU)]
-    steps += [lambda r: by_keys(r, combo_index(products), COMBO)] if combos else []
-    steps += [lambda r: by_name(r, products), lambda r: by_similarity(r, products, threshold)]
-    for step in steps:
-        hit = step(left)
-        found = hit if found is None else found.unionByName(hit)
-        left = left.join(hit.select("ord"), "ord", "left_anti")
-    return found.unionByName(left.select("ord", F.lit(None).cast("bigint").alias("product_id"), F.lit(NONE).alias("method")))
+    steps = [by_rule_sku(rows, products)] if rules is not None else []
+    steps.append(by_keys(rows, sku_index(products), SKU))
+    steps += [by_keys(rows, combo_index(products), COMBO)] if combos else []
+    steps.append(by_name(rows, products))
+    hits = None
+    for prio, hit in enumerate(steps):
+        ranked = hit.select("ord", F.struct(F.lit(prio).alias("prio"), "product_id", "method").alias("hit"))
+        hits = ranked if hits is None else hits.unionAll(ranked)
+    first = hits.groupBy("ord").agg(F.min_by("hit", "hit.prio").alias("hit"))
+    joined = rows.select("ord", "product").join(first, "ord", "left")
+    alike = by_similarity(joined.where("hit is null").select(F.col("product").alias("ord"), "product").distinct(), products, threshold)
+    alike = alike.select(F.col("ord").alias("product"), F.struct("product_id", "method").alias("alike"))
+    out = joined.join(alike, "product", "left")
+    chosen = F.when(F.col("hit").isNotNull(), F.col("hit.product_id")).otherwise(F.col("alike.product_id"))
+    method = F.coalesce(F.col("hit.method"), F.col("alike.method"), F.lit(NONE))
+    return out.select("ord", chosen.alias("product_id"), method.alias("method"))
 
 
 def find_variation(rows: DataFrame, variations: DataFrame) -> DataFrame:
-    """rows (ord, product_id, size) with the first variation any of whose options is that size; null if none is."""
+    """rows (ord, product_id, size, and size_map if sizes are to be translated) with the first variation any of whose options is that
+    size; null if none is."""
     options = variations.select("product_id", F.explode("options").alias("option"), F.col("id").alias("variation_id"), F.col("ord").alias("vord")).withColumn("key", text.normalize_size(F.col("option")))
     first = options.groupBy("product_id", "key").agg(F.min_by("variation_id", "vord").alias("variation_id"))
-    return rows.withColumn("key", text.normalize_size(F.col("size"))).join(first, ["product_id", "key"], "left").drop("key")
+    size = text.normalize_size(F.col("size"))
+    if "size_map" in rows.columns:
+        translated = F.try_element_at(text.size_map(F.col("size_map")), size)
+        size = F.when(F.coalesce("size_map", F.lit("")) == "", size).otherwise(text.normalize_size(F.coalesce(translated, F.col("size"))))
+    return rows.withColumn("key", size).join(first, ["product_id", "key"], "left").drop("key")
 
 
-def nearest_sku(wanted: DataFrame, products: DataFrame, max_distance: int = 2, limit: int = 3) -> DataFrame:
-    """wanted (key): up to `limit` products by edit distance, or of the same digits; nearer ones first.
+def suggestions(rows: DataFrame, products: DataFrame, rules: DataFrame | None = None, combos: bool = False, threshold: float = 0.86) -> DataFrame:
+    """A rule for each product of the sources: the catalogue's identifier if one is found, else a request to fill it in.
 
-    Edit-distance pairs come from shared pieces: of max_distance + 1 pieces of a key, one is left whole by that many edits, and it
-    stands within max_distance of its place in the other. Keys shorter than that are compared by length.
+    rows: ord, source, category, product, occurrence. The first row of each (source, category, occurrence) speaks for it.
     """
-    pieces = max_distance + 1
-    other = products.select(text.normalize_sku(F.col("sku")).alias("sku"), "id", "ord").where("sku <> ''").groupBy("sku").agg(F.min_by("id", "ord").alias("id"), F.min("ord").alias("ord"))
-    mine = wanted.select(text.normalize_sku(F.col("key")).alias("k"), "key").where("k <> ''").distinct()
+    first = rows.groupBy("source", "category", "occurrence").agg(F.min_by(F.struct("ord", "product"), "ord").alias("f")).select("source", "category", "occurrence", "f.*")
+    matched = match_products(first, products, rules, combos, threshold)
+    given = rule_lookup(first, rules).select("ord", "parent_sku") if rules is not None else first.select("ord", F.lit("").alias("parent_sku"))
+    out = first.join(matched, "ord").join(given, "ord").join(products.select(F.col("id").alias("product_id"), "sku"), "product_id", "left")
+    sku = F.when(F.coalesce("sku", F.lit("")) != "", F.col("sku")).when(F.col("method").isin(RULE, RULE_MISSING), F.coalesce("parent_sku", F.lit(""))).otherwise("")
+    note = F.when(F.col("product_id").isNotNull(), F.col("method")).otherwise(TO_FILL)
+    return out.select("ord", "source", "category", F.col("occurrence").alias("source_product"), sku.alias("parent_sku"), F.lit("").alias("size_map"), note.alias("note"))
+
+
+LONG_KEY = 40
 
-    def cut(col: str, n: str, number: str) -> str:
-        return f"substring({col}, 1 + {number} * {n} div {pieces}, ({number} + 1) * {n} div {pieces} - {number} * {n} div {pieces})"
 
+def _shortened(s: Column, edits: int) -> Column:
+    """Hashes of a text and of all texts that up to `edits` deletions make of it: two texts within so many edits share one."""
+    without = lambda t: F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))).otherwise(F.array(t))
+    every, layer = [F.array(s)], F.array(s)
+    for _ in range(edits):
+        layer = F.flatten(F.transform(layer, without))
+        every.append(layer)
+    return F.array_distinct(F.transform(F.concat(*every), lambda t: F.xxhash64(t)))
+
+
+def nearest_sku(wanted: DataFrame, products: DataFrame, max_distance: int = 2, limit: int = 3) -> DataFrame:
+    """wanted (key): up to `limit` products by edit distance to any identifier of theirs, or of the same digits; nearer ones first, then
+    those whose own identifier it is before parts of combined ones, then those of the same digits, then by catalogue order.
+
+    Gives key, id, sku, combo, distance (to the nearest part of the product's identifier) and place. Pairs within the distance share a
+    text that deletions make of both; identifiers of over LONG_KEY characters share a piece that edits left whole. Equal digits
+    are looked up only for keys with fewer than `limit` products so far: others rank behind.
+    """
+    pool = sku_index(products).select("key", "id", F.lit(0).alias("pool")).unionAll(combo_index(products).select("key", "id", F.lit(1).alias("pool")))
+    other = pool.withColumnRenamed("key", "sku_key").where("sku_key <> ''")
+    mine = wanted.select("key").distinct().withColumn("k", text.normalize_sku(F.col("key"))).where("k <> ''")
+    ks, skus = mine.select("k").distinct(), other.select("sku_key").distinct()
+    short = ks.where(F.length("k") <= LONG_KEY).select("k", F.explode(_shortened(F.col("k"), max_distance)).alias("h"))
+    short = short.join(skus.where(F.length("sku_key") <= LONG_KEY + max_distance).select("sku_key", F.explode(_shortened(F.col("sku_key"), max_distance)).alias("h")), "h").select("k", "sku_key").distinct()
+    near = short.unionAll(_by_pieces(ks.where(F.length("k") > LONG_KEY), skus.where(F.length("sku_key") > LONG_KEY - max_distance), max_distance))
+    near = near.withColumn("d", F.levenshtein("k", "sku_key", max_distance)).where(F.col("d").between(0, max_distance))
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    near = near.join(other, "sku_key").select("k", "sku_key", "id", "pool", "d")
+    full = near.groupBy("k").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= limit).select("k")
+    rest = ks.join(full, "k", "left_anti").withColumn("digits", digits("k")).where("digits <> ''")
+    same = rest.join(other.withColumn("digits", digits("sku_key")), "digits").select("k", "sku_key", "id", "pool", F.levenshtein("k", "sku_key").alias("d"))
+    first = products.select("id", F.col("ord").alias("o"), F.col("sku").alias("sku"))
+    every = near.unionByName(same).distinct().join(first, "id")
+    flag = F.when((digits("k") != "") & (digits("k") == digits("sku_key")), 0).otherwise(1)
+    best = every.groupBy("k", "id").agg(F.min(F.struct("d", "pool", flag.alias("flag"), "o")).alias("b"), F.first("sku").alias("sku"))
+    place = F.row_number().over(Window.partitionBy("k").orderBy("b"))
+    top = best.withColumn("place", place).where(F.col("place") <= limit)
+    distance = F.array_min(F.transform(text.split_sku_field(F.col("sku")), lambda t: F.levenshtein(F.col("k"), text.normalize_sku(t))))
+    return mine.join(top, "k").select("key", "id", "sku", (F.col("b.pool") == 1).alias("combo"), distance.alias("distance"), "place")
+
+
+def _by_pieces(ks: DataFrame, skus: DataFrame, max_distance: int) -> DataFrame:
+    """Of max_distance + 1 pieces of a key, one is left whole by that many edits, and it stands within max_distance of its place in the other."""
+    pieces = max_distance + 1
     numbers = f"sequence(0, {pieces - 1})"
-    whole = mine.select("key", "k", F.expr(f"explode(transform({numbers}, i -> struct(i AS i, length(k) AS n, {cut('k', 'length(k)', 'i')} AS piece)))").alias("p")).select("key", "k", "p.*")
-    spots = f"flatten(flatten(transform(sequence(greatest(1, length(sku) - {max_distance}), length(sku) + {max_distance}), n -> transform({numbers}, i -> transform(sequence(-{max_distance}, {max_distance}), d -> struct(i AS i, n AS n, CASE WHEN 1 + i * n div {pieces} + d >= 1 THEN substring(sku, 1 + i * n div {pieces} + d, (i + 1) * n div {pieces} - i * n div {pieces}) END AS piece))))))"
-    pool = other.select("id", "ord", "sku", F.expr(f"explode(array_distinct({spots}))").alias("p")).select("id", "ord", "sku", "p.*").where("piece is not null")
-    near = whole.join(pool, ["i", "n", "piece"]).select("key", "k", "id", "ord", "sku").distinct().withColumn("distance", F.levenshtein("k", "sku", max_distance)).where(F.col("distance").between(0, max_distance))
-    digits = lambda df, c: df.withColumn("digits", F.regexp_replace(c, "[^0-9]", "")).where("digits <> ''")
-    same = digits(mine, "k").join(digits(other, "sku"), "digits").select("key", "k", "id", "ord", "sku", F.levenshtein("k", "sku").alias("distance"))
-    best = near.unionByName(same).groupBy("key", "id").agg(F.min("distance").alias("distance"), F.min("ord").alias("ord"))
-    return best.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("distance", "ord"))).where(F.col("place") <= limit).select("key", "id", "distance", "place")
+    cut = lambda col, n, i, shift: f"substring({col}, 1 + {i} * {n} div {pieces} + {shift}, ({i} + 1) * {n} div {pieces} - {i} * {n} div {pieces})"
+    whole = ks.select("k", F.expr(f"explode(transform({numbers}, i -> struct(i AS i, length(k) AS n, {cut('k', 'length(k)', 'i', '0')} AS piece)))").alias("p")).select("k", "p.*")
+    reach = f"sequence(-{max_distance}, {max_distance})"
+    spots = f"flatten(flatten(transform({reach}, e -> transform({numbers}, i -> transform({reach}, d -> struct(i AS i, length(sku_key) + e AS n, CASE WHEN 1 + i * (length(sku_key) + e) div {pieces} + d >= 1 THEN {cut('sku_key', '(length(sku_key) + e)', 'i', 'd')} END AS piece))))))"
+    pool = skus.select("sku_key", F.expr(f"explode(array_distinct({spots}))").alias("p")).select("sku_key", "p.*").where("piece is not null")
+    return whole.join(pool, ["i", "n", "piece"]).select("k", "sku_key").distinct()
