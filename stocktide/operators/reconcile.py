@@ -103,7 +103,7 @@ def select_changes(diffs: DataFrame, sources: list[str] | None = None, needle: s
     if sources is not None:
         out = out.where(F.lower("source").isin([s.strip().lower() for s in sources if s.strip()]))
     if needle.strip():
-        out = out.where(F.lower(F.concat_ws(" ", "parent_sku", "product_name", "product")).contains(needle.strip().lower()))
+        out = out.where(F.lower(F.concat_ws(" ", "parent_sku", "product_name", "source_product" if "source_product" in diffs.columns else "product")).contains(needle.strip().lower()))
     return out
 
 

@@ -85,9 +85,10 @@ def rule_cascade(spark, sf_dir):
 
 
 def fuzzy_name_top1(spark, sf_dir):
+    """Every part's name with a word more, against all products."""
     p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_type", "p_name").alias("name"))
-    rows = p.where("id % 7 = 0").select(F.col("id").alias("ord"), F.col("name").alias("product"))
-    return match.by_similarity(rows, p.where("id % 7 <> 0").select("id", F.col("id").alias("ord"), "name"), 0.6).select("ord", "product_id")
+    rows = p.select(F.col("id").alias("ord"), F.concat(F.lit("New "), "name", F.lit("!")).alias("product"))
+    return match.by_similarity(rows, p.select("id", F.col("id").alias("ord"), "name"), 0.6).select("ord", "product_id")
 
 
 def fuzzy_name_every(spark, sf_dir):
@@ -98,8 +99,11 @@ def fuzzy_name_every(spark, sf_dir):
 
 
 def nearest_sku_topk(spark, sf_dir):
+    """Every identifier with one symbol too many against all products, some of which end in F or combine two identifiers."""
     c = _catalogue(spark, sf_dir)
-    wanted = c.where("id % 11 = 3").select(F.concat("sku", F.lit("X")).alias("key"))
+    sku = F.when(F.col("id") % 7 == 0, F.concat("sku", F.lit("F"))).when(F.col("id") % 7 == 1, F.concat("sku", F.lit(" SET"), F.col("id"))).otherwise(F.col("sku"))
+    c = c.withColumn("sku", sku)
+    wanted = c.select(F.concat(F.split_part("sku", F.lit(" "), F.lit(1)), F.lit("X")).alias("key"))
     return match.nearest_sku(wanted, c).select("key", "id", F.col("distance").cast("bigint").alias("distance"), F.col("place").cast("bigint").alias("place"))
 
 
@@ -122,7 +126,7 @@ def _stock(spark, sf_dir) -> DataFrame:
 
 
 def reconcile_diff(spark, sf_dir):
-    return reconcile.classify(_stock(spark, sf_dir)).select("ord", "status", "qty_delta", "action")
+    return reconcile.classify(_stock(spark, sf_dir)).select("ord", "status", "qty_delta", "action", "note")
 
 
 def reconcile_summary(spark, sf_dir):
@@ -167,21 +171,13 @@ def orphan_skus(spark, sf_dir):
     return _catalogue(spark, sf_dir).select("id", "sku").join(used, "id", "left_anti")
 
 
-def rollback_identity(spark, sf_dir):
-    """Before-images of the changed variations, the update, and the stock after both update and rollback."""
-    stock = _stock(spark, sf_dir)
-    changes = reconcile.select_changes(reconcile.classify(stock)).select("ord", reconcile.payload().alias("p"), "store_qty", "store_status")
-    after = stock.select("ord", "store_qty", "store_status").join(changes.select("ord", "p", F.lit(True).alias("hit"), F.col("store_qty").alias("old_qty"), F.col("store_status").alias("old_status")), "ord", "left")
-    updated = after.withColumn("new_qty", F.coalesce("p.stock_quantity", "store_qty")).withColumn("new_status", F.coalesce("p.stock_status", "store_status"))
-    back = updated.withColumn("back_qty", F.when(F.col("hit"), F.col("old_qty")).otherwise(F.col("new_qty"))).withColumn("back_status", F.when(F.col("hit"), F.col("old_status")).otherwise(F.col("new_status")))
-    return back.select("ord", "new_qty", "new_status", (F.col("back_qty").eqNullSafe(F.col("store_qty")) & F.col("back_status").eqNullSafe(F.col("store_status"))).alias("restored"))
-
-
-QUERIES = (sku_normalize, name_normalize, size_alias, to_int_parse, forward_fill, consecutive_dedup, occurrence_islands, block_split, first_wins_index, rule_cascade, fuzzy_name_top1, fuzzy_name_every, nearest_sku_topk, nearest_sku_every, reconcile_diff, reconcile_summary, update_payload, collapsed_updates, manual_by_product, change_by_product, duplicate_keys, quality_histogram, source_stats, orphan_skus, rollback_identity)
+QUERIES = (sku_normalize, name_normalize, size_alias, to_int_parse, forward_fill, consecutive_dedup, occurrence_islands, block_split, first_wins_index, rule_cascade, fuzzy_name_top1, fuzzy_name_every, nearest_sku_topk, nearest_sku_every, reconcile_diff, reconcile_summary, update_payload, collapsed_updates, manual_by_product, change_by_product, duplicate_keys, quality_histogram, source_stats, orphan_skus)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    from stocktide.plans import inventory
+
+    return {f.__name__: f for f in (*QUERIES, *inventory.QUERIES)}
 
 
 CAT = "cat AS (SELECT p_partkey AS id, p_brand || '-' || p_partkey AS sku, p_name AS name, p_type, p_size FROM part)"
@@ -198,9 +194,12 @@ judged AS (SELECT *, (NOT managed OR src_qty IS NULL OR (store_qty IS NOT NULL A
 diff AS (SELECT *, CASE WHEN product_id IS NULL THEN CASE WHEN method = '{match.RULE_MISSING}' THEN '{reconcile.NO_PRODUCT}' ELSE '{reconcile.UNMATCHED}' END
  WHEN variation_id IS NULL THEN '{reconcile.NO_VARIATION}' WHEN need THEN '{reconcile.NEED_QTY}' WHEN qty_same AND status_same THEN '{reconcile.SAME}' ELSE '{reconcile.CHANGED}' END AS status,
  CASE WHEN product_id IS NOT NULL AND variation_id IS NOT NULL AND NOT need AND managed THEN src_qty - store_qty END AS qty_delta FROM judged),
-diffs AS (SELECT *, CASE WHEN status <> '{reconcile.CHANGED}' THEN '' ELSE concat_ws('；', CASE WHEN NOT qty_same THEN '数量 ' || coalesce(CAST(store_qty AS VARCHAR), '') || ' → ' || coalesce(CAST(src_qty AS VARCHAR), '') END,
- CASE WHEN NOT status_same THEN '状态 ' || store_status || ' → ' || src_status END) END AS action,
- CASE WHEN managed THEN true END AS manage_stock, CASE WHEN managed THEN coalesce(src_qty, CASE WHEN src_status = 'outofstock' THEN 0 END) END AS stock_quantity, src_status AS stock_status FROM diff)"""
+pay AS (SELECT *, CASE WHEN managed THEN true END AS manage_stock, CASE WHEN managed THEN coalesce(src_qty, CASE WHEN src_status = 'outofstock' THEN 0 END) END AS stock_quantity, src_status AS stock_status FROM diff),
+diffs AS (SELECT *, CASE status WHEN '{reconcile.CHANGED}' THEN concat_ws('；', '数量 ' || coalesce(CAST(store_qty AS VARCHAR), 'None') || ' → ' || CAST(stock_quantity AS VARCHAR),
+  '状态 ' || CASE store_status WHEN 'instock' THEN '有货' WHEN 'outofstock' THEN '缺货' ELSE store_status END || ' → ' || CASE src_status WHEN 'instock' THEN '有货' ELSE '缺货' END) WHEN '{reconcile.SAME}' THEN '{reconcile.NOTHING}' ELSE '{reconcile.BY_HAND}' END AS action,
+ CASE status WHEN '{reconcile.CHANGED}' THEN CASE WHEN src_qty IS NULL AND managed AND stock_quantity IS NULL THEN '{reconcile.NOTE_STATUS_ONLY}' WHEN src_qty IS NULL AND NOT managed THEN '{reconcile.NOTE_UNMANAGED}' ELSE '' END
+  WHEN '{reconcile.SAME}' THEN CASE WHEN managed THEN '{reconcile.NOTE_SAME}' ELSE '{reconcile.NOTE_SAME_STATUS}' END WHEN '{reconcile.NO_PRODUCT}' THEN '{reconcile.NOTE_RULE_MISSING}' WHEN '{reconcile.UNMATCHED}' THEN '{reconcile.NOTE_UNMATCHED}'
+  WHEN '{reconcile.NO_VARIATION}' THEN '{reconcile.NOTE_NO_VARIATION}' ELSE '{reconcile.NOTE_NEED_QTY}' END AS note FROM pay)"""
 
 
 def _keys(alias: str, value: str) -> str:
@@ -212,6 +211,15 @@ def _keys(alias: str, value: str) -> str:
 ROWS = f"""src AS (SELECT id AS ord, {SRC.format("id")} AS source, p_type AS category, CASE id % 5 WHEN 0 THEN lower(sku) WHEN 1 THEN sku || 'F' WHEN 2 THEN upper(name) WHEN 3 THEN p_type || ' made up' ELSE 'none' || id END AS product FROM cat),
 rules AS (SELECT CASE WHEN id % 20 = 4 THEN '*' ELSE {SRC.format("id")} END AS source, CASE WHEN id % 20 = 9 THEN '*' ELSE p_type END AS category, 'none' || id AS product, CASE id % 20 WHEN 4 THEN sku || 'FF' WHEN 9 THEN 'gone-1' ELSE '' END AS parent FROM cat WHERE id % 20 IN (4, 9, 14))"""
 
+#: Every identifier key of a product (its own, pool 0, or a part of a combined one, pool 1) goes to the first product that has it.
+NEAREST = f"""WITH {CAT}, c AS (SELECT id, {{sku}} AS sku FROM cat), t AS (SELECT id, sku, string_split(sku, ' ') AS parts FROM c),
+one AS (SELECT id, 0 AS pool, {NORM.format("sku")} AS n FROM t UNION ALL SELECT id, 1, {NORM.format("p")} FROM (SELECT id, unnest(parts) AS p FROM t WHERE len(parts) > 1)),
+ks AS (SELECT id, pool, n AS k FROM one UNION ALL SELECT id, pool, left(n, length(n) - 1) FROM one WHERE n LIKE '_%F'), f AS (SELECT k, pool, min(id) AS id FROM ks WHERE k <> '' GROUP BY 1, 2),
+w AS (SELECT DISTINCT parts[1] || 'X' AS key, {NORM.format("parts[1] || 'X'")} AS q, regexp_replace(parts[1], '[^0-9]', '', 'g') AS g FROM t), k2 AS (SELECT *, regexp_replace(k, '[^0-9]', '', 'g') AS g FROM f),
+p AS (SELECT key, q, id, min(row(levenshtein(q, k), pool, CASE WHEN w.g <> '' AND w.g = k2.g THEN 0 ELSE 1 END)) AS b FROM w JOIN k2 ON levenshtein(q, k) <= 2 OR (w.g <> '' AND w.g = k2.g) GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY b, id) AS place FROM p)
+SELECT key, r.id, CAST(list_min(list_transform(parts, lambda x: levenshtein(q, {NORM.format("x")}))) AS BIGINT) AS distance, place FROM r JOIN t ON t.id = r.id WHERE place <= 3"""
+
 ORACLES = {
     "sku_normalize": f"WITH {CAT} SELECT id, {NORM.format('sku')} AS norm, regexp_replace(sku, '[^0-9]', '', 'g') AS digits, {NORM.format('sku')} || '|' || {NORM.format('sku')} || 'F' AS keys FROM cat",
     "name_normalize": f"WITH {CAT}, f AS (SELECT id, lower(name || ' / ' || p_type) AS n FROM cat) SELECT id, regexp_replace(n, '{PUNCT}', '', 'g') AS norm, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(n, '{PUNCT}'), lambda t: t <> ''))), '|') AS tokens FROM f",
@@ -238,12 +246,15 @@ r4 AS (SELECT ord, b.id AS id, b.score AS score FROM src JOIN bp USING (product)
 SELECT ord, id AS product_id, CASE WHEN id IS NULL THEN '{match.RULE_MISSING}' ELSE '{match.RULE}' END AS method FROM r1 UNION ALL SELECT ord, id, '{match.SKU}' FROM r2 UNION ALL SELECT ord, id, '{match.NAME}' FROM r3
 UNION ALL SELECT ord, id, format('名称相似度 {{:.2f}}', score) FROM r4 UNION ALL SELECT ord, NULL, '{match.NONE}' FROM src WHERE ord NOT IN (SELECT ord FROM r1 UNION ALL SELECT ord FROM r2 UNION ALL SELECT ord FROM r3 UNION ALL SELECT ord FROM r4)""",
     "fuzzy_name_top1": f"""WITH t AS (SELECT p_partkey AS id, list_distinct(list_filter(regexp_split_to_array(lower(p_brand || ' ' || p_type || ' ' || p_name), '{PUNCT}'), lambda t: t <> '')) AS ts FROM part),
-sc AS (SELECT a.id AS ord, b.id, len(list_intersect(a.ts, b.ts)) / len(list_distinct(list_concat(a.ts, b.ts))) AS score FROM t a JOIN t b ON a.id % 7 = 0 AND b.id % 7 <> 0 AND len(a.ts) >= 2 AND len(b.ts) >= 2)
+u AS (SELECT id, list_distinct(list_append(ts, 'new')) AS ts FROM t),
+sc AS (SELECT a.id AS ord, b.id, len(list_intersect(a.ts, b.ts)) / len(list_distinct(list_concat(a.ts, b.ts))) AS score FROM u a JOIN t b ON len(a.ts) >= 2 AND len(b.ts) >= 2)
+SELECT ord, arg_max(id, struct_pack(s := score, o := -id)) AS product_id FROM sc WHERE score >= 0.6 GROUP BY 1""",
+    "fuzzy_name_every": f"""WITH t AS (SELECT p_partkey AS id, list_distinct(list_filter(regexp_split_to_array(lower(p_brand || ' ' || p_type || ' ' || p_name), '{PUNCT}'), lambda t: t <> '')) AS ts FROM part),
+sc AS (SELECT a.id AS ord, b.id, len(list_intersect(a.ts, b.ts)) / len(list_distinct(list_concat(a.ts, b.ts))) AS score FROM t a JOIN t b ON a.id <> b.id AND len(a.ts) >= 2 AND len(b.ts) >= 2)
 SELECT ord, arg_max(id, struct_pack(s := score, o := -id)) AS product_id FROM sc WHERE score >= 0.6 GROUP BY 1""",
-    "nearest_sku_topk": f"""WITH {CAT}, n AS (SELECT id, {NORM.format("sku")} AS s FROM cat), f AS (SELECT s, min(id) AS id FROM n GROUP BY 1), w AS (SELECT sku || 'X' AS key, {NORM.format("sku || 'X'")} AS k FROM cat WHERE id % 11 = 3),
-p AS (SELECT key, id, levenshtein(k, s) AS distance FROM w JOIN f ON (abs(length(k) - length(s)) <= 2 AND levenshtein(k, s) <= 2) OR (regexp_replace(k, '[^0-9]', '', 'g') = regexp_replace(s, '[^0-9]', '', 'g') AND regexp_replace(k, '[^0-9]', '', 'g') <> ''))
-SELECT * FROM (SELECT key, id, CAST(distance AS BIGINT) AS distance, row_number() OVER (PARTITION BY key ORDER BY distance, id) AS place FROM p) WHERE place <= 3""",
-    "reconcile_diff": f"WITH {STOCK} SELECT ord, status, qty_delta, action FROM diffs",
+    "nearest_sku_topk": NEAREST.format(sku="CASE id % 7 WHEN 0 THEN sku || 'F' WHEN 1 THEN sku || ' SET' || id ELSE sku END"),
+    "nearest_sku_every": NEAREST.format(sku="sku"),
+    "reconcile_diff": f"WITH {STOCK} SELECT ord, status, qty_delta, action, note FROM diffs",
     "reconcile_summary": f"WITH {STOCK} SELECT count(*) AS total, count(*) FILTER (status = '{reconcile.CHANGED}') AS changed, count(*) FILTER (status = '{reconcile.SAME}') AS same, count(*) FILTER (status = '{reconcile.NO_PRODUCT}') AS no_product, count(*) FILTER (status = '{reconcile.NO_VARIATION}') AS no_variation, count(*) FILTER (status = '{reconcile.UNMATCHED}') AS unmatched, count(*) FILTER (status = '{reconcile.NEED_QTY}') AS need_qty, count(DISTINCT product_id) AS products, count(DISTINCT CASE WHEN status = '{reconcile.CHANGED}' THEN product_id END) AS changed_products FROM diffs",
     "update_payload": f"WITH {STOCK} SELECT ord, manage_stock, stock_quantity, stock_status FROM diffs WHERE status = '{reconcile.CHANGED}' AND source IN ('SP5', 'ALO') AND product LIKE 'p1%'",
     "collapsed_updates": f"WITH {STOCK} SELECT product_id, variation_id % 3 AS variation_id, count(*) AS writes, arg_max(manage_stock, ord) FILTER (manage_stock IS NOT NULL) AS manage_stock, arg_max(stock_quantity, ord) FILTER (stock_quantity IS NOT NULL) AS stock_quantity, arg_max(stock_status, ord) AS stock_status FROM diffs WHERE status = '{reconcile.CHANGED}' GROUP BY 1, 2",
@@ -253,9 +264,10 @@ SELECT * FROM (SELECT key, id, CAST(distance AS BIGINT) AS distance, row_number(
     "quality_histogram": "SELECT event_type, count(*) FILTER (value < 1) AS blank, count(*) FILTER (value >= 60) AS marked, count(*) FILTER (value >= 1 AND value < 60) AS ambiguous FROM events GROUP BY 1",
     "source_stats": f"WITH {STOCK} SELECT source, count(*) AS n_rows, count(DISTINCT product) AS products FROM stock GROUP BY 1",
     "orphan_skus": f"WITH {CAT} SELECT id, sku FROM cat WHERE id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)",
-    "rollback_identity": f"WITH {STOCK} SELECT ord, CASE WHEN status = '{reconcile.CHANGED}' THEN coalesce(stock_quantity, store_qty) ELSE store_qty END AS new_qty, CASE WHEN status = '{reconcile.CHANGED}' THEN stock_status ELSE store_status END AS new_status, true AS restored FROM diffs",
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from stocktide.plans import inventory
+
+    return {**ORACLES, **inventory.ORACLES}

@@ -12,6 +12,7 @@ from stocktide.operators import extract, match, ordered, pallet, reconcile, repo
 from stocktide.sinks import text as text_sinks
 from stocktide.sinks import workbook
 from stocktide.sources import files, shop, xlsx
+from stocktide.storage import stored
 
 PRODUCTS = [(1, 1, "192SU-22-4410F", "Web Hoodie / Black", "variable"), (2, 2, "ABC123F", "灰色 圆领 T-shirt", "variable"), (3, 3, "XYZ9999 QWE5555", "Set of two", "variable"), (4, 4, "ABC124", "Simple", "simple")]
 VARIATIONS = [
@@ -98,7 +99,7 @@ def test_suggestions(shop_tables):
 
 def test_a_failed_run_can_be_rolled_back(spark, shop_tables, tmp_path):
     _, _, variations, _ = shop_tables
-    diffs = reconcile.build_diff(*shop_tables)
+    diffs = stored(reconcile.build_diff(*shop_tables), "diff")
     plan = sync.planned(reconcile.select_changes(diffs), variations.where("id <> 13"))
     folder = str(tmp_path)
 
@@ -133,7 +134,7 @@ def test_a_failed_run_can_be_rolled_back(spark, shop_tables, tmp_path):
 
 def test_reports(spark, shop_tables, tmp_path):
     _, products, _, _ = shop_tables
-    diffs = reconcile.build_diff(*shop_tables)
+    diffs = stored(reconcile.build_diff(*shop_tables), "diff")
     shown = {r["ord"]: r for r in report.present(diffs).collect()}
     assert shown[2]["mark_quantity"] and not shown[2]["mark_status"] and shown[3]["mark_status"] and shown[5]["变体 ID"] == "" and shown[1]["在线库存状态"] == "有货"
     todo = {r["source_product"]: r for r in report.todo(diffs, products).collect()}
@@ -164,8 +165,6 @@ def test_workbooks_there_and_back(spark, tmp_path):
     assert top["value"] == "A"
     source = {"id": "SP5", "file": path, "options": {"quantity_column": "D", "start_row": 2}}
     rows = extract.union_sources([files.read_source(spark, source), files.read_source(spark, {**source, "id": "ALO"})], None)
-    from stocktide.storage import stored
-
     numbered = extract.numbered(stored(rows, "rows"), ["source", "file", "row"])
     assert sorted(r["ord"] for r in numbered.collect()) == list(range(1, 11))
     assert extract.union_sources([rows], ["ALO"]).count() == 5

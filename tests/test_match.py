@@ -52,7 +52,7 @@ def test_nearest_sku_every(spark):
     want = set()
     for _, s in names:
         k = norm(s + "X")
-        near = sorted((d, i) for t, i in skus.items() for d in [distance(k, t)] if d <= 2 or digits(k) == digits(t) != "")
-        want |= {(s + "X", i, d, n) for n, (d, i) in enumerate(near[:3], 1)}
+        near = sorted((d, digits(k) != digits(t), i) for t, i in skus.items() for d in [distance(k, t)] if d <= 2 or digits(k) == digits(t) != "")
+        want |= {(s + "X", i, d, n) for n, (d, _, i) in enumerate(near[:3], 1)}
     got = {(r["key"], r["id"], r["distance"], r["place"]) for r in registry.nearest_sku_every(spark, SF).collect()}
     assert got == want and len({x[0] for x in got}) == len(names)
