@@ -86,12 +86,12 @@ def _chains(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     rows = -(-sizes // STEP)
     of = np.repeat(np.arange(len(tokens)), rows)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(rows) - rows, rows)
-    start = np.maximum(0, nth * STEP - LAP)
-    at = start[:, None] + np.arange(CHAIN)
+    nth = nth.astype(np.int32)
+    at = np.maximum(0, nth * STEP - LAP)[:, None] + np.arange(CHAIN, dtype=np.int32)
     mask = at < np.minimum(sizes[of], nth * STEP + STEP + LAP)[:, None]
     own = mask & (at >= nth[:, None] * STEP) & (at < (nth[:, None] + 1) * STEP)
     flat = np.concatenate([*tokens, np.zeros(1, np.int32)])
-    place = (np.cumsum(sizes) - sizes)[of][:, None] + at
+    place = (np.cumsum(sizes) - sizes).astype(np.int32)[of][:, None] + at
     ids = np.where(mask, flat[np.minimum(place, len(flat) - 1)], 0)
     return ids, mask, of, own, place[own]
 
@@ -145,17 +145,22 @@ def fit(texts: list[str], labels: list[int], weights: list[float], steps: int =
     words = [np.fromiter((number.setdefault(w, len(number)) for w in WORD.findall(t.lower())), np.int32) for t in texts]
     names = list(number)
     toxic, clean = Counter(), Counter()
-    around: dict[int, set] = {}
     for w, y in zip(words, labels):
         (toxic if y else clean).update(np.unique(w).tolist())
-        if y:
-            for before, word, after in zip([-1, *w[:-1].tolist()], w.tolist(), [*w[1:].tolist(), -1]):
-                around.setdefault(word, set()).add((before, after))
     n1, n0 = max(1, sum(labels)), max(1, len(labels) - sum(labels))
     # A word counts as toxic if its share of toxic documents is many times its share of clean ones, by more than chance, in
     # settings that differ: copies of one toxic document don't make its other words toxic. The share itself is free, so that
     # the words of a language with few documents count too.
-    odd = {w for w, n in toxic.items() if n >= MIN_DOCS and n / n1 > 8 * (clean[w] + 1) / n0 and len(around[w]) > max(MIN_DOCS, n / 2) and by_chance(n, clean[w], n1 / (n1 + n0)) < CHANCE}
+    likely = {w for w, n in toxic.items() if n >= MIN_DOCS and n / n1 > 8 * (clean[w] + 1) / n0 and by_chance(n, clean[w], n1 / (n1 + n0)) < CHANCE}
+    around: dict[int, set] = {w: set() for w in likely}
+    some = np.zeros(len(names) + 1, bool)
+    some[list(likely)] = True
+    for w, y in zip(words, labels):
+        if y:
+            padded = np.r_[-1, w, -1]
+            for k in np.flatnonzero(some[w]).tolist():
+                around[int(w[k])].add((int(padded[k]), int(padded[k + 2])))
+    odd = {w for w in likely if len(around[w]) > max(MIN_DOCS, toxic[w] / 2)}
     both = toxic + clean
     common = sorted((-n, names[w], w) for w, n in both.items() if n >= MIN_DOCS or w in odd)[:vocabulary_words]
     vocabulary = {w: i for i, w in enumerate(sorted(name for _, name, _ in common), 1)}
@@ -194,7 +199,7 @@ def fit(texts: list[str], labels: list[int], weights: list[float], steps: int =
             var[k] = 0.99 * var[k] + 0.01 * g * g
             x += 0.15 * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.99**step)) + 1e-8)
     field.bias = float(parts[3][0])
-    z, _ = _evidence(field, tokens)
+    z = np.concatenate([_evidence(field, tokens[i : i + 256])[0] for i in range(0, len(tokens), 256)])
     t, w = np.array(labels, np.float64), np.array(weights)
     for _ in range(30):  # Newton steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(z @ field.layer, -30, 30)))
