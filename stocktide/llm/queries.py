@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stocktide.llm import fingerprints, langid, media, minhash, mixing, packing, pii, sharding, suffix_dedup, toxicity
 from stocktide.llm.common import read_documents, stored
+from stocktide.llm.oracles import ORACLES
 
 
 def _fold(modulus: int):
@@ -41,8 +42,6 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from stocktide.llm.common import stored
-
     rows = stored(media.payload_rows(read_documents(spark, sf_dir)), "media")
     keep = ("doc_id", "n_bytes")
     sequences = media.interleave(rows, keep=keep)
@@ -82,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
