@@ -75,8 +75,8 @@ def plan(rows: DataFrame, target_entropy: float | None, max_repeat: float | None
     for i, r in enumerate(sums):
         repeat = whole * float(w[i]) / r["tokens"] if r["tokens"] else 1.0
         passes = math.floor(repeat + 1e-9)
-        out.append((r["_source"], float(w[i]), passes, float(max(0.0, repeat - passes) * r["tokens"] if repeat - passes > 1e-9 else 0.0), max(1, -(-r["n"] // BLOCK_ROWS))))
-    return rows.sparkSession.createDataFrame(out, "_source string, weight double, passes int, partial double, blocks bigint")
+        out.append((r["_source"], i, float(w[i]), passes, float(max(0.0, repeat - passes) * r["tokens"] if repeat - passes > 1e-9 else 0.0), max(1, -(-r["n"] // BLOCK_ROWS))))
+    return rows.sparkSession.createDataFrame(out, "_source string, _sid int, weight double, passes int, partial double, blocks bigint")
 
 
 def mix(docs: DataFrame, target_entropy: float | None = 0.97, max_repeat: float | None = 4.0, budget: float | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
@@ -90,16 +90,17 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.97, max_repeat: float
     sources = F.broadcast(plan(rows, target_entropy, max_repeat, budget))
     by_source = F.col("d._source").eqNullSafe(F.col("s._source"))
     in_block = F.pmod(F.col("_hash"), F.col("blocks")).alias("block")
-    dealt = rows.alias("d").join(sources.alias("s"), by_source).select("d.*", "weight", "passes", "partial", in_block)
-    inside = Window.partitionBy("_source", "block").orderBy("_hash", "kept")
+    # Sources go by number from here on: one exchange by (number, block) then serves the running totals, the join and the permutations.
+    dealt = rows.alias("d").join(sources.alias("s"), by_source).select("d.*", "_sid", "weight", "passes", "partial", in_block)
+    inside = Window.partitionBy("_sid", "block").orderBy("_hash", "kept")
     ordered = dealt.select("*", F.sum("_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"))
     # Totals come from the windows' own input, before it is widened: a slim row per block.
-    totals = rows.alias("d").join(sources.alias("s"), by_source).groupBy(F.col("d._source").alias("_s"), in_block.alias("_b")).agg(F.sum("_tokens").alias("t"))
-    before = totals.select("_s", "_b", (F.sum("t").over(Window.partitionBy("_s").orderBy("_b")) - F.col("t")).alias("_before"))
-    joined = ordered.join(before, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+    totals = rows.alias("d").join(sources.alias("s"), by_source).groupBy("_sid", in_block).agg(F.sum("_tokens").alias("t"))
+    before = totals.select("_sid", "block", (F.sum("t").over(Window.partitionBy("_sid").orderBy("block")) - F.col("t")).alias("_before"))
+    joined = ordered.join(before, ["_sid", "block"])
     middle = F.col("_before") + F.col("_upto") - F.col("_tokens") / 2
     uses = F.col("passes") + F.when((F.col("_tokens") > 0) & (middle <= F.col("partial")), 1).otherwise(0)
     used = joined.withColumn("_uses", uses).where("_uses > 0").withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.col("_uses") - 1)))
-    place = Window.partitionBy("_source", "block", "pass_no").orderBy(F.xxhash64(F.lit(seed), "pass_no", "_hash"), "kept")
+    place = Window.partitionBy("_sid", "block", "pass_no").orderBy(F.xxhash64(F.lit(seed), "pass_no", "_hash"), "kept")
     kept = [F.col(f"kept.{c}").alias(f"doc_{c}" if c in OUTPUTS else c) for c in keep]
     return used.select(*kept, F.col("_tokens").alias("n_tokens"), "weight", "pass_no", "block", (F.row_number().over(place) - 1).cast("bigint").alias("slot"))
