@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from stocktide.llm.common import stored
 
 END_ID = 2
-WORD_CACHE = 400_000
+WORD_CACHE = 1 << 17
 LONG_SPACE = 4096
 GROUP_ITEMS = 1 << 16
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -46,9 +46,8 @@ class _Encoder(dict):
     can be encoded word by word; any other text is encoded in one piece.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, added: list[str]):
         import base64
-        import json
 
         import public_tokenizers
         import tiktoken
@@ -58,9 +57,7 @@ class _Encoder(dict):
         core = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.whole, self.single = core.encode_ordinary, core.encode_single_piece
         self.spaces = re.compile(r"\s\s+")
-        self.json, self.exact = public_tokenizers.path(vocabulary), None
-        with open(self.json, encoding="utf-8") as f:
-            self.added = [x["content"] for x in json.load(f)["added_tokens"]]
+        self.json, self.exact, self.added = public_tokenizers.path(vocabulary), None, added
 
     def __missing__(self, word: str) -> bytes:
         ids = array("I", self.single((" " + word).encode()) if word.isalpha() else self.whole(" " + word)).tobytes()
@@ -85,12 +82,24 @@ class _Encoder(dict):
         return array("I", self.whole(first)).tobytes() + b"".join(map(self.__getitem__, rest))
 
 
+def added_tokens(vocabulary: str) -> list[str]:
+    """The few tokens that the vocabulary has beside its merges. Read once, for the whole of its json takes much memory."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path(vocabulary), encoding="utf-8") as f:
+        return [x["content"] for x in json.load(f)["added_tokens"]]
+
+
 def token_pieces(docs: DataFrame, capacity: int = 1024, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece. The ids of a document (its tokens, then the end id) are cut only when there are more
     than `capacity`; then all pieces but the first are full."""
 
+    added = added_tokens(vocabulary)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(vocabulary)
+        encoder = _Encoder(vocabulary, added)
         end = array("I", [END_ID]).tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]

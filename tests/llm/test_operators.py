@@ -522,7 +522,7 @@ def test_ids_of_added_tokens_and_long_white_space():
     from tokenizers import Tokenizer
 
     known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encoder = packing._Encoder("byte_bpe_50k.json")
+    encoder = packing._Encoder("byte_bpe_50k.json", packing.added_tokens("byte_bpe_50k.json"))
     for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", "a  b<|endoftext|>c", "<|endoftext|", "a" + " " * 1_200_000 + "b", "\n" * 1_500_000, " " * 4096 + "x", " \t" * 3000 + "x y"):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == known.encode(text, add_special_tokens=False).ids, text[:20]
 
