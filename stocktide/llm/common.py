@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+BATCH_BYTES = 4 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where the session names none: the warehouse, or on one machine a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,6 +57,13 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB at most, where the session doesn't say otherwise: ten thousand texts in one fill a worker's memory,
+    and the executor's, in the other process, too. Batches of slim rows stay as they are."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Total UTF-8 bytes of the column: sizes groups in proportion to the data."""
     return docs.select(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0

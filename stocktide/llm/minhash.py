@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocktide.llm.common import discard, slices, stored
+from stocktide.llm.common import discard, slices, small_batches, stored
 
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
@@ -239,6 +239,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
+    small_batches(docs.sparkSession)
     made: list[DataFrame] = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocktide.llm.common import stored
+from stocktide.llm.common import small_batches, stored
 
 END_ID = 2
 WORD_CACHE = 1 << 17
@@ -96,6 +96,7 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, vocabulary: str = "byte_
     """One row per piece. The ids of a document (its tokens, then the end id) are cut only when there are more
     than `capacity`; then all pieces but the first are full."""
 
+    small_batches(docs.sparkSession)
     added = added_tokens(vocabulary)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocktide.llm.common import lowest_by_hash, slices, with_fields
+from stocktide.llm.common import lowest_by_hash, slices, small_batches, with_fields
 
 WORD = re.compile(r"\w+")
 CHAIN, LAP = 64, 8
@@ -266,6 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: ToxicField | float, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The `keep` columns with `score` and `spans`, an array of (start, stop, weight) in code points."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("weight", pa.float64())]))
 
