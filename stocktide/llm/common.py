@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BATCH_BYTES = 4 << 20
+HOT_KEYS = 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -81,6 +82,18 @@ def lowest_by_hash(rows: DataFrame, key: list[str], n: int) -> DataFrame:
     return once.orderBy(place, *key).limit(n).select(*rows.columns)
 
 
+def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows with the facts of their key. `facts` has a row for each key and counts how often the key comes in `rows`.
+
+    Fewer than HOT_KEYS keys can hold over one in HOT_KEYS of all rows: these are broadcast, so that rows of a hot key stay where they
+    are. Rows of the other keys are shuffled, at most one in HOT_KEYS of them to a task by one key.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    frequent = F.col(count) * HOT_KEYS > F.lit(total)
+    hot, others = F.broadcast(facts.where(frequent)), facts.where(~frequent)
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(others, keys))
+
+
 def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows whose text column stays near `limit` bytes (one row at least)."""
     for batch in batches:

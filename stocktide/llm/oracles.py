@@ -45,4 +45,43 @@ p AS (SELECT *, CAST(least(23, (upto - size) * 24 // total) AS INTEGER) AS shard
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY upto) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p"""
 
-ORACLES = {"op1_suffix_dedup": SUFFIX_DEDUP, "op5_minhash": NEAR_GROUPS, "op8_sharding": SHARDING}
+EXACT_DEDUP = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256 FROM d"""
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: All kept terms of a language are laid out for each of its groups.
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT i, lang, source, term, count(*) AS n FROM (SELECT i, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(*) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT lang, source, term, sum(n) AS n FROM t GROUP BY 1, 2, 3),
+c AS (SELECT lang, source, term, CAST(coalesce(n, 0) AS HUGEINT) AS n FROM g JOIN k USING (lang) LEFT JOIN s USING (lang, source, term)),
+p AS (SELECT *, 1 + 1000000000 * (n + 5) // (sum(n) OVER w + 5 * count(*) OVER w) AS p FROM c WINDOW w AS (PARTITION BY lang, source)),
+l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY 1, 2),
+q AS (SELECT lang, term, 1 + 1000000000 * (n + 5) // (sum(n) OVER w + 5 * count(*) OVER w) AS q FROM l WINDOW w AS (PARTITION BY lang)),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce((SELECT sum(abs(y.p - z.p)) FROM p y JOIN p z ON y.lang = z.lang AND y.term = z.term WHERE y.lang = a.lang AND y.source = a.source AND z.source = b.source), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50"""
+
+#: A word's CRC-32 is worked out once, byte by byte.
+RESAMPLING = rf"""
+WITH step AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM range(256) AS r(i))),
+d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+n AS (SELECT i, word, count(*) AS n FROM (SELECT i, unnest(w) AS word FROM d) GROUP BY 1, 2),
+v AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT word FROM n UNION SELECT word FROM b), step),
+s AS (SELECT bucket, sum(n) AS s FROM n JOIN v USING (word) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM b JOIN v USING (word) GROUP BY 1),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (coalesce((SELECT sum(s) FROM s), 0) + 10000)::DOUBLE / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE))) AS gain FROM s LEFT JOIN t USING (bucket)),
+m AS (SELECT i, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM n JOIN v USING (word) JOIN gain USING (bucket) GROUP BY 1),
+f AS (SELECT i, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('2024:' || doc_id), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN m USING (i)),
+r AS (SELECT i, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS whole FROM f WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * whole // 100 THEN rank END AS rank FROM f LEFT JOIN r USING (i)"""
+
+ORACLES = {"op1_suffix_dedup": SUFFIX_DEDUP, "op5_minhash": NEAR_GROUPS, "op8_sharding": SHARDING, "op11_exact_dedup": EXACT_DEDUP, "op12_divergence": DIVERGENCE, "op13_resampling": RESAMPLING}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocktide.llm import fingerprints, langid, media, minhash, mixing, packing, pii, sharding, suffix_dedup, toxicity
+from stocktide.llm import divergence, exact_dedup, fingerprints, langid, media, minhash, mixing, packing, pii, resampling, sharding, suffix_dedup, toxicity
 from stocktide.llm.common import read_documents, stored
 from stocktide.llm.oracles import ORACLES
 
@@ -76,8 +76,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read_documents(spark, sf_dir))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(read_documents(spark, sf_dir))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_documents(spark, sf_dir))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_language_id, op4_toxicity, op5_minhash, op6_media, op7_mixing, op8_sharding, op9_pii, op10_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_fingerprints, op3_language_id, op4_toxicity, op5_minhash, op6_media, op7_mixing, op8_sharding, op9_pii, op10_packing, op11_exact_dedup, op12_divergence, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:

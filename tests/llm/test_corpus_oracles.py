@@ -15,8 +15,10 @@ def tables(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("tables"))
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     docs.unionAll(spark.createDataFrame(EXTRA, docs.schema)).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
     duck = duckdb.connect()
-    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    for name in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
     return folder, duck
 
 
