@@ -57,11 +57,13 @@ def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
+        batch = pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names)  # which columns may be null differs between batches
         if last is not None:
             batch = pa.concat_batches([last, batch])
         starts = _starts(batch)
         sizes = np.add.reduceat(batch.column("size").to_numpy(), starts)
-        out = batch.take(pa.array(starts)).set_column(batch.schema.get_field_index("size"), "size", pa.array(sizes))
+        out = batch.take(pa.array(starts))
+        out = pa.RecordBatch.from_arrays([*out.columns[:-1], pa.array(sizes)], names=out.schema.names)
         last = out.slice(out.num_rows - 1)
         if out.num_rows > 1:
             yield out.slice(0, out.num_rows - 1)

@@ -60,8 +60,15 @@ def dedup_brute(rows):
     return ordered((i, least[form(t)], len(groups[form(t)]), hashlib.sha256(form(t).encode()).hexdigest()) for i, t in rows)
 
 
+@pytest.fixture()
+def tiny_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("fan_in", [2, 8])
-def test_exact_groups(small, awkward, empty, copies, fan_in):
+def test_exact_groups(small, awkward, empty, copies, tiny_batches, fan_in):
     for docs in (small, awkward, copies):
         got = exact_dedup.groups(docs, fan_in=fan_in).collect()
         assert ordered((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == dedup_brute(rows_of(docs, "doc_id", "text"))
