@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +94,7 @@ def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], count: str)
     return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(others, keys))
 
 
-def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows whose text column stays near `limit` bytes (one row at least)."""
     for batch in batches:
         lengths = batch.column(column)

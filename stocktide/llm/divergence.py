@@ -17,8 +17,8 @@ pairs of value 0; other columns are ignored, whatever their names; an empty tabl
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,48 +27,73 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stocktide.llm.common import small_batches, stored
+from stocktide.llm.common import discard, slices, small_batches, stored
 
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 SCALE, PRIOR = 1_000_000_000, 5
-BLOCK_TERMS = 200_000  # distinct terms that a task holds before it hands out their counts
+BLOCK_ROWS, BLOCK_TERMS = 1 << 21, 500_000  # counts and different terms that a task holds before it hands them out
+SLICE = 1 << 16
 CELLS = 1 << 20  # of a block's matrix of terms by sources
 COUNTS = "lang string, source string, digest bigint, term string, n bigint, docs bigint"
 
 
-def digest(term: bytes, bits: int = 64) -> int:
-    """Signed 64-bit digest; fewer bits make collisions, for tests."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(term) >> (64 - bits)).view(np.int64))
+class _Numbers(dict):
+    """Numbers things in the order in which they come."""
 
+    def __missing__(self, thing) -> int:
+        found = self[thing] = len(self)
+        return found
 
-def term_counts(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """Per task and block: occurrences of each term of a group, and documents that hold it. Terms are maximal runs of letters and of
-    characters beyond ASCII, A-Z lower-cased (bytes.lower leaves all others alone)."""
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = defaultdict(Counter), defaultdict(Counter)
+def _summed(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys, and the sums of their values."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return [key[starts], *(np.add.reduceat(v[order], starts) if len(key) else v for v in values)]
+
 
-        def block() -> pa.RecordBatch:
-            rows = [(*group, digest(t, bits), t.decode(errors="replace"), n, held[group][t]) for group, counts in words.items() for t, n in counts.items()]
-            words.clear()
+def term_counts(docs: DataFrame, bits: int = 64, named: bool = False) -> DataFrame:
+    """Per task and block: occurrences of each term of a group and documents that hold it, by digest; and a row with the digest and the
+    string of each term, but for these null. With `named` counts have the string, too. Terms are maximal runs of letters and of characters
+    beyond ASCII, A-Z lower-cased (bytes.lower leaves all others alone). Fewer bits of a digest make collisions, for tests."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, groups, held = _Numbers(), _Numbers(), []
+
+        def block() -> Iterator[pa.RecordBatch]:
+            key, n, in_docs = _summed(*(np.concatenate(x) for x in zip(*held)))
+            strings = pa.array(list(terms), pa.binary()).cast(pa.string())
+            digests = pa.array((np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, len(terms)) >> np.uint64(64 - bits)).view(np.int64))
+            langs, sources = (pa.array([g[k] for g in groups], pa.string()) for k in (0, 1))
+            group, term = pa.array(key >> 32), pa.array(key & 0xFFFFFFFF)
+            none = pa.nulls(len(key), pa.string())
+            columns = [langs.take(group), sources.take(group), digests.take(term), strings.take(term) if named else none, pa.array(n), pa.array(in_docs)]
+            tables = [columns, [pa.nulls(len(terms), t) if t else x for t, x in ((pa.string(), None), (pa.string(), None), (None, digests), (None, strings), (pa.int64(), None), (pa.int64(), None))]]
+            for table in tables:
+                rows = pa.RecordBatch.from_arrays(table, names=["lang", "source", "digest", "term", "n", "docs"])
+                yield from (rows.slice(k, SLICE) for k in range(0, rows.num_rows, SLICE))
+            terms.clear()
+            groups.clear()
             held.clear()
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            columns = zip(*rows) if rows else [[]] * len(kinds)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "source", "digest", "term", "n", "docs"])
 
         size = 0
         for batch in batches:
-            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").to_pylist()):
-                found = TERM.findall(text.lower())
-                own = words[lang, source]
-                size -= len(own)
-                own.update(found)
-                held[lang, source].update(set(found))
-                size += len(own)
-                if size >= BLOCK_TERMS:
-                    yield block()
+            for part in slices([batch]):
+                words = [TERM.findall(x.lower()) for x in part.column("text").to_pylist()]
+                lengths = np.array([len(w) for w in words], np.int64)
+                number = np.fromiter(map(terms.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
+                doc_term, n = np.unique(np.repeat(np.arange(len(words)), lengths) << 32 | number, return_counts=True)
+                group = np.fromiter(map(groups.__getitem__, zip(part.column("lang").to_pylist(), part.column("source").to_pylist())), np.int64, len(words))
+                held.append(_summed(group[doc_term >> 32] << 32 | doc_term & 0xFFFFFFFF, n, np.ones(len(n), np.int64)))
+                if sum(len(x[0]) for x in held) > 2 * size + BLOCK_ROWS // 4:
+                    held[:] = [_summed(*(np.concatenate(x) for x in zip(*held)))]
+                    size = len(held[0][0])
+                if size > BLOCK_ROWS or len(terms) > BLOCK_TERMS:
+                    yield from block()
                     size = 0
-        yield block()
+        if held:
+            yield from block()
 
     small_batches(docs.sparkSession)
     return docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(blocks, COUNTS)
@@ -80,21 +105,26 @@ def share(n: Column, whole: Column, terms: Column) -> Column:
     return F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (wide(n) + PRIOR), wide(whole) + PRIOR * wide(terms)) + 1
 
 
-def kept_terms(counts: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
+def kept_terms(rows: DataFrame, least_docs: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """(counts of kept terms by group and term, text of each term). A term is (digest, split): split is '' unless its digest has
     several strings, else the string."""
+    counted = stored(term_counts(rows, bits), "counts")
+    counts = counted.where("n is not null").drop("term")
     held = counts.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "digest")
     held = stored(held, "held")  # of collided digests, too: together they are in as many documents as each of them
-    texts = counts.select("digest", "term").join(held.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high"))
+    texts = counted.where("n is null").select("digest", "term").join(held.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high"))
     texts = stored(texts, "texts")
-    shared = texts.where("low <> high").select("digest", F.lit(True).alias("shared"))
-    if shared.isEmpty():
-        kept, fine = held.withColumn("split", F.lit("")), counts.withColumn("split", F.lit(""))
-    else:
-        fine = counts.join(held, ["lang", "digest"], "left_semi").join(shared, "digest", "left").withColumn("split", F.when(F.col("shared"), F.col("term")).otherwise(""))
-        kept = fine.groupBy("lang", "digest", "split").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "digest", "split")
+    shared = texts.where("low <> high").select("digest")
+    kept, fine = held.withColumn("split", F.lit("")), counts.withColumn("split", F.lit(""))
+    if not shared.isEmpty():  # only these are counted again, by string
+        again = term_counts(rows, bits, named=True).where("n is not null").join(shared, "digest", "left_semi").withColumnRenamed("term", "split")
+        again = stored(again, "split")
+        split = again.groupBy("lang", "digest", "split").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "digest", "split")
+        kept, fine = kept.join(shared, "digest", "left_anti").unionByName(split), fine.join(shared, "digest", "left_anti").unionByName(again)
     by_group = fine.groupBy("lang", "source", "digest", "split").agg(F.sum("n").alias("n")).join(kept, ["lang", "digest", "split"], "left_semi")
-    return stored(by_group, "terms"), texts
+    by_group = stored(by_group, "terms")
+    discard(counted)
+    return by_group, texts
 
 
 def _distances(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -113,7 +143,7 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, text_col: str =
     """lang, source, part, item, value, rank."""
     filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(filled(lang_col).alias("lang"), filled(source_col).alias("source"), filled(text_col).alias("text"))
-    terms, texts = kept_terms(stored(term_counts(rows, bits), "counts"), least_docs)
+    terms, texts = kept_terms(rows, least_docs, bits)
 
     # A row for each group or language.
     whole = terms.groupBy("lang", "source").agg(F.sum("n").alias("whole"))

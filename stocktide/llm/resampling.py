@@ -83,7 +83,7 @@ def line_features(texts: DataFrame, grams: int, buckets: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Buckets(buckets)
         for batch in batches:
-            for part in slices(batch_ for batch_ in (batch,)):
+            for part in slices([batch]):
                 words = [WORD.findall(x.lower()) for x in part.column("text").to_pylist()]
                 found = words if grams == 1 else [runs(w, grams) for w in words]
                 flat = np.fromiter((known[f] for fs in found for f in fs), np.int32)

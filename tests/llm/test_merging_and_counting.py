@@ -157,6 +157,7 @@ def test_audit_without_kept_terms(small):
 def test_distances_in_blocks(small, monkeypatch):
     monkeypatch.setattr(divergence, "CELLS", 64)
     monkeypatch.setattr(divergence, "BLOCK_TERMS", 10)
+    monkeypatch.setattr(divergence, "SLICE", 13)
     assert sorted(tuple(r) for r in divergence.audit(small, 5, 3).collect()) == audit_brute(rows_of(small, "text", "lang", "source"), 5, 3)
 
 
