@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from stocktide.functions import text
 from stocktide.operators import ordered
+from stocktide.storage import stored
 
 UNIFIED = ("source", "category", "source_product", "size", "quantity", "availability", "source_ref")
+PLACE_BITS = 33  # of Spark's increasing ids: the place within a partition
 
 
 @dataclass(frozen=True)
@@ -99,16 +101,22 @@ def unified_again(rows: DataFrame) -> DataFrame:
     return kept.withColumns({**blank, "quantity": F.nullif("quantity", F.lit(0)), "availability": availability})
 
 
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """`ord`: 1, 2, 3, ... in the given order, over ranges of it: numbers within each range, and how many rows the ranges before have.
+def numbered(rows: DataFrame, order: list[str | Column]) -> DataFrame:
+    """`ord`: 1, 2, 3, ... in the given order, however many rows and wherever its ranges are cut.
 
-    `rows` has to come from stored data, for it is read twice.
+    Rows are written once, range by range and in order, each with its range and its place there as a plain column; what reads them again
+    (sizes of the ranges, the rows themselves) can't come to other ranges. A row per range tells how many rows lie before it.
+    Rows of equal order follow their contents, then their places in `rows`, so that a frequent value is cut into ranges, too.
     """
-    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    within = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = within.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return within.join(F.broadcast(before), "_part").withColumn("ord", (F.col("_before") + F.col("_n")).cast("bigint")).drop("_part", "_n", "_before")
+    tie = [F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind]), F.monotonically_increasing_id()]
+    tied = rows.withColumns({"_tie": tie[0], "_row": tie[1]})
+    keys = [*order, "_tie", "_row"]
+    placed = tied.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie", "_row").withColumn("_at", F.monotonically_increasing_id())
+    written = stored(placed, "ranges").withColumn("_range", F.shiftright("_at", PLACE_BITS))
+    sizes = written.groupBy("_range").agg(F.count("*").alias("_size"))  # a row for each range, of which there are as many as shuffle partitions
+    before = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return written.join(F.broadcast(before), "_range").withColumn("ord", F.col("_before") + place + 1).drop("_at", "_range", "_before")
 
 
 def source_stats(rows: DataFrame, product: str = "source_product") -> DataFrame:
