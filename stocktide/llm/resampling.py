@@ -31,6 +31,7 @@ from stocktide.llm.common import join_counted, slices, small_batches, stored
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 BUCKETS = 10_000
 LEAST_WORDS = 20
+TASK_LINES = 20_000
 SCALE = 1000
 FEATURES = "line binary, occurrences bigint, words bigint, features array<int>"
 
@@ -110,7 +111,8 @@ def crossing_features(rows: DataFrame, grams: int, buckets: int) -> DataFrame:
 
 
 def bucket_counts(features: DataFrame, buckets: int) -> np.ndarray:
-    """Occurrences of every bucket in (occurrences, features): counted by each task, summed, and `buckets` numbers in all."""
+    """Occurrences of every bucket in the stored (occurrences, features): counted by each task, summed, and `buckets` numbers in all. A
+    task gets TASK_LINES lines at least, so that what it hands on is far less than what it reads, however finely the table is cut."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
@@ -121,7 +123,8 @@ def bucket_counts(features: DataFrame, buckets: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["bucket", "n"])
 
     out = np.zeros(buckets, np.int64)
-    for r in features.select("occurrences", "features").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    tasks = max(1, features.count() // TASK_LINES)
+    for r in features.select("occurrences", "features").coalesce(tasks).mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -160,7 +163,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 10, grams: int =
     rows = stored(base.select("doc_id", F.monotonically_increasing_id().alias("place"), F.transform(lines, digest).alias("lines"), *(["text"] if grams > 1 else [])), "rows")
     features = stored(line_features(base, grams, buckets), "features")
     wanted = target.select(text(target_col).alias("text"))
-    wanted = [line_features(wanted, grams, buckets)] + ([crossing_features(wanted.withColumn("place", F.lit(0).cast("bigint")), grams, buckets)] if grams > 1 else [])
+    wanted = [stored(line_features(wanted, grams, buckets), "target")] + ([crossing_features(wanted.withColumn("place", F.lit(0).cast("bigint")), grams, buckets)] if grams > 1 else [])
     crossing = stored(crossing_features(rows, grams, buckets), "crossing") if grams > 1 else None
 
     once = F.lit(1).cast("bigint")
