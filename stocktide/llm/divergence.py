@@ -33,7 +33,7 @@ TERM = re.compile(rb"[a-z\x80-\xff]+")
 SCALE, PRIOR = 1_000_000_000, 5
 BLOCK_ROWS, BLOCK_TERMS = 1 << 21, 500_000  # counts and different terms that a task holds before it hands them out
 SLICE = 1 << 16
-CELLS = 1 << 20  # of a block's matrix of terms by sources
+CELLS = 1 << 15  # of a block's matrix of terms by sources
 COUNTS = "lang string, source string, digest bigint, term string, n bigint, docs bigint"
 
 
