@@ -2,46 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from stocktide.storage import fresh, remove
+
 BATCH_BYTES = 4 << 20
 HOT_KEYS = 1024
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none: the warehouse, or on one machine a folder of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        local = spark.sparkContext.master.startswith("local")
-        folder = f"{tempfile.gettempdir()}/checkpoints" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def _file_system(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors. The tables go with the application."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    files, where = _file_system(spark, folder)
-    files.deleteOnExit(where)
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
@@ -50,8 +29,7 @@ def discard(df: DataFrame) -> None:
     """Remove a stored table that nothing reads any more."""
     path = getattr(df, "_stored_at", None)
     if path:
-        files, where = _file_system(df.sparkSession, path)
-        files.delete(where, True)
+        remove(df.sparkSession, path)
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,5 +88,10 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20, column: str
             start = end
 
 
+def kept_as(keep: tuple[str, ...], outputs: tuple[str, ...]) -> list[Column]:
+    """The kept columns; one named like an output comes as `doc_<name>`, and a name that is asked for twice comes once."""
+    return [F.col(f"`{c}`").alias(f"doc_{c}" if c in outputs else c) for c in dict.fromkeys(keep)]
+
+
 def with_fields(schema: StructType, ddl: str) -> StructType:
     return StructType(schema.fields + StructType.fromDDL(ddl).fields)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocktide.llm.common import slices, with_fields
+from stocktide.llm.common import kept_as, slices, with_fields
 
 BUCKETS = 1 << 15
 MAX_N = 3
@@ -86,7 +86,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> La
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """lang_pred and score (posterior of the predicted language) for every row, beside its id and the `keep` columns."""
+    """lang_pred and score (posterior of the predicted language) for every row, beside its id and the `keep` columns; one named like
+    an output comes as `doc_<name>`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,6 +110,6 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             rest = [batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] != "text"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(conf, pa.float64())], names=[*(x for x in batch.schema.names if x != "text"), "lang_pred", "score"])
 
-    rows = docs.select(id_col, *keep, F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(*kept_as((id_col, *keep), ("lang_pred", "score", "text")), F.col(text_col).cast("string").alias("text"))
     schema = with_fields(rows.drop("text").schema, "lang_pred string, score double")
     return rows.mapInArrow(score, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocktide.llm.common import slices, with_fields
+from stocktide.llm.common import kept_as, slices, with_fields
 
 WIDTH = 64
 LEVEL = 3
@@ -150,14 +150,14 @@ def feature(samples: np.ndarray) -> str:
 
 
 def interleave(docs: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """The `keep` columns and `items`, an array of (position, kind, text, digest, caption)."""
+    """The `keep` columns and `items`, an array of (position, kind, text, digest, caption); a kept column of that name comes as `doc_items`."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column="_html"):
             items = pa.array([parse_html(x) for x in batch.column("_html").to_pylist()], pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], items], names=[*batch.schema.names[:-1], "items"])
 
-    rows = docs.select(*keep, F.col(html_col).cast("string").alias("_html"))
+    rows = docs.select(*kept_as(keep, ("items", "_html")), F.col(html_col).cast("string").alias("_html"))
     return rows.mapInArrow(parse, with_fields(rows.drop("_html").schema, f"items array<{ITEM}>"))
 
 

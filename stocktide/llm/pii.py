@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocktide.llm.common import lowest_by_hash, slices, small_batches, with_fields
+from stocktide.llm.common import kept_as, lowest_by_hash, slices, small_batches, with_fields
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.
@@ -267,11 +267,13 @@ def find_spans(text: str, model: BoostedTrees | None) -> tuple[list[tuple[int, i
 
 
 def detect(docs: DataFrame, model: BoostedTrees | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), redact: bool = False) -> DataFrame:
-    """The `keep` columns with arrays `base` and `added` of spans, or with the redacted text when `redact` is set."""
+    """The `keep` columns with arrays `base` and `added` of spans, or with the redacted text when `redact` is set. A kept column named like
+    one of these comes as `doc_<name>`."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())]))
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    outputs = ("redacted", "_text") if redact else ("base", "added", "_text")
+    rows = docs.select(*kept_as(keep, outputs), F.col(text_col).cast("string").alias("_text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column="_text"):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocktide.llm.common import lowest_by_hash, slices, small_batches, with_fields
+from stocktide.llm.common import kept_as, lowest_by_hash, slices, small_batches, with_fields
 
 WORD = re.compile(r"\w+")
 CHAIN, LAP = 64, 8
@@ -265,7 +265,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: ToxicField | float, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `keep` columns with `score` and `spans`, an array of (start, stop, weight) in code points."""
+    """The `keep` columns with `score` and `spans`, an array of (start, stop, weight) in code points of the text as it is.
+
+    A kept column named like one of these comes as `doc_<name>`.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("weight", pa.float64())]))
@@ -287,19 +290,23 @@ def score(docs: DataFrame, model: ToxicField | float, text_col: str = "text", ke
                         spans[i] = _runs(texts[i], p)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64()), pa.array(spans, kind)], names=[*batch.schema.names[:-1], "score", "spans"])
 
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(*kept_as(keep, ("score", "spans", "_text")), F.col(text_col).cast("string").alias("_text"))
     return rows.mapInArrow(run, with_fields(rows.drop("_text").schema, "score double, spans array<struct<start:int,stop:int,weight:double>>"))
 
 
 def _runs(text: str, p: np.ndarray) -> list[dict]:
-    """Neighbouring toxic tokens as one span each."""
+    """Neighbouring toxic tokens as one span each. Tokens are those of the lower-cased text, in which a character may have become several:
+    their places are led back to the characters that they come from."""
+    low = text.lower()
+    at = range(len(text) + 1) if len(low) == len(text) else np.repeat(np.arange(len(text) + 1), [*(len(c.lower()) for c in text), 1])
     out: list[dict] = []
-    for k, m in enumerate(WORD.finditer(text.lower() if len(text.lower()) == len(text) else text)):
+    for k, m in enumerate(WORD.finditer(low)):
         if k < len(p) and p[k] > 0.5:
+            start, stop = int(at[m.start()]), int(at[m.end() - 1]) + 1
             if out and out[-1]["last"] == k - 1:
-                out[-1] |= {"stop": m.end(), "last": k, "weight": max(out[-1]["weight"], float(p[k]))}
+                out[-1] |= {"stop": stop, "last": k, "weight": max(out[-1]["weight"], float(p[k]))}
             else:
-                out.append({"start": m.start(), "stop": m.end(), "last": k, "weight": float(p[k])})
+                out.append({"start": start, "stop": stop, "last": k, "weight": float(p[k])})
     return [{k: x[k] for k in ("start", "stop", "weight")} for x in out]
 
 
