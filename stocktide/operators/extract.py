@@ -1,7 +1,7 @@
 """Source sheets to unified inventory rows, and checks of what was read.
 
 Sheets come as cells (file, sheet, row, col, value, kind) and merged ranges (file, sheet, min_row, max_row, min_col, max_col), as
-`sources.xlsx` reads them; kind is "n" for numbers.
+`sources.xlsx` reads them; kind is "n" for numbers, "b" for booleans, "d" for dates, "s" for text.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def table_rows(cells: DataFrame, merges: DataFrame, sheet: Sheet) -> DataFrame:
     rows = rows.withColumn("size", text.normalize_size(text.cell_text(F.col("size.value"), F.col("size.kind")))).where("size <> ''")
     rows = ordered.drop_consecutive(rows, ["source_product", "size"], ["file", "sheet"], "row")
     said = text.cell_text(F.col("quantity.value"), F.col("quantity.kind"))
-    quantity = text.to_int(F.col("quantity.value"))
+    quantity = text.cell_int(F.col("quantity.value"), F.col("quantity.kind"))
     availability = cell_availability(quantity, said, "quantity" in numbers)
     ref = F.concat("file", F.lit("!"), "sheet", F.lit("!R"), F.col("row").cast("string"))
     return rows.select("file", "row", F.lit(sheet.source).alias("source"), F.lit("").alias("category"), "source_product", "size", quantity.alias("quantity"), availability.alias("availability"), ref.alias("source_ref"))
@@ -132,7 +132,7 @@ def against_baseline(stats: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def rule_report(rules: DataFrame, most: int = 5) -> DataFrame:
     """How many rules there are, how many name a product, how many keys come twice, and the first such keys."""
-    tidy = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    tidy = lambda c: text.strip(F.coalesce(F.col(c), F.lit("")))
     keyed = rules.where(tidy("product") != "").groupBy(tidy("source").alias("s"), F.when(tidy("category") == "", "*").otherwise(tidy("category")).alias("c"), tidy("product").alias("p"))
     per = keyed.agg(F.count("*").alias("n"), F.count_if(tidy("parent_sku") != "").alias("filled"))
     twice = F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.concat_ws("|", "s", "c", "p"))))

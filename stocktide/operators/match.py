@@ -1,19 +1,24 @@
 """Source rows to catalogue products: curated rules, then keys, names and similarity, each on what is left.
 
-Every strategy is an equi-join (similarity too, through tokens), and only rows still unmatched go on to the next. Sides are
-never broadcast by hint: their sizes grow with the catalogue, so the planner and adaptive execution decide.
+Every strategy is an equi-join (similarity too, through signatures of tokens). The exact ones are tried over all rows at once, and the
+first that hits counts; similarity sees only the names of rows that are left. Sides are never broadcast by hint: their sizes grow with the catalogue, so the planner and adaptive execution decide.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocktide.functions import text
+from stocktide.storage import stored
 
 # Labels of how a product was found.
 RULE, RULE_MISSING, SKU, COMBO, NAME, NONE = "人工映射", "映射的 SKU 在本店不存在", "SKU 相同", "组合商品 SKU 命中", "商品名相同", "未匹配"
 TO_FILL = "⚠ 需要人工填写 parent_sku"
+SIGNATURES = 24
 
 
 def rule_lookup(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -23,8 +28,10 @@ def rule_lookup(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """
     if "size_map" not in rules.columns:
         rules = rules.withColumn("size_map", F.lit(""))
-    category = F.when(F.trim(F.coalesce("category", F.lit(""))) == "", "*").otherwise(F.trim("category"))
-    last = rules.groupBy(F.trim("source").alias("source"), category.alias("category"), F.trim("product").alias("product")).agg(F.max_by(F.struct(F.trim(F.coalesce("parent_sku", F.lit(""))).alias("parent_sku"), F.trim(F.coalesce("size_map", F.lit(""))).alias("size_map")), "ord").alias("r")).where("product <> ''")
+    tidy = lambda c: text.strip(F.coalesce(F.col(c), F.lit("")))
+    category = F.when(tidy("category") == "", "*").otherwise(tidy("category"))
+    value = F.struct(tidy("parent_sku").alias("parent_sku"), tidy("size_map").alias("size_map"))
+    last = rules.groupBy(tidy("source").alias("source"), category.alias("category"), tidy("product").alias("product")).agg(F.max_by(value, "ord").alias("r")).where("product <> ''")
     s, c, k, p, any_ = (F.col("source"), F.col("category"), F.col("occurrence"), F.col("product"), F.lit("*"))
     keys = [(s, c, k), (any_, c, k), (s, any_, k), (any_, any_, k), (s, c, p), (any_, any_, p)]
     options = F.array(*[F.struct(F.lit(i).alias("prio"), a.alias("rs"), b.alias("rc"), d.alias("rp")) for i, (a, b, d) in enumerate(keys)])
@@ -66,44 +73,72 @@ def by_name(rows: DataFrame, products: DataFrame) -> DataFrame:
     return rows.select("ord", text.normalize_name(F.col("product")).alias("key")).join(index, "key").select("ord", "product_id", F.lit(NAME).alias("method"))
 
 
+def signature_plan(threshold: float, left_sizes: list[int], right_sizes: list[int], most: int = SIGNATURES) -> list[tuple]:
+    """For every two sizes n, m of token sets that can reach the similarity: n, m, how many tokens a signature has, and which places of
+    the sets, put in one order of tokens, make up the signatures of either.
+
+    Sets of that similarity share k >= (n + m) * threshold / (1 + threshold) tokens. Of these, the first s in order lie among the first
+    n - k + s tokens of the one and m - k + s of the other: sets that are alike have one of the choices of s tokens from there in common. More
+    tokens make rarer signatures, but more of them: s is the largest for which neither set has over `most`.
+    """
+    plan = []
+    for n in left_sizes:
+        for m in right_sizes:
+            k = math.ceil((n + m) * threshold / (1 + threshold) - 1e-9)
+            if k > min(n, m):
+                continue
+            s = max(x for x in range(1, k + 1) if x == 1 or max(math.comb(n - k + x, x), math.comb(m - k + x, x)) <= most)
+            choices = lambda size, s=s, k=k: [list(c) for c in combinations(range(size - k + s), s)]
+            plan.append((n, m, s, choices(n), choices(m)))
+    return plan
+
+
 def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Pairs of rows whose token sets may reach the similarity, each once. Both sides have a column of distinct tokens: `lt`, `rt`.
 
-    Sets of that similarity share at least threshold * size tokens of either, hence one of the size - that + 1 rarest of each: only
-    these are joined.
+    Signatures hold both sizes and several tokens, the rarest ones first, so that sets of frequent tokens don't meet in full.
     """
     seen = left.select(F.explode("lt").alias("token")).unionAll(right.select(F.explode("rt").alias("token"))).groupBy("token").agg(F.count("*").alias("df"))
 
-    def rarest(df: DataFrame, tokens: str, out: str) -> DataFrame:
+    def ordered(df: DataFrame, tokens: str) -> DataFrame:
         ranked = df.select(tokens).distinct().select(tokens, F.explode(tokens).alias("token")).join(seen, "token").groupBy(tokens).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
-        prefix = F.slice(F.col("r.token"), F.lit(1), (F.size("r") - F.ceil(F.size("r") * threshold - 1e-9) + 1).cast("int"))
-        return df.join(ranked.select(tokens, prefix.alias(out)), tokens).withColumn("token", F.explode(out))
+        return stored(df.join(ranked.select(tokens, F.col("r.token").alias("r")), tokens).withColumn("n", F.size(tokens)), "ranked")
+
+    left, right = ordered(left, "lt"), ordered(right, "rt")
+    sizes = [sorted(r["n"] for r in df.select("n").distinct().collect()) for df in (left, right)]  # a row for each size of a name
+    plan = left.sparkSession.createDataFrame(signature_plan(threshold, *sizes), "ln int, rn int, s int, lc array<array<int>>, rc array<array<int>>")
 
-    n, m = F.size("lt"), F.size("rt")
-    both = rarest(left, "lt", "lp").join(rarest(right, "rt", "rp"), "token").where(F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9)
-    return both.where(F.col("token") == F.element_at(F.array_intersect("lp", "rp"), 1)).drop("token", "lp", "rp")
+    def signed(df: DataFrame, side: str) -> DataFrame:
+        one = lambda places: F.xxhash64("ln", "rn", F.transform(places, lambda i: F.get("r", i)))
+        met = df.join(plan.select("ln", "rn", "s", f"{side}c"), F.col("n") == F.col(f"{side}n"))
+        return met.select(*[c for c in df.columns if c not in ("r", "n")], F.col("r").alias(f"{side}r"), "ln", "rn", "s", F.explode(F.transform(f"{side}c", one)).alias("signature"))
+
+    both = signed(left, "l").join(signed(right, "r").drop("ln", "rn", "s"), "signature")
+    first = F.xxhash64("ln", "rn", F.slice(F.array_intersect("lr", "rr"), F.lit(1), F.col("s")))
+    return both.where(F.col("signature") == first).drop("signature", "lr", "rr", "ln", "rn", "s")
 
 
 def by_similarity(rows: DataFrame, products: DataFrame, threshold: float = 0.86, others: bool = False) -> DataFrame:
     """Best Jaccard similarity of name tokens, the earliest product on ties; names of one token never match.
 
-    Equal names are one on either side. With `others`, a row's ord is a product's id, which the row can't have as its match.
+    Names of the same tokens are one on either side. With `others`, a row's ord is a product's id, which the row can't have as its match.
     """
-    side = lambda df, col, out: df.withColumn(out, text.name_tokens(F.col(col))).where(F.size(out) >= 2)
-    left = side(rows.select("product").distinct(), "product", "lt")
-    first = F.slice(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("first"), "id"))), 1, 2) if others else F.array(F.min(F.struct(F.col("ord").alias("first"), "id")))
-    right = side(products.groupBy("name").agg(first.alias("f")), "name", "rt")
+    side = lambda df, col, out: df.withColumn(out, F.array_sort(text.name_tokens(F.col(col)))).where(F.size(out) >= 2)
+    left = stored(side(rows.select("product").distinct(), "product", "lt"), "names")
+    ranked = side(products.select("name", F.struct(F.col("ord").alias("first"), "id").alias("f")), "name", "rt")
+    nth = F.row_number().over(Window.partitionBy("rt").orderBy("f"))
+    right = ranked.withColumn("nth", nth).where(F.col("nth") <= (2 if others else 1)).groupBy("rt").agg(F.collect_list("f").alias("f"))
     k = F.size(F.array_intersect("lt", "rt"))
-    scored = candidates(left, right, threshold).select("product", (k / (F.size("lt") + F.size("rt") - k)).alias("score"), "f").where(F.col("score") >= threshold)
-    scored = scored.select("product", "score", F.explode("f").alias("f")).select("product", F.struct((-F.col("score")).alias("s"), "f.first", "f.id", "score").alias("b"))
+    scored = candidates(left.select("lt").distinct(), right, threshold).select("lt", (k / (F.size("lt") + F.size("rt") - k)).alias("score"), "f").where(F.col("score") >= threshold)
+    scored = scored.select("lt", "score", F.explode("f").alias("f")).select("lt", F.struct((-F.col("score")).alias("s"), "f.first", "f.id", "score").alias("b"))
+    named = rows.select("ord", "product").join(left, "product")
     if not others:
-        best = scored.groupBy("product").agg(F.min("b").alias("b"))
-        hits = rows.select("ord", "product").join(best, "product")
+        hits = named.join(scored.groupBy("lt").agg(F.min("b").alias("b")), "lt")
     else:
         # At most one entry is the row itself: the better two are enough.
-        place = F.row_number().over(Window.partitionBy("product").orderBy("b"))
-        two = scored.withColumn("place", place).where("place <= 2").groupBy("product").agg(F.array_sort(F.collect_list("b")).alias("two"))
-        hits = rows.select("ord", "product").join(two, "product").withColumn("b", F.get(F.filter("two", lambda b: b["id"] != F.col("ord")), 0)).where("b is not null")
+        place = F.row_number().over(Window.partitionBy("lt").orderBy("b"))
+        two = scored.withColumn("place", place).where("place <= 2").groupBy("lt").agg(F.array_sort(F.collect_list("b")).alias("two"))
+        hits = named.join(two, "lt").withColumn("b", F.get(F.filter("two", lambda b: b["id"] != F.col("ord")), 0)).where("b is not null")
     return hits.select("ord", F.col("b.id").alias("product_id"), F.format_string("名称相似度 %.2f", "b.score").alias("method"))
 
 
@@ -159,6 +194,8 @@ def suggestions(rows: DataFrame, products: DataFrame, rules: DataFrame | None =
 
 
 LONG_KEY = 40
+REACHES = (3, 4, 8, 16)
+DELETED, SHORT_REST, SMALL_GROUP = 4, 14, 64
 
 
 def _shortened(s: Column, edits: int) -> Column:
@@ -177,24 +214,20 @@ def nearest_sku(wanted: DataFrame, products: DataFrame, max_distance: int = 2, l
 
     Gives key, id, sku, combo, distance (to the nearest part of the product's identifier) and place. Pairs within the distance share a
     text that deletions make of both; identifiers of over LONG_KEY characters share a piece that edits left whole. Equal digits
-    are looked up only for keys with fewer than `limit` products so far: others rank behind.
+    are looked up only for keys with fewer than `limit` products so far: others rank behind. See `_same_digits`.
     """
     pool = sku_index(products).select("key", "id", F.lit(0).alias("pool")).unionAll(combo_index(products).select("key", "id", F.lit(1).alias("pool")))
-    other = pool.withColumnRenamed("key", "sku_key").where("sku_key <> ''")
+    other = stored(pool.withColumnRenamed("key", "sku_key").where("sku_key <> ''"), "pool")
     mine = wanted.select("key").distinct().withColumn("k", text.normalize_sku(F.col("key"))).where("k <> ''")
-    ks, skus = mine.select("k").distinct(), other.select("sku_key").distinct()
+    ks, skus = stored(mine.select("k").distinct(), "keys"), other.select("sku_key").distinct()
     short = ks.where(F.length("k") <= LONG_KEY).select("k", F.explode(_shortened(F.col("k"), max_distance)).alias("h"))
     short = short.join(skus.where(F.length("sku_key") <= LONG_KEY + max_distance).select("sku_key", F.explode(_shortened(F.col("sku_key"), max_distance)).alias("h")), "h").select("k", "sku_key").distinct()
     near = short.unionAll(_by_pieces(ks.where(F.length("k") > LONG_KEY), skus.where(F.length("sku_key") > LONG_KEY - max_distance), max_distance))
     near = near.withColumn("d", F.levenshtein("k", "sku_key", max_distance)).where(F.col("d").between(0, max_distance))
-    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
-    near = near.join(other, "sku_key").select("k", "sku_key", "id", "pool", "d")
-    full = near.groupBy("k").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= limit).select("k")
-    rest = ks.join(full, "k", "left_anti").withColumn("digits", digits("k")).where("digits <> ''")
-    same = rest.join(other.withColumn("digits", digits("sku_key")), "digits").select("k", "sku_key", "id", "pool", F.levenshtein("k", "sku_key").alias("d"))
+    near = stored(near.join(other, "sku_key").select("k", "sku_key", "id", "pool", "d"), "near")
     first = products.select("id", F.col("ord").alias("o"), F.col("sku").alias("sku"))
-    every = near.unionByName(same).distinct().join(first, "id")
-    flag = F.when((digits("k") != "") & (digits("k") == digits("sku_key")), 0).otherwise(1)
+    every = near.unionByName(_same_digits(ks, other, near, limit)).distinct().join(first, "id")
+    flag = F.when((_digits("k") != "") & (_digits("k") == _digits("sku_key")), 0).otherwise(1)
     best = every.groupBy("k", "id").agg(F.min(F.struct("d", "pool", flag.alias("flag"), "o")).alias("b"), F.first("sku").alias("sku"))
     place = F.row_number().over(Window.partitionBy("k").orderBy("b"))
     top = best.withColumn("place", place).where(F.col("place") <= limit)
@@ -202,13 +235,73 @@ def nearest_sku(wanted: DataFrame, products: DataFrame, max_distance: int = 2, l
     return mine.join(top, "k").select("key", "id", "sku", (F.col("b.pool") == 1).alias("combo"), distance.alias("distance"), "place")
 
 
-def _by_pieces(ks: DataFrame, skus: DataFrame, max_distance: int) -> DataFrame:
-    """Of max_distance + 1 pieces of a key, one is left whole by that many edits, and it stands within max_distance of its place in the other."""
-    pieces = max_distance + 1
+def _digits(c: str) -> Column:
+    return F.regexp_replace(c, "[^0-9]", "")
+
+
+def _same_digits(ks: DataFrame, other: DataFrame, near: DataFrame, limit: int) -> DataFrame:
+    """(k, sku_key, id, pool, d): the identifiers of a key's digits that may be among its `limit` nearest.
+
+    A key is compared with its whole group where that is small. In larger groups the distance that is searched grows: keys that have
+    found enough products, or all that their group has, are through, for what is farther off ranks behind. Beginnings and ends that a
+    whole group has in common don't count for distances and are left out; short rests meet by the texts that deletions make of
+    them, longer ones by pieces that edits leave whole. Only keys that then still are without enough products, and so far from
+    nearly all others, are compared with their whole group.
+    """
+    pool = other.withColumn("digits", _digits("sku_key")).where("digits <> ''")
+    in_group = pool.groupBy("digits").agg(F.count_distinct("id").alias("has"))
+    asked = ks.withColumn("digits", _digits("k")).where("digits <> ''").join(in_group, "digits")
+
+    def open_(found: DataFrame) -> DataFrame:
+        """Keys that still need products."""
+        own = found.groupBy("k").agg(F.count_distinct("id").alias("n"), F.count_distinct(F.when(_digits("k") == _digits("sku_key"), F.col("id"))).alias("same"))
+        kept = asked.join(own, "k", "left").where((F.coalesce("n", F.lit(0)) < limit) & (F.coalesce("same", F.lit(0)) < F.col("has")))
+        return stored(kept.select("k", "digits", "has"), "open")
+
+    def whole(left: DataFrame) -> DataFrame:
+        return left.join(pool, "digits").select("k", "sku_key", "id", "pool", F.levenshtein("k", "sku_key").alias("d"))
+
+    left = open_(near)
+    found, left = whole(left.where(F.col("has") <= SMALL_GROUP)), left.where(F.col("has") > SMALL_GROUP)
+    if left.isEmpty():
+        return found
+    every = left.select("digits", F.col("k").alias("s")).unionAll(pool.join(left.select("digits").distinct(), "digits", "left_semi").select("digits", F.col("sku_key").alias("s"))).distinct()
+    back = F.reverse("s")
+    ends = every.groupBy("digits").agg(F.min("s").alias("a"), F.max("s").alias("b"), F.min(back).alias("y"), F.max(back).alias("z"), F.min(F.length("s")).alias("least"))
+    common = lambda x, y: f"size(filter(sequence(0, least), i -> i > 0 AND substring({x}, 1, i) = substring({y}, 1, i)))"
+    ends = ends.select("digits", "least", F.expr(common("a", "b")).alias("head"), F.expr(common("y", "z")).alias("tail")).withColumn("tail", F.least("tail", F.col("least") - F.col("head")))
+    rest = every.join(ends, "digits").select("digits", "s", F.substring("s", F.col("head") + 1, F.length("s") - F.col("head") - F.col("tail")).alias("rest"))
+    rest = stored(rest, "rests")
+    for reach in REACHES:
+        mine = left.join(rest.select("digits", F.col("s").alias("k"), F.col("rest").alias("k_rest")), ["digits", "k"])
+        others = pool.join(rest.select("digits", F.col("s").alias("sku_key"), F.col("rest").alias("sku_rest")), ["digits", "sku_key"]).select("digits", "sku_rest").distinct()
+        if reach <= DELETED:
+            brief = lambda c: F.length(c) <= SHORT_REST + reach  # noqa: B023, E731
+            tried = mine.where(F.length("k_rest") <= SHORT_REST).select("digits", "k_rest").distinct()
+            shortened = lambda df, c: df.select("digits", c, F.explode(_shortened(F.col(c), reach)).alias("h"))  # noqa: B023, E731
+            met = shortened(tried, "k_rest").join(shortened(others.where(brief("sku_rest")), "sku_rest"), ["digits", "h"]).select("digits", "k_rest", "sku_rest").distinct()
+        else:
+            tried = mine.where(F.length("k_rest") >= 2 * (reach + 1)).select("digits", F.col("k_rest").alias("k")).distinct()
+            met = _by_pieces(tried, others.withColumnRenamed("sku_rest", "sku_key"), reach, ["digits"]).withColumnsRenamed({"k": "k_rest", "sku_key": "sku_rest"})
+        if tried.isEmpty():
+            continue
+        close = met.withColumn("d", F.levenshtein("k_rest", "sku_rest", reach)).where(F.col("d").between(0, reach))
+        named = close.join(mine, ["digits", "k_rest"]).join(rest.select("digits", F.col("s").alias("sku_key"), F.col("rest").alias("sku_rest")), ["digits", "sku_rest"])
+        found = found.unionByName(stored(named.join(pool, ["digits", "sku_key"]).select("k", "sku_key", "id", "pool", "d"), "same"))
+        left = open_(near.unionByName(found)).where(F.col("has") > SMALL_GROUP)
+        if left.isEmpty():
+            return found
+    return found.unionByName(whole(left))
+
+
+def _by_pieces(ks: DataFrame, skus: DataFrame, max_distance: int, equal: list[str] | None = None) -> DataFrame:
+    """Of max_distance + 1 pieces of a key, one is left whole by that many edits, and it stands within max_distance of its place in the
+    other. Both sides may have columns that have to be equal."""
+    pieces, equal = max_distance + 1, equal or []
     numbers = f"sequence(0, {pieces - 1})"
     cut = lambda col, n, i, shift: f"substring({col}, 1 + {i} * {n} div {pieces} + {shift}, ({i} + 1) * {n} div {pieces} - {i} * {n} div {pieces})"
-    whole = ks.select("k", F.expr(f"explode(transform({numbers}, i -> struct(i AS i, length(k) AS n, {cut('k', 'length(k)', 'i', '0')} AS piece)))").alias("p")).select("k", "p.*")
+    whole = ks.select("k", *equal, F.expr(f"explode(transform({numbers}, i -> struct(i AS i, length(k) AS n, {cut('k', 'length(k)', 'i', '0')} AS piece)))").alias("p")).select("k", *equal, "p.*")
     reach = f"sequence(-{max_distance}, {max_distance})"
     spots = f"flatten(flatten(transform({reach}, e -> transform({numbers}, i -> transform({reach}, d -> struct(i AS i, length(sku_key) + e AS n, CASE WHEN 1 + i * (length(sku_key) + e) div {pieces} + d >= 1 THEN {cut('sku_key', '(length(sku_key) + e)', 'i', 'd')} END AS piece))))))"
-    pool = skus.select("sku_key", F.expr(f"explode(array_distinct({spots}))").alias("p")).select("sku_key", "p.*").where("piece is not null")
-    return whole.join(pool, ["i", "n", "piece"]).select("k", "sku_key").distinct()
+    pool = skus.select("sku_key", *equal).distinct().select("sku_key", *equal, F.expr(f"explode(array_distinct({spots}))").alias("p")).select("sku_key", *equal, "p.*").where("piece is not null")
+    return whole.join(pool, [*equal, "i", "n", "piece"]).select(*equal, "k", "sku_key").distinct()

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stocktide.functions import text
+
 
 def forward_fill(df: DataFrame, col: str, by: list[str], order: str, out: str) -> DataFrame:
     """Empty cells take the last filled one; a cell of white space only is filled, with ''."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.last(F.when(F.col(col) != "", F.trim(col)), ignorenulls=True).over(w))
+    return df.withColumn(out, F.last(F.when(F.col(col) != "", text.strip(F.col(col))), ignorenulls=True).over(w))
 
 
 def drop_consecutive(df: DataFrame, cols: list[str], by: list[str], order: str) -> DataFrame:

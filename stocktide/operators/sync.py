@@ -1,29 +1,33 @@
 """Guarded write-back: what is to be written, the values before, one write per variation, and the way back.
 
-Before-images are stored before anything is written. Writes go out once per variation, with what one write after another would leave,
-from tasks of a bounded number; a task that runs again repeats writes that leave the same. A `send` is a function
-(product_id, variation_id, payload as a dict) -> the variation as it is afterwards (a dict); an exception is that variation's failure.
+A run goes by its id in a `Ledger`, a folder that outlives sessions. The plan and the before-images of all that it would write are there,
+written to their end, before the first send; what was sent is in the ledger's attempts. So a run that broke off goes on from there
+(`resume`), and can be taken back (`undo`), in another session too. Nothing is sent unless that is confirmed, and after writes the kept
+catalogue is forgotten. Writes go out once per variation, with what one write after another would leave. A `send` is a
+function (product_id, variation_id, payload as a dict) -> the variation as it is afterwards (a dict); an exception is that
+variation's failure.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stocktide.functions import text
 from stocktide.operators import reconcile
-from stocktide.storage import stored
+from stocktide.sinks import updates
+from stocktide.storage import complete, fresh, remove
 
 # How a write ended.
 DONE, FAILED, SKIPPED, REHEARSED = "成功", "失败", "跳过", "演练（未提交）"
 NO_VARIATION = "找不到变体"
 LOG_COLUMNS = ("序号", "结果", "来源商品", "尺码", "本店 SKU", "本店商品", "变体 ID", "更新前", "更新请求", "更新后", "错误信息")
-ERROR_LENGTH = 400
-IMAGE = "struct<sku:string,manage_stock:string,stock_quantity:bigint,stock_status:string>"
+STOCK_FIELDS = ("manage_stock", "stock_quantity", "stock_status")
+IMAGE = updates.IMAGE
+VARIATION = ["product_id", "variation_id"]
 
 
 def payload_text(payload: Column) -> Column:
@@ -44,53 +48,132 @@ def image_text(image: Column) -> Column:
 def planned(changes: DataFrame, variations: DataFrame, mode: str = "auto", update_status: bool = True, no_qty_policy: str = "status_and_zero") -> DataFrame:
     """Changes (rows of a diff) with `before` (null: the variation is gone) and `payload`."""
     before = variations.select("product_id", F.col("id").alias("variation_id"), F.struct("sku", F.col("manage_stock").cast("string").alias("manage_stock"), "stock_quantity", "stock_status").alias("before"))
-    joined = changes.join(before, ["product_id", "variation_id"], "left").withColumn("managed", text.truthy(F.col("before.manage_stock")))
+    joined = changes.join(before, VARIATION, "left").withColumn("managed", text.truthy(F.col("before.manage_stock")))
     return joined.withColumn("payload", reconcile.payload(mode, update_status, no_qty_policy)).drop("managed")
 
 
+def _json(value: Column) -> Column:
+    """A text as JSON, quoted; null as null."""
+    listed = F.to_json(F.array(value))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
 def snapshot(plan: DataFrame) -> DataFrame:
-    """Before-images of all that a plan would write, one per variation."""
-    return plan.where("before is not null").groupBy("product_id", "variation_id").agg(F.min_by(F.struct(F.col("parent_sku").alias("sku"), "before"), "ord").alias("s")).select("product_id", "variation_id", "s.*")
-
-
-def written(updates: DataFrame, send: Callable[[int, int, dict], dict], writers: int = 4) -> DataFrame:
-    """updates (product_id, variation_id, request as JSON text), sent by `writers` tasks: ok, after, error. Stored, so that each is sent once."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for product, variation, request in zip(pdf["product_id"].tolist(), pdf["variation_id"].tolist(), pdf["request"]):
-                try:
-                    after, error = send(product, variation, json.loads(request)) or {}, ""
-                except Exception as problem:  # noqa: BLE001 - every failure is kept with its row
-                    after, error = None, str(problem)[:ERROR_LENGTH]
-                value = after and {"sku": after.get("sku"), "manage_stock": json.dumps(after.get("manage_stock")), "stock_quantity": after.get("stock_quantity"), "stock_status": after.get("stock_status")}
-                out.append((product, variation, error == "", value, error))
-            yield pd.DataFrame(out, columns=["product_id", "variation_id", "ok", "after", "error"])
-
-    sent = updates.select("product_id", "variation_id", "request").repartition(writers)
-    return stored(sent.mapInPandas(run, f"product_id bigint, variation_id bigint, ok boolean, after {IMAGE}, error string"), "written")
-
-
-def apply_updates(plan: DataFrame, send: Callable[[int, int, dict], dict] | None = None, writers: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(results, snapshot) of a plan. Without `send` it is a rehearsal: nothing is written. The snapshot is stored first; of it,
-    `kept_entries` tells what the results leave."""
-    images = stored(snapshot(plan), "snapshot")
-    nth = plan.select(F.col("ord").alias("ord"), "source_product", "size", "parent_sku", "product_name", "product_id", "variation_id", "before", payload_text(F.col("payload")).alias("request"))
-    if send is None:
-        done = nth.withColumn("ok", F.lit(None).cast("boolean")).withColumn("after", F.lit(None).cast(IMAGE)).withColumn("error", F.lit(""))
+    """Before-images of all that a plan would write, one per variation: `before` maps each field to its value in JSON."""
+    b, managed = F.col("before"), F.col("before.manage_stock")
+    values = (_json(b["sku"]), F.when(managed.isin("true", "false"), managed).otherwise(_json(managed)), F.coalesce(b["stock_quantity"].cast("string"), F.lit("null")), _json(b["stock_status"]))
+    image = F.create_map(*[x for k, v in zip(("sku", *STOCK_FIELDS), values) for x in (F.lit(k), v)])
+    first = F.min_by(F.struct(F.col("parent_sku").alias("sku"), b.alias("before")), "ord")
+    found = plan.where("before is not null").groupBy(*VARIATION).agg(first.alias("s"))
+    return found.select(*VARIATION, "s.sku", F.col("s.before").alias("before")).select(*VARIATION, "sku", image.alias("before"))
+
+
+def requests(plan: DataFrame) -> DataFrame:
+    """One request per variation: what its rows, one after another, would leave."""
+    merged = reconcile.collapse_updates(plan.where("before is not null"))
+    return merged.select(*VARIATION, payload_text(F.struct(*STOCK_FIELDS)).alias("request"))
+
+
+def _results(plan: DataFrame, sent: DataFrame | None) -> DataFrame:
+    """Every row of a plan and how it ended; without `sent` it is a rehearsal."""
+    nth = plan.select("ord", "source_product", "size", "parent_sku", "product_name", *VARIATION, "before", payload_text(F.col("payload")).alias("request"))
+    if sent is None:
+        done = nth.withColumns({"ok": F.lit(None).cast("boolean"), "after": F.lit(None).cast(IMAGE), "error": F.lit("")})
     else:
-        merged = reconcile.collapse_updates(plan.where("before is not null")).select("product_id", "variation_id", payload_text(F.struct("manage_stock", "stock_quantity", "stock_status")).alias("request"))
-        done = nth.join(written(merged, send, writers), ["product_id", "variation_id"], "left")
-    result = F.when(F.col("before").isNull(), SKIPPED).when(F.lit(send is None), REHEARSED).when(F.col("ok"), DONE).otherwise(FAILED)
-    error = F.when(F.col("before").isNull(), NO_VARIATION).otherwise(F.coalesce("error", F.lit("")))
-    return done.withColumn("result", result).withColumn("error", error), images
+        done = nth.join(sent.select(*VARIATION, "ok", "after", "error"), VARIATION, "left")
+    result = F.when(F.col("before").isNull(), SKIPPED).when(F.lit(sent is None), REHEARSED).when(F.col("ok"), DONE).otherwise(FAILED)
+    return done.withColumn("result", result).withColumn("error", F.when(F.col("before").isNull(), NO_VARIATION).otherwise(F.coalesce("error", F.lit(""))))
+
+
+def may_write(confirmed: bool = False, answer: str | None = None) -> bool:
+    """Nothing is written unless it is confirmed by a flag or by the typed word."""
+    return confirmed or (answer or "").strip().upper() == "YES"
+
+
+@dataclass(frozen=True)
+class Ledger:
+    """Runs in a folder: plan, images, attempts and results of each. A table counts only when it was written to its end."""
+
+    spark: SparkSession
+    folder: str
+
+    def path(self, kind: str, run_id: str) -> str:
+        return f"{self.folder.rstrip('/')}/{kind}/run_id={run_id}"
+
+    def put(self, kind: str, run_id: str, df: DataFrame) -> DataFrame:
+        path = self.path(kind, run_id)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def get(self, kind: str, run_id: str) -> DataFrame:
+        if not complete(self.spark, self.path(kind, run_id)):
+            raise LookupError(f"run {run_id} has no {kind}")
+        return self.spark.read.parquet(self.path(kind, run_id))
+
+    def begin(self, run_id: str, plan: DataFrame) -> DataFrame:
+        """The plan, stored with its images. A run that has its images is never planned anew: values read then may be its own."""
+        if complete(self.spark, self.path("images", run_id)):
+            raise ValueError(f"run {run_id} has begun already: resume it or take it back")
+        kept = self.put("plan", run_id, plan)
+        self.put("images", run_id, snapshot(kept))
+        return kept
+
+    def entries(self, run_id: str) -> DataFrame:
+        """Images of what a run may have changed: all that it announced, but for sends that failed. Of a rehearsal, all."""
+        images = self.get("images", run_id)
+        announced = updates.announced(self.spark, self.path("attempts", run_id))
+        if announced.isEmpty():
+            return images
+        failed = updates.outcomes(self.spark, self.path("attempts", run_id)).where("not ok")
+        return images.join(announced, VARIATION, "left_semi").join(failed, VARIATION, "left_anti")
+
+
+def write_back(ledger: Ledger, run_id: str, plan: DataFrame, send: updates.Send | None = None, confirmed: bool = False, answer: str | None = None, forget: Callable[[], None] | None = None, **how) -> DataFrame:
+    """Results of a new run. Unless it is confirmed it is a rehearsal: plan, images and results are kept, and nothing is sent.
+
+    `forget` drops the kept catalogue once anything was written. how: writers, chunk and read, as `updates.deliver` takes them.
+    """
+    kept = ledger.begin(run_id, plan)
+    if send is None or not may_write(confirmed, answer):
+        return ledger.put("results", run_id, _results(kept, None))
+    return resume(ledger, run_id, send, confirmed, answer, forget, **how)
+
+
+def resume(ledger: Ledger, run_id: str, send: updates.Send, confirmed: bool = False, answer: str | None = None, forget: Callable[[], None] | None = None, **how) -> DataFrame:
+    """Results of a run that has begun: what has no outcome yet is sent, the rest stays as it ended."""
+    plan, folder = ledger.get("plan", run_id), ledger.path("attempts", run_id)
+    ledger.get("images", run_id)  # without them there is no way back, and nothing is sent
+    if not may_write(confirmed, answer):
+        return _results(plan, None)
+    left = requests(plan).join(updates.outcomes(ledger.spark, folder), VARIATION, "left_anti")
+    results = ledger.put("results", run_id, _results(plan, updates.deliver(left, send, folder, **how)))
+    if forget is not None and not results.where(F.col("result") == DONE).isEmpty():
+        forget()
+    return results
+
+
+def undo(ledger: Ledger, run_id: str, send: updates.Send | None = None, confirmed: bool = False, answer: str | None = None, forget: Callable[[], None] | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """(results, totals) of taking a run back; a session that knows only its id is enough."""
+    write = send is not None and may_write(confirmed, answer)
+    results, totals = rollback(ledger.entries(run_id), send if write else None, folder=ledger.path("attempts", f"{run_id}-undone"), **how)
+    results = ledger.put("results", f"{run_id}-undone", results)
+    if write and forget is not None and not results.where(F.col("result") == DONE).isEmpty():
+        forget()
+    return results, totals
+
+
+def apply_updates(plan: DataFrame, send: updates.Send | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """(results, snapshot) of a plan within one application, whose tables go with it. Without `send` it is a rehearsal. Plan and snapshot
+    are stored first; of the snapshot, `kept_entries` tells what the results leave."""
+    ledger, run_id = Ledger(plan.sparkSession, fresh(plan.sparkSession, "ledger")), "run"
+    results = write_back(ledger, run_id, plan, send, confirmed=True, **how)
+    return results, ledger.get("images", run_id)
 
 
 def kept_entries(images: DataFrame, results: DataFrame) -> DataFrame:
     """Entries of a snapshot whose write succeeded or was rehearsed."""
-    good = results.where(F.col("result").isin(DONE, REHEARSED)).select("product_id", "variation_id").distinct()
-    return images.join(good, ["product_id", "variation_id"], "left_semi")
+    good = results.where(F.col("result").isin(DONE, REHEARSED)).select(*VARIATION).distinct()
+    return images.join(good, VARIATION, "left_semi")
 
 
 def totals(results: DataFrame) -> DataFrame:
@@ -113,30 +196,30 @@ def log_rows(results: DataFrame, numbered: Callable[[DataFrame, list[str]], Data
 
 
 def rollback_requests(images: DataFrame) -> DataFrame:
-    """Updates that put the stock of every entry back; entries without a variation or an image are left out. Null values are written too."""
-    raw = lambda c: F.coalesce(c, F.lit("null"))
-    b = F.col("before")
-    managed = F.when(b["manage_stock"].isin("true", "false"), b["manage_stock"]).when(b["manage_stock"].isNull(), "null").otherwise(F.to_json(F.array(b["manage_stock"])).substr(F.lit(2), F.length(F.to_json(F.array(b["manage_stock"]))) - 2))
-    status = F.when(b["stock_status"].isNull(), "null").otherwise(F.concat(F.lit('"'), b["stock_status"], F.lit('"')))
-    request = F.concat(F.lit('{"manage_stock": '), managed, F.lit(', "stock_quantity": '), raw(b["stock_quantity"].cast("string")), F.lit(', "stock_status": '), status, F.lit("}"))
-    return images.where("variation_id is not null and before is not null").select("product_id", "variation_id", "sku", request.alias("request"))
-
-
-def rollback(images: DataFrame, send: Callable[[int, int, dict], dict] | None = None, writers: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(results, totals) of a rollback; what isn't written counts as skipped."""
-    requests = rollback_requests(images)
+    """Updates that put the stock of every entry back: the fields that its image has, null ones too. Entries without a
+    variation, and images without any of the fields, give none."""
+    field = lambda k: F.when(F.map_contains_key("before", F.lit(k)), F.concat(F.lit(f'"{k}": '), F.col("before")[k]))
+    asked = images.where("variation_id is not null and variation_id <> 0 and before is not null")
+    asked = asked.select(*VARIATION, "sku", F.concat_ws(", ", *map(field, STOCK_FIELDS)).alias("fields")).where("fields <> ''")
+    return asked.select(*VARIATION, "sku", F.concat(F.lit("{"), "fields", F.lit("}")).alias("request"))
+
+
+def rollback(images: DataFrame, send: updates.Send | None = None, folder: str | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """(results, totals) of a rollback; what isn't written counts as skipped. `folder` holds the attempts."""
+    asked = rollback_requests(images)
     if send is None:
-        results = requests.withColumn("result", F.lit(REHEARSED)).withColumn("error", F.lit(""))
+        results = asked.withColumn("result", F.lit(REHEARSED)).withColumn("error", F.lit(""))
     else:
-        sent = written(requests, send, writers)
-        results = requests.join(sent.select("product_id", "variation_id", "ok", "error"), ["product_id", "variation_id"]).withColumn("result", F.when(F.col("ok"), DONE).otherwise(FAILED)).drop("ok")
+        folder = folder or fresh(images.sparkSession, "attempts")
+        done = updates.outcomes(images.sparkSession, folder)
+        sent = updates.deliver(asked.join(done, VARIATION, "left_anti"), send, folder, **how)
+        results = asked.join(sent.select(*VARIATION, "ok", "error"), VARIATION).withColumn("result", F.when(F.col("ok"), DONE).otherwise(FAILED)).drop("ok")
     counts = results.agg(F.count_if(F.col("result") == DONE).alias("success"), F.count_if(F.col("result") == FAILED).alias("failed"))
     whole = images.agg(F.count("*").alias("total")).crossJoin(counts)  # two single rows
     return results, whole.withColumn("skipped", F.col("total") - F.col("success") - F.col("failed"))
 
 
-def may_write(confirmed: bool = False, answer: str | None = None) -> bool:
-    """Nothing is written unless it is confirmed by a flag or by the typed word."""
-    return confirmed or (answer or "").strip().upper() == "YES"
-
-
+def drop_run(ledger: Ledger, run_id: str) -> None:
+    """Remove all that a ledger holds of a run, after which it can't be taken back."""
+    for kind in ("plan", "images", "attempts", "results"):
+        remove(ledger.spark, ledger.path(kind, run_id))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from stocktide.functions import text
 from stocktide.operators import extract, match, ordered, pallet, reconcile, report, sync
 from stocktide.plans import registry
+from stocktide.sinks import store
 from stocktide.sources import files
-from stocktide.storage import stored
+from stocktide.storage import fresh, stored
 
 
 def _table(spark, sf_dir, name) -> DataFrame:
@@ -68,7 +69,7 @@ def _sheets(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
         F.struct(F.lit(4).alias("col"), F.when(k % 5 == 0, "✅").when(k % 5 < 4, F.concat((k % 7).cast("string"), F.lit(".0"))).alias("value"), F.when(k % 5 == 0, "s").otherwise("n").alias("kind")),
     )
     merges = e.where("event_id % 10 = 0").select("file", "sheet", F.col("row").alias("min_row"), (F.col("row") + 400).alias("max_row"), F.lit(4).alias("min_col"), F.lit(4).alias("max_col"))
-    return e.select("file", "sheet", "row", F.explode(cells).alias("c")).select("file", "sheet", "row", "c.*").where("value is not null"), merges.where("min_row % 50 = 1")
+    return e.select("file", "sheet", "row", F.explode(cells).alias("c")).select("file", "sheet", "row", "c.*").where("value is not null"), merges
 
 
 def sheet_rows(spark, sf_dir):
@@ -80,7 +81,7 @@ def sheet_rows(spark, sf_dir):
 def merged_cells(spark, sf_dir):
     """Cells under merged ranges: the top left value, the later range where two meet."""
     cells, merges = _sheets(spark, sf_dir)
-    return extract.read_cells(cells.where("col = 4"), merges).groupBy("file").agg(F.count("*").alias("cells"), F.count_if(F.col("value") == "✅").alias("ticks"), F.sum(F.col("value").try_cast("double")).cast("bigint").alias("total"))
+    return extract.read_cells(cells, merges).groupBy("file", F.col("col").cast("bigint").alias("col")).agg(F.count("*").alias("cells"), F.count_if(F.col("value") == "✅").alias("ticks"), F.sum(F.col("value").try_cast("double")).cast("bigint").alias("total"))
 
 
 def _unified(spark, sf_dir) -> DataFrame:
@@ -94,10 +95,10 @@ def unified_reread(spark, sf_dir):
 
 
 def union_numbered(spark, sf_dir):
-    """Two of the sources, below each other and numbered in order of source and row."""
-    u = _unified(spark, sf_dir)
+    """Two of the sources, below each other and numbered in order of source and row; each row carries a long text."""
+    u = _unified(spark, sf_dir).withColumn("note", F.concat_ws("-", *[F.sha2(F.concat("source_ref", F.lit(str(k))), 256) for k in range(8)]))
     both = extract.union_sources([u.where("source = 'SP5'"), u.where("source <> 'SP5'")], ["ALO", "SP5"])
-    return extract.numbered(stored(both.select("source", "row"), "union"), ["source", "row"])
+    return extract.numbered(both.select("source", "row", "note"), ["source", "row"]).select("source", "row", "ord", F.substring("note", 1, 8).alias("note"))
 
 
 def baseline_check(spark, sf_dir):
@@ -137,7 +138,7 @@ def _echo(product: int, variation: int, payload: dict) -> dict:
 
 def _results(spark, sf_dir):
     changes, variations = _changes(spark, sf_dir)
-    return sync.apply_updates(sync.planned(changes, variations), _echo)
+    return sync.apply_updates(sync.planned(changes, variations), _echo, writers=8, chunk=4096)
 
 
 def sync_results(spark, sf_dir):
@@ -156,7 +157,7 @@ def sync_by_product(spark, sf_dir):
 def rollback_identity(spark, sf_dir):
     """Stock after the writes, and after the snapshot's entries were written back through the shop's interface."""
     changes, variations = _changes(spark, sf_dir)
-    results, images = sync.apply_updates(sync.planned(changes, variations), _echo)
+    results, images = sync.apply_updates(sync.planned(changes, variations), _echo, writers=8, chunk=4096)
     entries = stored(sync.kept_entries(images, results), "entries")
     fields = "manage_stock string, stock_quantity bigint, stock_status string"
     asked = lambda df, name: df.select("product_id", "variation_id", F.from_json("request", fields).alias(name))
@@ -168,6 +169,86 @@ def rollback_identity(spark, sf_dir):
     return state.select("product_id", "variation_id", *after, *restored)
 
 
+def rollback_partial_keys(spark, sf_dir):
+    """Requests from images that have some of the fields only: those fields go back, null ones too, and empty images give none."""
+    s, k = registry._stock(spark, sf_dir), F.col("ord") % 5
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    full = F.create_map(F.lit("sku"), quoted(F.col("product")), F.lit("manage_stock"), F.col("managed").cast("string"), F.lit("stock_quantity"), F.coalesce(F.col("store_qty").cast("string"), F.lit("null")), F.lit("stock_status"), quoted(F.col("store_status")))
+    some = lambda *keys: F.map_filter(full, lambda key, _: key.isin(*keys))
+    before = F.when(k == 0, full).when(k == 1, some("sku", "stock_status")).when(k == 2, some("stock_quantity", "manage_stock")).when(k == 3, some("sku"))
+    images = s.select(F.coalesce("product_id", F.lit(0)).alias("product_id"), "variation_id", F.col("product").alias("sku"), before.alias("before"), "ord")
+    return sync.rollback_requests(images).select("product_id", "variation_id", "request")
+
+
+def _dying(product: int, variation: int, payload: dict) -> dict:
+    """A shop at which the sending process dies."""
+    if variation % 7 == 3:
+        raise SystemExit
+    return _echo(product, variation, payload)
+
+
+def sync_after_crash(spark, sf_dir):
+    """A run whose first go dies on the way; the second one sends the rest and gives the results of both."""
+    changes, variations = _changes(spark, sf_dir)
+    ledger = sync.Ledger(spark, fresh(spark, "crash"))
+    try:
+        sync.write_back(ledger, "run", sync.planned(changes, variations), _dying, confirmed=True, writers=8, chunk=256)
+    except Exception:  # noqa: BLE001 - the point of the query
+        pass
+    results = sync.resume(ledger, "run", _echo, confirmed=True, writers=8, chunk=256)
+    entries = ledger.entries("run").select("product_id", "variation_id", F.lit(True).alias("restored"))
+    return results.join(entries, ["product_id", "variation_id"], "left").select("ord", "result", "request", F.length("error").cast("bigint").alias("error_length"), F.coalesce("restored", F.lit(False)).alias("restored"))
+
+
+def typed_cells(spark, sf_dir):
+    """Booleans, dates, numbers and text as quantities and names."""
+    e = _table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("u"), F.col("event_id") % 13).alias("file"), (F.col("event_id") + 1).cast("int").alias("row"))
+    k = F.col("event_id")
+    name = F.when(k % 4 == 0, F.struct(F.lit("True").alias("value"), F.lit("b").alias("kind"))).when(k % 4 == 1, F.struct(F.lit("2024-03-01 00:00:00").alias("value"), F.lit("d").alias("kind"))).when(k % 4 == 2, F.struct(F.concat(k.cast("string"), F.lit(".0")).alias("value"), F.lit("n").alias("kind"))).otherwise(F.struct(F.concat(F.lit("\t\u3000n"), k.cast("string"), F.lit("\n")).alias("value"), F.lit("s").alias("kind")))
+    quantity = F.when(k % 5 == 0, F.struct(F.lit("True").alias("value"), F.lit("b").alias("kind"))).when(k % 5 == 1, F.struct(F.lit("False").alias("value"), F.lit("b").alias("kind"))).when(k % 5 == 2, F.struct(F.lit("2024-03-01 00:00:00").alias("value"), F.lit("d").alias("kind"))).when(k % 5 == 3, F.struct(F.lit("-2.9").alias("value"), F.lit("n").alias("kind"))).otherwise(F.struct(F.lit("\t 1,7 ").alias("value"), F.lit("s").alias("kind")))
+    cells = e.select("file", F.lit("s").alias("sheet"), "row", F.explode(F.array(F.struct(F.lit(2).alias("col"), name.alias("v")), F.struct(F.lit(3).alias("col"), F.struct(F.lit("M").alias("value"), F.lit("s").alias("kind")).alias("v")), F.struct(F.lit(4).alias("col"), quantity.alias("v")))).alias("c")).select("file", "sheet", "row", "c.col", "c.v.*")
+    none = spark.createDataFrame([], "file string, sheet string, min_row int, max_row int, min_col int, max_col int")
+    return extract.table_rows(cells, none, extract.Sheet("SP5", quantity="D")).select("file", F.col("row").cast("bigint").alias("row"), "source_product", "quantity", "availability")
+
+
+def rules_in_white_space(spark, sf_dir):
+    """Rules written with tabs and wide spaces around their fields are found all the same, and cells so written are filled in stripped."""
+    c = registry._catalogue(spark, sf_dir)
+    around = lambda x: F.concat(F.lit("\t\u3000"), x, F.lit("\u00a0\n"))
+    rules = c.where("id % 3 = 0").select(around(F.lit("SP5")).alias("source"), F.when(F.col("id") % 2 == 0, "\t").otherwise(around(F.lit("c"))).alias("category"), around(F.concat(F.lit("p"), F.col("id"))).alias("product"), around(F.col("sku")).alias("parent_sku"), around(F.lit("L:M")).alias("size_map"), "ord")
+    rows = c.select("ord", F.lit("SP5").alias("source"), F.lit("c").alias("category"), F.concat(F.lit("p"), F.col("id")).alias("product"), F.concat(F.lit("p"), F.col("id")).alias("occurrence"))
+    found = match.rule_lookup(rows, rules).select("ord", "parent_sku", "size_map")
+    cells = c.select("ord", F.when(F.col("id") % 3 == 0, around(F.col("name"))).otherwise("").alias("cell"), F.lit(1).alias("g"))
+    return found.join(ordered.forward_fill(cells, "cell", ["g"], "ord", "filled").select("ord", "filled"), "ord")
+
+
+def match_with_combos(spark, sf_dir):
+    """Products some of which combine two identifiers, as several do: a row finds its own identifier first, then a part, then a name."""
+    c = registry._catalogue(spark, sf_dir)
+    sku = F.when(F.col("id") % 3 == 0, F.concat(F.col("sku"), F.lit(" SET"), (F.col("id") % 40).cast("string"))).otherwise(F.concat(F.lit("SET"), (F.col("id") % 60).cast("string"), F.when(F.col("id") % 2 == 0, "F").otherwise("")))
+    products = c.withColumn("sku", sku).withColumn("name", F.concat(F.lit("Set-"), (F.col("id") % 70).cast("string")))
+    product = F.when(F.col("id") % 3 == 0, F.col("sku")).when(F.col("id") % 3 == 1, F.concat(F.lit("set"), (F.col("id") % 80).cast("string"))).otherwise(F.concat(F.lit("set "), (F.col("id") % 90).cast("string"), F.lit("f")))
+    rows = c.select("ord", F.lit("SP5").alias("source"), F.lit("").alias("category"), product.alias("product"), product.alias("occurrence"))
+    return match.match_products(rows, products, combos=True)
+
+
+def nearest_same_digits(spark, sf_dir):
+    """A catalogue in which all identifiers have the same digits: every one with a symbol too many against all."""
+    letters = F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "ABCDEGHKLM")
+    c = registry._catalogue(spark, sf_dir).withColumn("sku", F.concat(F.lit("SP-22-"), letters, F.lit("-"), F.reverse(F.substring(letters, 4, 3))))
+    near = match.nearest_sku(c.select(F.concat("sku", F.lit("X")).alias("key")), c)
+    return near.select("key", "id", F.col("distance").cast("bigint").alias("distance"), F.col("place").cast("bigint").alias("place"))
+
+
+def unified_store(spark, sf_dir):
+    """Sources written to the unified table, one of them again and one emptied: rows and numbers as they are read for a diff."""
+    u, folder = _unified(spark, sf_dir), fresh(spark, "unified")
+    store.write_sources(u, folder, ["SP5", "ALO", "PALLET"], ["row"])
+    store.write_sources(u.where("source = 'ALO' and row % 2 = 0"), folder, ["ALO"], ["row"])
+    store.write_sources(u.where("false"), folder, ["PALLET"], ["row"])
+    return store.read_sources(spark, folder).select("ord", "source", "source_ref", "source_product", "size", "quantity", "availability")
+
+
 def diff_display(spark, sf_dir):
     d = reconcile.classify(registry._stock(spark, sf_dir)).withColumns({"category": F.lit("c"), "source_product": F.col("product"), "parent_sku": F.lit(""), "product_name": F.lit(""), "manages_stock": F.col("managed"), "match_method": F.col("method"), "source_ref": F.lit("")})
     shown = report.present(d)
@@ -220,7 +301,7 @@ def grey_bands(spark, sf_dir):
     return pallet.grey_bands(r).groupBy("page").agg(F.count("*").alias("bands"))
 
 
-QUERIES = (text_compatibility, sku_fields, to_int_forms, size_translation, sheet_rows, merged_cells, unified_reread, union_numbered, baseline_check, rule_quality, variable_variations, sync_results, sync_totals, sync_by_product, rollback_identity, diff_display, change_preview, product_changes, escaped_html, page_identifiers, anchored_columns, merged_sections, grey_bands)
+QUERIES = (text_compatibility, sku_fields, to_int_forms, size_translation, sheet_rows, merged_cells, unified_reread, union_numbered, baseline_check, rule_quality, variable_variations, sync_results, sync_totals, sync_by_product, rollback_identity, rollback_partial_keys, sync_after_crash, typed_cells, rules_in_white_space, match_with_combos, nearest_same_digits, unified_store, diff_display, change_preview, product_changes, escaped_html, page_identifiers, anchored_columns, merged_sections, grey_bands)
 
 STOCK, PUNCT = registry.STOCK, r"[\s　_\-/\\|,，.。:：;；''\"“”‘’()（）\[\]【】{}<>、+&*#@!！?？~`^$%°]+"
 CHANGED = f"ch AS (SELECT *, 'S' || product_id % 50 AS parent_sku, ord % 9 <> 0 AS known FROM diffs WHERE status = '{reconcile.CHANGED}')"
@@ -249,13 +330,13 @@ SELECT ord, t.product_id, 100 + min(i) AS variation_id FROM t LEFT JOIN o ON o.p
 p AS (SELECT *, coalesce(trim(max(b) OVER (PARTITION BY file, n)), '') AS product, CASE WHEN c = '2xl' THEN 'XXL' ELSE trim(c) END AS size FROM g),
 q AS (SELECT *, lag(product) OVER w AS lp, lag(size) OVER w AS ls FROM p WHERE size <> '' WINDOW w AS (PARTITION BY file ORDER BY row))
 SELECT file, row, 'SP5' AS source, product AS source_product, size, CAST(nullif(d, '✅') AS BIGINT) AS quantity, CASE WHEN d IS NULL OR d = '0' THEN 'outofstock' ELSE 'instock' END AS availability, file || '!s!R' || row AS source_ref FROM q WHERE lp IS NULL OR lp <> product OR ls <> size""",
-    "merged_cells": f"""WITH {CELLS}, top AS (SELECT c.file, c.row AS a, c.row + 400 AS z, c.d FROM ce c JOIN events e ON c.row = e.event_id + 1 AND c.file = 'u' || e.user_id WHERE e.event_id % 10 = 0 AND c.row % 50 = 1 AND c.d IS NOT NULL),
+    "merged_cells": f"""WITH {CELLS}, top AS (SELECT c.file, c.row AS a, c.row + 400 AS z, c.d FROM ce c WHERE (c.row - 1) % 10 = 0 AND c.d IS NOT NULL),
 r AS (SELECT file, unnest(range(a, z + 1)) AS row, a, d FROM top), m AS (SELECT file, row, arg_max(d, a) AS d FROM r GROUP BY 1, 2),
-x AS (SELECT coalesce(m.file, ce.file) AS file, coalesce(m.d, ce.d) AS d FROM m FULL JOIN (SELECT * FROM ce WHERE d IS NOT NULL) ce ON m.file = ce.file AND m.row = ce.row)
-SELECT file, count(*) AS cells, count(*) FILTER (d = '✅') AS ticks, CAST(sum(TRY_CAST(d AS DOUBLE)) AS BIGINT) AS total FROM x GROUP BY 1""",
+x AS (SELECT coalesce(m.file, ce.file) AS file, 4 AS col, coalesce(m.d, ce.d) AS d FROM m FULL JOIN (SELECT * FROM ce WHERE d IS NOT NULL) ce ON m.file = ce.file AND m.row = ce.row UNION ALL SELECT file, 2, b FROM ce WHERE b IS NOT NULL UNION ALL SELECT file, 3, c FROM ce WHERE c IS NOT NULL)
+SELECT file, CAST(col AS BIGINT) AS col, count(*) AS cells, count(*) FILTER (d = '✅') AS ticks, CAST(sum(TRY_CAST(d AS DOUBLE)) AS BIGINT) AS total FROM x GROUP BY 1, 2""",
     "unified_reread": f"""WITH {STOCK}, u AS (SELECT ord AS row, CASE WHEN ord % 10 <> 3 THEN product ELSE '' END AS source_product, CASE WHEN ord % 10 % 3 <> 0 THEN size ELSE '' END AS size, CASE WHEN ord % 10 = 1 THEN 0 ELSE src_qty END AS q, CASE WHEN ord % 10 = 5 THEN 'instock' ELSE src_status END AS availability FROM stock)
 SELECT row, source_product, size, nullif(q, 0) AS quantity, availability FROM u WHERE source_product <> '' OR size <> ''""",
-    "union_numbered": f"WITH {STOCK} SELECT source, ord AS row, row_number() OVER (ORDER BY source, ord) AS ord FROM stock WHERE source IN ('ALO', 'SP5')",
+    "union_numbered": f"WITH {STOCK} SELECT source, ord AS row, row_number() OVER (ORDER BY source, ord) AS ord, left(sha256(ord || '0'), 8) AS note FROM stock WHERE source IN ('ALO', 'SP5')",
     "baseline_check": f"WITH {STOCK}, s AS (SELECT source, count(*) AS n_rows, count(DISTINCT product) AS products FROM stock GROUP BY 1) SELECT *, CASE source WHEN 'SP5' THEN CASE WHEN n_rows = 1 AND products = 1 THEN 'ok' ELSE 'differs' END WHEN 'PALLET' THEN CASE WHEN n_rows = 2 AND products = 2 THEN 'ok' ELSE 'differs' END ELSE 'skipped' END AS verdict, (SELECT count(*) FROM stock) AS total_rows FROM s",
     "rule_quality": """WITH r AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS s, CASE WHEN p_partkey % 3 = 0 THEN '*' ELSE 'c' END AS c, trim(p_name) AS p, p_partkey % 4 <> 0 AS filled FROM part WHERE p_partkey % 10 <> 0),
 g AS (SELECT s, c, p, count(*) AS n, count(*) FILTER (filled) AS f FROM r GROUP BY 1, 2, 3)
@@ -265,6 +346,25 @@ SELECT CAST(sum(n) AS BIGINT) AS rules, CAST(sum(f) AS BIGINT) AS filled, count(
     "sync_totals": f"WITH {STOCK}, {CHANGED}, r AS (SELECT {RESULT} AS result FROM ch) SELECT count(*) AS total, count(*) FILTER (result = '{sync.DONE}') AS success, count(*) FILTER (result = '{sync.FAILED}') AS failed, count(*) FILTER (result = '{sync.SKIPPED}') AS skipped FROM r",
     "sync_by_product": f"WITH {STOCK}, {CHANGED}, r AS (SELECT *, {RESULT} AS result FROM ch) SELECT parent_sku, count(*) AS n, count(*) FILTER (result = '{sync.DONE}') AS ok, count(*) FILTER (result = '{sync.FAILED}') AS fail, md5(string_agg(size || ': ' || CASE WHEN known THEN {BEFORE} || ' → ' || {REQUEST.replace('{0}', '')} ELSE ' → ' END, '；' ORDER BY ord)) AS changes_md5 FROM r GROUP BY 1",
     "rollback_identity": f"WITH {STOCK}, d AS (SELECT *, status = '{reconcile.CHANGED}' AND variation_id % 10 <> 0 AS sent FROM diffs WHERE product_id IS NOT NULL AND variation_id IS NOT NULL AND ord % 9 <> 0) SELECT product_id, variation_id, CASE WHEN sent THEN coalesce(stock_quantity, store_qty) ELSE store_qty END AS new_stock_quantity, CASE WHEN sent THEN stock_status ELSE store_status END AS new_stock_status, store_qty AS back_stock_quantity, store_status AS back_stock_status FROM d",
+    "rollback_partial_keys": f"""WITH {STOCK}, m AS (SELECT coalesce(product_id, 0) AS product_id, variation_id, ord % 5 AS k, '"manage_stock": ' || CAST(managed AS VARCHAR) AS a, '"stock_quantity": ' || coalesce(CAST(store_qty AS VARCHAR), 'null') AS b, '"stock_status": "' || store_status || '"' AS c FROM stock WHERE variation_id <> 0)
+SELECT product_id, variation_id, '{{{{' || CASE k WHEN 0 THEN a || ', ' || b || ', ' || c WHEN 1 THEN c ELSE a || ', ' || b END || '}}}}' AS request FROM m WHERE k < 3""".replace("{{", "{").replace("}}", "}"),
+    "sync_after_crash": f"WITH {STOCK}, {CHANGED} SELECT ord, {RESULT} AS result, {REQUEST.replace('{0}', '')} AS request, CASE WHEN NOT known THEN {len(sync.NO_VARIATION)} WHEN variation_id % 10 = 0 THEN 400 ELSE 0 END AS error_length, known AND variation_id % 10 <> 0 AS restored FROM (SELECT * REPLACE (CASE WHEN known THEN manage_stock END AS manage_stock, CASE WHEN known THEN stock_quantity END AS stock_quantity) FROM ch)",
+    "typed_cells": """SELECT 'u' || event_id % 13 AS file, event_id + 1 AS row, CASE event_id % 4 WHEN 0 THEN 'True' WHEN 1 THEN '2024-03-01 00:00:00' WHEN 2 THEN CAST(event_id AS VARCHAR) ELSE 'n' || event_id END AS source_product,
+CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 3 THEN -2 WHEN 4 THEN 17 END AS quantity, CASE WHEN event_id % 5 IN (1, 3) THEN 'outofstock' ELSE 'instock' END AS availability FROM (SELECT *, event_id % 13 AS f FROM events)
+QUALIFY coalesce(CASE event_id % 4 WHEN 0 THEN 'True' WHEN 1 THEN '2024-03-01 00:00:00' WHEN 2 THEN CAST(event_id AS VARCHAR) ELSE 'n' || event_id END <> lag(CASE event_id % 4 WHEN 0 THEN 'True' WHEN 1 THEN '2024-03-01 00:00:00' WHEN 2 THEN CAST(event_id AS VARCHAR) ELSE 'n' || event_id END) OVER (PARTITION BY f ORDER BY event_id), true)""",
+    "rules_in_white_space": f"WITH {registry.CAT} SELECT id AS ord, CASE WHEN id % 3 = 0 THEN sku END AS parent_sku, CASE WHEN id % 3 = 0 THEN 'L:M' END AS size_map, last_value(CASE WHEN id % 3 = 0 THEN name END IGNORE NULLS) OVER (ORDER BY id) AS filled FROM cat",
+    "match_with_combos": f"""WITH {registry.CAT}, p AS (SELECT id, CASE WHEN id % 3 = 0 THEN [sku, 'SET' || id % 40] ELSE ['SET' || id % 60 || CASE WHEN id % 2 = 0 THEN 'F' ELSE '' END] END AS parts, 'set' || id % 70 AS n FROM cat),
+src AS (SELECT id AS ord, CASE id % 3 WHEN 0 THEN upper(regexp_replace(sku, '[^0-9A-Za-z]', '', 'g')) WHEN 1 THEN 'SET' || id % 80 ELSE 'SET' || id % 90 || 'F' END AS w FROM cat),
+ks AS (SELECT 0 AS pool, id, upper(regexp_replace(array_to_string(parts, ''), '[^0-9A-Za-z]', '', 'g')) AS k FROM p UNION ALL SELECT 1, id, upper(regexp_replace(unnest(parts), '[^0-9A-Za-z]', '', 'g')) FROM p WHERE len(parts) > 1),
+f AS (SELECT pool, k, min(id) AS id FROM (SELECT pool, id, k FROM ks UNION ALL SELECT pool, id, left(k, length(k) - 1) FROM ks WHERE k LIKE '_%F') GROUP BY 1, 2), names AS (SELECT n, min(id) AS id FROM p GROUP BY 1),
+tried AS (SELECT ord, unnest(list_distinct([w, CASE WHEN w LIKE '_%F' THEN left(w, length(w) - 1) ELSE w END])) AS k FROM src),
+one AS (SELECT ord, arg_min(id, k) AS id FROM tried JOIN f USING (k) WHERE pool = 0 GROUP BY 1), part AS (SELECT ord, arg_min(id, k) AS id FROM tried JOIN f USING (k) WHERE pool = 1 GROUP BY 1)
+SELECT src.ord, coalesce(one.id, part.id, names.id) AS product_id, CASE WHEN one.id IS NOT NULL THEN 'SKU 相同' WHEN part.id IS NOT NULL THEN '组合商品 SKU 命中' WHEN names.id IS NOT NULL THEN '商品名相同' ELSE '未匹配' END AS method
+FROM src LEFT JOIN one ON one.ord = src.ord LEFT JOIN part ON part.ord = src.ord LEFT JOIN names ON names.n = lower(w)""",
+    "nearest_same_digits": f"""WITH {registry.CAT}, c AS (SELECT id, translate(lpad(CAST(id AS VARCHAR), 6, '0'), '0123456789', 'ABCDEGHKLM') AS l FROM cat), s AS (SELECT id, 'SP-22-' || l || '-' || reverse(l[4:6]) AS sku, 'SP22' || l || reverse(l[4:6]) AS k FROM c),
+p AS (SELECT a.sku || 'X' AS key, b.id, levenshtein(a.k || 'X', b.k) AS d FROM s a JOIN s b ON true), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d, id) AS place FROM p) SELECT key, id, CAST(d AS BIGINT) AS distance, place FROM r WHERE place <= 3""",
+    "unified_store": f"""WITH {STOCK}, u AS (SELECT source, CAST(ord AS VARCHAR) AS source_ref, ord AS row, CASE WHEN ord % 10 <> 3 THEN product ELSE '' END AS source_product, CASE WHEN ord % 10 % 3 <> 0 THEN size ELSE '' END AS size, CASE WHEN ord % 10 = 1 THEN 0 ELSE src_qty END AS q, CASE WHEN ord % 10 = 5 THEN 'instock' ELSE src_status END AS availability FROM stock WHERE source = 'SP5' OR source = 'ALO' AND ord % 2 = 0)
+SELECT row_number() OVER (ORDER BY source, row) AS ord, source, source_ref, source_product, size, nullif(q, 0) AS quantity, availability FROM u WHERE source_product <> '' OR size <> ''""",
     "diff_display": f"""WITH {STOCK} SELECT ord, status = '{reconcile.CHANGED}' AND coalesce(qty_delta, 0) <> 0 AS mark_quantity, status = '{reconcile.CHANGED}' AND src_status <> store_status AS mark_status, status AS d1, source AS d2, 'c' AS d3, product AS d4, size AS d5, '' AS d6, '' AS d7, CASE WHEN variation_id <> 0 THEN CAST(variation_id AS VARCHAR) ELSE '' END AS d8,
 coalesce(CAST(src_qty AS VARCHAR), '') AS d9, coalesce(CAST(store_qty AS VARCHAR), '') AS d10, coalesce(CAST(qty_delta AS VARCHAR), '') AS d11, {LABEL.format('src_status')} AS d12, {LABEL.format('store_status')} AS d13, CASE WHEN managed THEN '是' ELSE '否' END AS d14, method AS d15, action AS d16, note AS d17 FROM diffs""",
     "change_preview": f"WITH {STOCK} SELECT ord, status, action, note FROM diffs WHERE status = '{reconcile.CHANGED}' ORDER BY ord LIMIT 25",

@@ -88,10 +88,11 @@ def write_rules(rules: DataFrame, path: str) -> str:
 
 
 def write_snapshot(images: DataFrame, path: str, store: str = "", created_at: str = "", dry_run: bool = True) -> str:
-    """Before-images as one JSON document, entry by entry."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps({"created_at": created_at, "store": store, "dry_run": dry_run}, ensure_ascii=False)[:-1] + ', "entries": [')
-        for k, r in enumerate(images.orderBy("product_id", "variation_id").toLocalIterator()):
-            f.write((",\n" if k else "\n") + json.dumps(r.asDict(recursive=True), ensure_ascii=False))
-        f.write("]}\n")
+    """Before-images as JSON lines, written by Spark: `before` is an object with the fields that the image has."""
+    fields = F.transform(F.map_entries("before"), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(": "), e["value"]))
+    before = F.coalesce(F.concat(F.lit("{"), F.array_join(fields, ", "), F.lit("}")), F.lit("null"))
+    about = json.dumps({"created_at": created_at, "store": store, "dry_run": dry_run}, ensure_ascii=False)[:-1]
+    rest = F.to_json(F.struct("product_id", "variation_id", "sku"), {"ignoreNullFields": "false"})
+    line = F.concat(F.lit(about + ", "), F.substring(rest, F.lit(2), F.length(rest) - 2), F.lit(', "before": '), before, F.lit("}"))
+    images.repartitionByRange("product_id", "variation_id").sortWithinPartitions("product_id", "variation_id").select(line.alias("value")).write.mode("overwrite").text(path)
     return path

@@ -9,14 +9,15 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stocktide.functions import text
 from stocktide.operators import extract
 from stocktide.sources import xlsx
+from stocktide.storage import complete, exists
 
 RULES = "source string, category string, product string, parent_sku string, size_map string, note string"
 PRODUCTS = "id bigint, ord bigint, sku string, name string, type string"
 VARIATIONS = "product_id bigint, ord bigint, id bigint, sku string, options array<string>, manage_stock string, stock_quantity bigint, stock_status string"
 CATALOGUE = "base_url string, products array<struct<id:bigint,sku:string,name:string,type:string>>, variations map<string,array<struct<id:bigint,sku:string,attributes:array<struct<option:string>>,manage_stock:string,stock_quantity:bigint,stock_status:string>>>"
-SNAPSHOT = "created_at string, store string, dry_run boolean, entries array<struct<product_id:bigint,variation_id:bigint,sku:string,before:struct<sku:string,manage_stock:string,stock_quantity:bigint,stock_status:string>>>"
 # Fixed values.
 RULE_HEADER = ("source", "category", "source_product", "parent_sku", "size_map", "note")
 UNIFIED_SUFFIX = "_统一库存.xlsx"
@@ -31,22 +32,16 @@ DEFAULTS = {
 KEYS_FROM = {"consumer_key": "SHOP_CONSUMER_KEY", "consumer_secret": "SHOP_CONSUMER_SECRET"}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
-    return found is not None and len(found) > 0
-
-
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """Mapping rules of a CSV file with a header (a mark of byte order is skipped), with `ord` of the file; a missing file has none.
 
     Columns are found by their names. A quoted field may hold line breaks, so a file is read in one piece and its rows keep their order.
     """
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], RULES + ", ord bigint")
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
     named = {c.lstrip("﻿").strip(): c for c in raw.columns}
-    tidy = lambda c: F.trim(F.coalesce(F.col(f"`{named[c]}`"), F.lit(""))) if c in named else F.lit("")
+    tidy = lambda c: text.strip(F.coalesce(F.col(f"`{named[c]}`"), F.lit(""))) if c in named else F.lit("")
     rows = raw.select(*[tidy(c).alias("product" if c == "source_product" else c) for c in RULE_HEADER], F.monotonically_increasing_id().alias("ord"))
     return rows.withColumn("category", F.when(F.col("category") == "", "*").otherwise(F.col("category"))).where("product <> ''")
 
@@ -54,9 +49,9 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 def read_unified(spark: SparkSession, folder: str) -> DataFrame:
     """Unified workbooks of a folder, in the order of their names, as they come back: see `extract.unified_again`. With file and row."""
     path = f"{folder}/*{UNIFIED_SUFFIX}"
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(f"no unified workbook in {folder}")
-    cells = xlsx.read_cells(spark, path).where(F.col("file") != COMBINED).join(xlsx.first_sheets(spark, path), ["file", "sheet"])
+    cells = xlsx.read_cells(spark, path, first_sheet=True).where(F.col("file") != COMBINED)
     header = cells.where("row = 1").select("file", "col", F.col("value").alias("name"))
     values = cells.where("row > 1").join(header, ["file", "col"])
     rows = values.groupBy("file", "row").agg(*[F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in extract.UNIFIED])
@@ -65,7 +60,7 @@ def read_unified(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_catalogue(spark: SparkSession, path: str, base_url: str | None = None) -> tuple[DataFrame, DataFrame] | None:
     """(products, variations) of a catalogue kept as JSON; None if it is of another shop or has no products."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return None
     whole = spark.read.json(path, schema=CATALOGUE, multiLine=True)
     if whole.where((F.size("products") > 0) & (F.lit(base_url is None) | F.col("base_url").eqNullSafe(F.lit(base_url)))).isEmpty():
@@ -83,9 +78,18 @@ def shaped_variations(raw: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a rollback snapshot, in their order."""
-    whole = spark.read.json(path, schema=SNAPSHOT, multiLine=True)
-    return whole.select(F.posexplode("entries").alias("ord", "e")).select("ord", "e.*")
+    """Entries of a rollback snapshot in their order, written as JSON lines or as one document with `entries`. `before` maps the fields
+    that an entry has to their values in JSON; it is null where there is no image."""
+    lines = complete(spark, path)
+    entry = "product_id bigint, variation_id bigint, sku string, before variant, ord bigint"
+    if lines:
+        found = spark.read.schema(entry).json(path)
+    else:
+        whole = spark.read.schema("entries array<struct<product_id:bigint,variation_id:bigint,sku:string,before:variant>>").json(path, multiLine=True)
+        found = whole.select(F.posexplode("entries").alias("ord", "e")).select("e.*", F.col("ord").cast("bigint").alias("ord"))
+    fields = F.from_json(F.to_json("before"), "map<string,variant>")
+    before = F.transform_values(fields, lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
+    return found.select("ord", "product_id", "variation_id", "sku", F.when(F.schema_of_variant("before").startswith("OBJECT"), before).alias("before"))
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
@@ -113,7 +117,7 @@ def configuration(path: str | None = None, given: Mapping | None = None, environ
 
 def read_source(spark: SparkSession, source: Mapping) -> DataFrame:
     """Unified rows of one configured source, with file and row."""
-    if not _exists(spark, source["file"]):
+    if not exists(spark, source["file"]):
         raise FileNotFoundError(f"no source file: {source['file']}")
     adapter, options = source.get("adapter", "excel_table"), source.get("options") or {}
     if adapter == "pdf_pallet":
@@ -124,8 +128,10 @@ def read_source(spark: SparkSession, source: Mapping) -> DataFrame:
     if adapter != "excel_table":
         raise ValueError(f"unknown adapter: {adapter}")
     sheet = extract.Sheet(source["id"], options.get("product_column", "B"), options.get("size_column", "C"), options.get("quantity_column"), int(options.get("start_row", 1)), options.get("stop_row") and int(options["stop_row"]), options.get("sheet"))
-    cells, merges = xlsx.read_cells(spark, source["file"]), xlsx.read_merges(spark, source["file"])
-    if sheet.sheet is None:
-        first = xlsx.first_sheets(spark, source["file"])
-        cells, merges = cells.join(first, ["file", "sheet"]), merges.join(first, ["file", "sheet"])
+    # A merged range gives its first cell's value to cells in the range of rows, even if it starts above them.
+    columns = ",".join(x for x in (sheet.product, sheet.size, sheet.quantity) if x)
+    first = sheet.sheet is None
+    merges = xlsx.read_merges(spark, source["file"], sheet.sheet, first)
+    leftmost = merges.agg(F.max(F.col("max_col") - F.col("min_col"))).first()[0] or 0
+    cells = xlsx.read_cells(spark, source["file"], sheet.sheet, None if leftmost else columns, last_row=sheet.stop, first_sheet=first)
     return extract.table_rows(cells, merges, sheet)

@@ -117,9 +117,9 @@ def test_a_failed_run_can_be_rolled_back(spark, shop_tables, tmp_path):
     assert sync.totals(results).first().asDict() == {"total": 5, "success": 2, "failed": 2, "skipped": 1}
     assert open(f"{folder}/12.json").read() == '{"manage_stock": true, "stock_quantity": 9, "stock_status": "instock"}\n'
     kept = sync.kept_entries(images, results)
-    path = text_sinks.write_snapshot(kept, f"{folder}/snapshot.json", "shop", "now", False)
+    path = text_sinks.write_snapshot(kept, f"{folder}/snapshot", "shop", "now", False)
     entries = files.read_snapshot(spark, path)
-    assert [(r["variation_id"], r["before"]["stock_quantity"], r["before"]["stock_status"]) for r in entries.orderBy("ord").collect()] == [(11, 5, "instock"), (12, 3, "instock")]
+    assert [(r["variation_id"], r["before"]["stock_quantity"], r["before"]["stock_status"]) for r in entries.orderBy("variation_id").collect()] == [(11, "5", '"instock"'), (12, "3", '"instock"')]
     back, totals = sync.rollback(entries, send)
     assert [r["result"] for r in back.collect()] == [sync.DONE] * 2 and totals.first().asDict() == {"total": 2, "success": 2, "failed": 0, "skipped": 0}
     assert open(f"{folder}/12.json").read().splitlines()[-1] == '{"manage_stock": true, "stock_quantity": 3, "stock_status": "instock"}'
