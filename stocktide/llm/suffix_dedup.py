@@ -354,9 +354,9 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "hashes": out})
 
     def fragments(key: tuple, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        """Distinct fragments of a chunk under their bucket, with the places (text of the chunk, byte) that have them;
-        the first `top` places are in texts of the least id."""
-        names = ["bucket", "fragment", "least", "chunk", "top", "places"]
+        """Distinct fragments of a chunk under their bucket, numbered, with the places (text of the chunk, byte) that have them;
+        the first `top` places are in texts of the least id. Places stay with the chunk, however many there are."""
+        names = ["bucket", "fragment", "least", "chunk", "nr", "size", "top", "places"]
         some = found["hashes"].notna()
         value = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in found["hashes"][some]])) if some.any() else np.zeros(0, np.uint64)
         if not len(texts) or not len(value):
@@ -389,38 +389,56 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             else:
                 top.append(sum(ids[x >> 32] == low for x in spots))
                 packed.append(np.array(spots, "<i8").tobytes())
-        return pd.DataFrame({"bucket": bucket_of, "fragment": list(places), "least": least, "chunk": int(key[0]), "top": top, "places": packed})
-
-    def covered(chunk, spot, start, stop) -> pd.DataFrame:
-        return pd.DataFrame({"chunk": chunk, "text": spot >> 32, "start": (spot & 0xFFFFFFFF) + start, "stop": (spot & 0xFFFFFFFF) + stop})
+        return pd.DataFrame({"bucket": bucket_of, "fragment": list(places), "least": least, "chunk": int(key[0]), "nr": np.arange(len(top)), "size": list(map(len, places)), "top": top, "places": packed})
 
     def collection(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Bucket of fragments -> the bytes that go, by text of a chunk."""
+        """Bucket of fragments -> for each fragment of a chunk, whether all its places lose it (smaller ids elsewhere have it), or else the
+        runs of bytes that places in texts of the least id lose. Fragments of which nothing goes there have no row."""
         codes, distinct = pd.factorize(pdf["fragment"])
         own_least = pdf["least"].to_numpy()
         least = np.full(len(distinct), np.iinfo(np.int64).max)
         np.minimum.at(least, codes, own_least)
         of, start, stop = covered_runs(list(distinct), least, length)
-        n = pdf["places"].map(len).to_numpy() // 8
-        spot = np.frombuffer(b"".join(pdf["places"]), "<i8")
-        code, chunk = np.repeat(codes, n), np.repeat(pdf["chunk"].to_numpy(), n)
-        nth = np.arange(len(spot)) - np.repeat(np.cumsum(n) - n, n)
+        cut = np.searchsorted(of, np.arange(len(distinct) + 1))
+        pairs = np.stack([start, stop], 1).astype("<i4")
+        whole = own_least > least[codes]
+        some = np.flatnonzero(whole | (np.diff(cut)[codes] > 0))
+        runs = [b"" if whole[k] else pairs[cut[codes[k]] : cut[codes[k] + 1]].tobytes() for k in some]
+        return pd.DataFrame({"chunk": pdf["chunk"].to_numpy()[some], "nr": pdf["nr"].to_numpy()[some], "whole": whole[some], "runs": runs})
+
+    def lost(found: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start, stop) of all bytes that go from a chunk, in order: what its buckets answered, at the places that the chunk has kept."""
+        kept, told = found[found["places"].notna()], found[found["runs"].notna()]
+        if not len(kept):
+            return (np.zeros(0, np.int64),) * 3
+        kept = kept.sort_values("nr", ignore_index=True)  # 0, 1, 2, ...
+        whole_of, runs_of = np.zeros(len(kept), bool), [b""] * len(kept)
+        for k, whole, runs in zip(told["nr"].astype(np.int64).tolist(), told["whole"].tolist(), told["runs"]):
+            whole_of[k], runs_of[k] = whole, runs
+        n = kept["places"].map(len).to_numpy() // 8
+        spot = np.frombuffer(b"".join(kept["places"]), "<i8")
+        of, nth = np.repeat(np.arange(len(kept)), n), np.arange(len(spot)) - np.repeat(np.cumsum(n) - n, n)
         # A text with a larger id than the fragment's least loses it all, one with the least id what the marks say.
-        whole = np.repeat(own_least > least[codes], n) | (nth >= np.repeat(pdf["top"].to_numpy(), n))
-        sizes = np.array([len(x) for x in distinct])
-        run_first = np.searchsorted(of, np.arange(len(distinct) + 1))
-        some = np.flatnonzero(~whole & (np.diff(run_first) > 0)[code])
-        runs = np.diff(run_first)[code[some]]
-        run = np.repeat(run_first[code[some]] - (np.cumsum(runs) - runs), runs) + np.arange(int(runs.sum()))
+        whole = whole_of[of] | (nth >= np.repeat(kept["top"].to_numpy(np.int64), n))
+        count = np.array([len(x) // 8 for x in runs_of])
+        pairs = np.frombuffer(b"".join(runs_of), "<i4").reshape(-1, 2).astype(np.int64)
+        some = np.flatnonzero(~whole & (count[of] > 0))
+        runs = count[of[some]]
+        run = np.repeat((np.cumsum(count) - count)[of[some]] - (np.cumsum(runs) - runs), runs) + np.arange(int(runs.sum()))
         row = np.repeat(some, runs)
-        return pd.concat([covered(chunk[whole], spot[whole], 0, sizes[code[whole]]), covered(chunk[row], spot[row], start[run], stop[run])], ignore_index=True)
+        at = spot & 0xFFFFFFFF
+        text = np.r_[spot[whole] >> 32, spot[row] >> 32]
+        start = np.r_[at[whole], at[row] + pairs[run, 0]]
+        stop = np.r_[at[whole] + kept["size"].to_numpy(np.int64)[of[whole]], at[row] + pairs[run, 1]]
+        order = np.lexsort((start, text))
+        return text[order], start[order], stop[order]
 
     def strip(key: tuple, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         ids, digests, all_texts = unpacked(texts) if len(texts) else ([], [], [])
-        part = found[found["digest"].isna()].sort_values(["text", "start"])
         owned = owners_only(ids, digests, all_texts, found[found["digest"].notna()])
-        spans = part[["start", "stop"]].to_numpy(np.int64)
-        cut = np.searchsorted(part["text"].to_numpy(np.int64), np.arange(len(ids) + 1))
+        text_of, *ends = lost(found)
+        spans = np.stack(ends, 1)
+        cut = np.searchsorted(text_of, np.arange(len(ids) + 1))
         out = []
         for k, (i, text) in enumerate(zip(ids, all_texts)):
             runs: list[list[int]] = [[0, len(text)]] if text and not owned[k] else []
@@ -442,10 +460,11 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     nothing = lambda kind: F.lit(None).cast(kind)
     told = answers.select("chunk", "hashes", nothing("binary").alias("digest"), F.lit(0).cast("bigint").alias("owner"))
     told = told.unionAll(copies.select("chunk", nothing("binary").alias("hashes"), "digest", "owner"))
-    cut = rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(fragments, "bucket bigint, fragment binary, least bigint, chunk int, top int, places binary")
-    spans = stored(cut, "fragments").groupBy("bucket").applyInPandas(collection, "chunk int, text bigint, start bigint, stop bigint")
-    spans = spans.select("*", nothing("binary").alias("digest"), F.lit(0).cast("bigint").alias("owner"))
-    zero = F.lit(0).cast("bigint")
-    spans = spans.unionAll(copies.select("chunk", zero.alias("text"), zero.alias("start"), zero.alias("stop"), "digest", "owner"))
-    out = rows.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInPandas(strip, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans binary")
+    cut = rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(fragments, "bucket bigint, fragment binary, least bigint, chunk int, nr int, size int, top int, places binary")
+    cut = stored(cut, "fragments")
+    answered = cut.select("bucket", "fragment", "least", "chunk", "nr").groupBy("bucket").applyInPandas(collection, "chunk int, nr int, whole boolean, runs binary")
+    empty = {"nr": "int", "size": "int", "top": "int", "places": "binary", "whole": "boolean", "runs": "binary", "digest": "binary", "owner": "bigint"}
+    whole_row = lambda df: df.select("chunk", *[F.col(c) if c in df.columns else (F.lit(0).cast(kind) if c == "owner" else nothing(kind)).alias(c) for c, kind in empty.items()])  # noqa: E731 - ids are never null: they would become floats
+    answers = whole_row(cut.select("chunk", "nr", "size", "top", "places")).unionAll(whole_row(answered)).unionAll(whole_row(copies))
+    out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(strip, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans binary")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(LOWEST)))
