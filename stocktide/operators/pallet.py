@@ -2,12 +2,17 @@
 
 words (page, text, x0, top, height), rects (page, x0, x1, top, bottom, fill) and mark_cells (page, col_x0, y_lo, y_hi, green_count) are what a
 page reader hands over. Grey bands part a page into sections; size words of a section form columns, and columns form blocks of
-rising sizes; a block's product is the identifier next to it, or its text. Everything meets by page, so pages are spread over the tasks.
+rising sizes; a block's product is the identifier next to it, or its text. What lies on a page meets by cells of a grid, the rest by page, so
+pages are spread over the tasks. Marks come from rendered strips of the columns, or counted beforehand.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +27,9 @@ SKU = r"^[0-9]{2,3}[A-Za-z]{1,2}-?[0-9]{2}-?[0-9]{4}$"
 DEFAULT_SECTION, LEFT, RIGHT = "主表", "左", "右"
 BAND_WIDTH, BAND_GREY, BAND_ROW, COLUMN, GAP, LEAST, GREEN, CELL = 300, (0.5, 0.92), 6.0, 15.0, 90.0, 3, 60, 11.5
 
+GRID = 120.0
+PIXMAP = re.compile(rb"P6(?:\s+#[^\n]*)*\s+(\d+)\s+(\d+)\s+(\d+)\s")
+
 
 def green_pixels(rgb: np.ndarray) -> np.ndarray:
     """Which pixels of a rendered strip are a green mark."""
@@ -29,10 +37,47 @@ def green_pixels(rgb: np.ndarray) -> np.ndarray:
     return (g > 120) & (g > r + 40) & (g > b + 40)
 
 
-def green_count(mask: np.ndarray, y_lo: float, y_hi: float, top: float = 0.0, dpi: int = 200) -> int:
-    """Green pixels between two heights (in points) of a strip that starts at `top`."""
-    a, b = (int(round((y - top) / 72.0 * dpi)) for y in (y_lo, y_hi))
-    return int(mask[max(0, a) : max(0, min(len(mask), b))].sum())
+def pixels(image: bytes) -> np.ndarray:
+    """Rows of pixels of a binary pixmap (P6, as page renderers write it, 8 bits a channel)."""
+    head = PIXMAP.match(image)
+    if head is None or int(head[3]) != 255:
+        raise ValueError("strips have to be binary pixmaps of 8 bits a channel")
+    width, height = int(head[1]), int(head[2])
+    return np.frombuffer(image, np.uint8, 3 * width * height, head.end()).reshape(height, width, 3)
+
+
+def mark_index(strips: DataFrame) -> DataFrame:
+    """strips (page, section, column, y_top, dpi, image) -> their green pixels as running totals: `upto` has, for each row of pixels and the
+    end, how many lie above it. The marks in any window are the difference of two of them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, image in enumerate(batch.column("image")):
+                upto = np.r_[0, np.cumsum(green_pixels(pixels(image.as_py())).sum(1))].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in batch.columns[:-1]), pa.array([upto], pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "upto"])
+
+    rows = strips.select(F.col("page").cast("int"), F.col("section").cast("bigint"), F.col("column").cast("int"), F.col("y_top").cast("double"), F.col("dpi").cast("int"), "image")
+    return rows.mapInArrow(count, "page int, section bigint, column int, y_top double, dpi int, upto array<int>")
+
+
+def green_between(lo: Column, hi: Column) -> Column:
+    """Green pixels between two heights (in points) of a row's strip (upto, y_top, dpi); 0 without a strip."""
+    pixel = lambda y: F.rint((y - F.col("y_top")) / 72.0 * F.col("dpi")).cast("int")
+    a, b = F.greatest(F.lit(0), pixel(lo)), F.least(F.size("upto") - 1, pixel(hi))
+    return F.when(F.col("upto").isNotNull() & (b > a), F.get("upto", b) - F.get("upto", a)).otherwise(0)
+
+
+def within(areas: DataFrame, points: DataFrame) -> DataFrame:
+    """Areas (page, x_lo, x_hi, y_lo, y_hi and more) with the points (page, x, y and more) that lie in them.
+
+    Both meet by page and cell of a grid: an area is dealt to the cells that it touches, a point lies in one, so pairs grow with what is near
+    each other, not with what is on a page.
+    """
+    cell = lambda c: F.floor(F.col(c) / GRID).cast("int")
+    cells = lambda lo, hi: F.explode(F.sequence(cell(lo), cell(hi)))
+    dealt = areas.where("x_lo <= x_hi and y_lo <= y_hi").withColumn("_gx", cells("x_lo", "x_hi")).withColumn("_gy", cells("y_lo", "y_hi"))
+    met = dealt.join(points.withColumn("_gx", cell("x")).withColumn("_gy", cell("y")), ["page", "_gx", "_gy"])
+    return met.where(F.col("x").between(F.col("x_lo"), F.col("x_hi")) & F.col("y").between(F.col("y_lo"), F.col("y_hi"))).drop("_gx", "_gy")
 
 
 def page_skus(words: DataFrame) -> DataFrame:
@@ -50,10 +95,11 @@ def grey_bands(rects: DataFrame) -> DataFrame:
 
 def band_texts(bands: DataFrame, words: DataFrame) -> DataFrame:
     """Bands with the words that stand in them, from left to right."""
-    w, b = words.alias("w"), bands.alias("b")
-    inside = (F.col("w.page") == F.col("b.page")) & F.col("w.top").between(F.col("b.top") - 4, F.col("b.bottom") + 4) & F.col("w.x0").between(F.col("b.x0") - 4, F.col("b.x1"))
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("w.text").isNotNull(), F.struct("w.x0", "w.top", "w.text")))), lambda x: x["text"]), " ")
-    return b.join(w, inside, "left").groupBy(*[F.col(f"b.{c}") for c in bands.columns]).agg(text.fold(text.strip(line)).alias("label"))
+    areas = bands.select("*", (F.col("x0") - 4).alias("x_lo"), F.col("x1").alias("x_hi"), (F.col("top") - 4).alias("y_lo"), (F.col("bottom") + 4).alias("y_hi"))
+    points = words.select("page", F.col("x0").alias("x"), F.col("top").alias("y"), "text")
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "y", "text"))), lambda w: w["text"]), " ")
+    found = within(areas, points).groupBy(*bands.columns).agg(text.fold(text.strip(line)).alias("label"))
+    return bands.distinct().join(found, bands.columns, "left").withColumn("label", F.coalesce("label", F.lit("")))
 
 
 def sections(words: DataFrame, rects: DataFrame, heights: DataFrame, default: str = DEFAULT_SECTION) -> DataFrame:
@@ -111,14 +157,13 @@ def blocks(columns: DataFrame) -> DataFrame:
     return sized.where(F.col("_n") >= LEAST).drop("_n", "_place")
 
 
-def _text_near(areas: DataFrame, words: DataFrame, key: list[str], out: str) -> DataFrame:
+def text_near(areas: DataFrame, words: DataFrame, key: list[str], out: str) -> DataFrame:
     """key and the plain words in each area (page, y_lo, y_hi, x_lo, x_hi), in reading order, once where they lie on each other."""
     shown = text.strip(F.col("text"))
-    plain = words.where(~shown.isin(*SIZE_WORDS, *MARKS) & ~shown.rlike(SKU) & (shown != "")).select("page", shown.alias("word"), "top", "x0").alias("w")
-    a = areas.alias("a")
-    near = a.join(plain, (F.col("a.page") == F.col("w.page")) & F.col("w.top").between(F.col("y_lo"), F.col("y_hi")) & F.col("w.x0").between(F.col("x_lo"), F.col("x_hi")))
-    order = F.struct(F.bround(F.col("w.top") / 6).alias("line"), F.col("w.x0").alias("x"), F.col("w.top").alias("t"), F.col("word"))
-    once = near.groupBy(*[F.col(f"a.{k}") for k in key], F.bround("w.top").alias("_t"), F.bround("w.x0").alias("_x")).agg(F.min(order).alias("o"))
+    plain = words.where(~shown.isin(*SIZE_WORDS, *MARKS) & ~shown.rlike(SKU)).select("page", shown.alias("word"), F.col("top").alias("y"), F.col("x0").alias("x"))
+    order = F.struct(F.rint(F.col("y") / 6).alias("line"), "x", "y", "word")
+    # Of words on one spot the first in order speaks for it, even if it is blank.
+    once = within(areas, plain).groupBy(*key, F.rint("y").alias("_t"), F.rint("x").alias("_x")).agg(F.min(order).alias("o"))
     return once.groupBy(*key).agg(text.fold(text.joined_words(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["word"]))).alias(out))
 
 
@@ -126,14 +171,14 @@ def identified(found: DataFrame, words: DataFrame) -> DataFrame:
     """(page, section, column, block, sku, name): the identifier next to each block, nearest to its middle, and the text by it or by the block."""
     key = ["page", "section", "column", "block"]
     areas = found.select(*key, "col_x0", "blk_top", "blk_bottom").distinct()
-    a, s = areas.alias("a"), page_skus(words).select("page", "sku", F.col("top").alias("sku_top"), F.col("x0").alias("sku_x0")).alias("s")
-    reach = lambda up, down: F.col("sku_top").between(F.col("blk_top") - up, F.col("blk_bottom") + down)
-    near = a.join(s, (F.col("a.page") == F.col("s.page")) & F.col("sku_x0").between(F.col("col_x0") - 400, F.col("col_x0") + 40) & reach(40, 40))
-    off = F.abs(F.col("sku_top") - (F.col("blk_top") + F.col("blk_bottom")) / 2)
-    best = near.groupBy(*[F.col(f"a.{k}") for k in key]).agg(F.min(F.struct(F.when(reach(20, 24), 0).otherwise(1).alias("tier"), off.alias("off"), "sku_top", "sku_x0", "sku")).alias("s")).select(*key, "s.sku", "s.sku_top", "s.sku_x0")
+    around = areas.select("*", (F.col("col_x0") - 400).alias("x_lo"), (F.col("col_x0") + 40).alias("x_hi"), (F.col("blk_top") - 40).alias("y_lo"), (F.col("blk_bottom") + 40).alias("y_hi"))
+    near = within(around, page_skus(words).select("page", "sku", F.col("top").alias("y"), F.col("x0").alias("x")))
+    tier = F.when(F.col("y").between(F.col("blk_top") - 20, F.col("blk_bottom") + 24), 0).otherwise(1)
+    off = F.abs(F.col("y") - (F.col("blk_top") + F.col("blk_bottom")) / 2)
+    best = near.groupBy(*key).agg(F.min(F.struct(tier.alias("tier"), off.alias("off"), "y", "x", "sku")).alias("s")).select(*key, "s.sku", F.col("s.y").alias("sku_top"), F.col("s.x").alias("sku_x0"))
     by_sku = best.select(*key, (F.col("sku_top") - 42).alias("y_lo"), (F.col("sku_top") + 12).alias("y_hi"), (F.col("sku_x0") - 22).alias("x_lo"), (F.col("sku_x0") + 90).alias("x_hi"))
     by_block = areas.select(*key, (F.col("blk_top") - 14).alias("y_lo"), (F.col("blk_bottom") + 14).alias("y_hi"), (F.col("col_x0") - 400).alias("x_lo"), (F.col("col_x0") - 40).alias("x_hi"))
-    named = areas.select(*key).join(best, key, "left").join(_text_near(by_sku, words, key, "near_sku"), key, "left").join(_text_near(by_block, words, key, "near_block"), key, "left")
+    named = areas.select(*key).join(best, key, "left").join(text_near(by_sku, words, key, "near_sku"), key, "left").join(text_near(by_block, words, key, "near_block"), key, "left")
     return named.select(*key, F.coalesce("sku", F.lit("")).alias("sku"), F.coalesce(F.nullif("near_sku", F.lit("")), "near_block", F.lit("")).alias("name"))
 
 
@@ -146,20 +191,29 @@ def category(section: Column, columns: Column, synthetic: Column, column: Column
     return F.when(synthetic, F.concat(section, F.lit("｜"), side)).otherwise(F.coalesce(F.get(columns, column - 1), section))
 
 
-def inventory(words: DataFrame, rects: DataFrame, mark_cells: DataFrame, source: str, file: str = "", page: int | None = 1, default_section: str = DEFAULT_SECTION, drop_unidentified: bool = True, section_columns: dict[str, list[str]] | None = None, height: float = 1e6) -> DataFrame:
-    """Unified rows of the blocks of a page (all pages if None), in stock where their cell has enough green, with page and place."""
+def inventory(words: DataFrame, rects: DataFrame, mark_cells: DataFrame | None = None, source: str = "", file: str = "", page: int | None = 1, default_section: str = DEFAULT_SECTION, drop_unidentified: bool = True, section_columns: dict[str, list[str]] | None = None, height: float = 1e6, marks: DataFrame | None = None) -> DataFrame:
+    """Unified rows of the blocks of a page (all pages if None), in stock where their cell has enough green, with page and place.
+
+    Green comes from `marks`, the index of rendered strips by section and column (see `mark_index`), or counted beforehand from `mark_cells`.
+    """
     if page is not None:
-        words, rects, mark_cells = (df.where(F.col("page") == page) for df in (words, rects, mark_cells))
+        words, rects = words.where(F.col("page") == page), rects.where(F.col("page") == page)
     parts = sections(words, rects, words.select("page").distinct().withColumn("height", F.lit(height)), default_section)
     found = blocks(size_columns(words, parts))
-    named = found.join(identified(found, words), ["page", "section", "column", "block"])
+    key = ["page", "section", "column", "block"]
+    named = found.join(identified(found, words), key)
     if drop_unidentified:
         named = named.where("sku <> '' or name <> ''")
     named = named.withColumn("mid", F.col("top") + F.coalesce(F.nullif("height", F.lit(0)), F.lit(10.0)) / 2)
-    m = mark_cells.alias("m")
-    at = (F.col("i.page") == F.col("m.page")) & (F.abs(F.col("i.col_x0") - F.col("m.col_x0")) <= 1) & (F.col("mid") >= F.col("y_lo")) & (F.col("mid") < F.col("y_hi"))
-    keys = ("page", "section", "column", "block", "top", "x0", "size", "sku", "name")
-    green = named.alias("i").join(m, at, "left").groupBy(*[F.col(f"i.{k}") for k in keys]).agg(F.coalesce(F.sum("green_count"), F.lit(0)).alias("green"))
+    keys = (*key, "top", "x0", "size", "sku", "name")
+    if marks is not None:
+        seen = named.join(marks, ["page", "section", "column"], "left")
+        green = seen.select(*keys, green_between(F.col("mid") - CELL, F.col("mid") + CELL).alias("green"))
+    else:
+        areas = mark_cells.select("page", (F.col("col_x0") - 1).alias("x_lo"), (F.col("col_x0") + 1).alias("x_hi"), "y_lo", "y_hi", "green_count")
+        cells = within(areas, named.select(*keys, F.col("col_x0").alias("x"), F.col("mid").alias("y"))).where("y < y_hi")
+        counted = cells.groupBy(*keys).agg(F.sum("green_count").alias("green"))
+        green = named.select(*keys).join(counted, list(keys), "left").withColumn("green", F.coalesce("green", F.lit(0)))
     out = green.join(parts.select("page", "section", F.col("name").alias("section_name"), "columns", "synthetic"), ["page", "section"])
     label = category(F.col("section_name"), F.col("columns"), F.col("synthetic"), F.col("column"), section_columns or {})
     place = F.concat(F.lit(f"{file}|"), "section_name", F.lit("|栏"), F.col("column").cast("string"), F.lit("|块"), F.col("block").cast("string"), F.lit("|"), "size")
@@ -172,6 +226,13 @@ def orphans(words: DataFrame, rows: DataFrame) -> DataFrame:
     return page_skus(words).select("sku").distinct().join(rows.select("sku").distinct(), "sku", "left_anti")
 
 
+def sheet_stats(words: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row: how many rows and blocks a pick-sheet gave, and its identifiers that no block has, sorted."""
+    block = F.struct("row.page", "row.section", "row.column", "row.block")
+    counts = rows.agg(F.count("*").alias("n_rows"), F.count_distinct(block).alias("products"))
+    return counts.crossJoin(orphans(words, rows).agg(F.array_sort(F.collect_set("sku")).alias("orphan_skus")))  # two single rows
+
+
 def mark_quality(rows: DataFrame) -> DataFrame:
     """Cells without green, with a mark, and in between: the last should be none."""
     g = F.col("green")

@@ -14,6 +14,7 @@ TODO_HEADER = ("来源", "分区/品类", "来源商品/货号", "尺码范围",
 SUMMARY_LABELS = (("total", "比对总行数"), ("changed", "有差异（待更新）"), ("same", "一致（无需更新）"), ("no_product", "本店无此商品"), ("no_variation", "本店无此尺码"), ("unmatched", "未能匹配"), ("need_qty", "需人工填数量"), ("products", "涉及商品数"), ("changed_products", "涉及需要更新的商品数"))
 COMBINED = "（组合款）"
 NO_SUGGESTION_FOR = "ALO"
+PRODUCT = ("source", "category", "source_product", "parent_sku", "product_name")
 
 
 def present(diffs: DataFrame) -> DataFrame:
@@ -51,13 +52,18 @@ def todo(diffs: DataFrame, products: DataFrame, ignore_case: bool = False) -> Da
     return out.select("ord", *keys, F.col("items").alias("sizes"), F.col("n").alias("n_sizes"), F.coalesce("near_sku", F.lit("")).alias("near_sku"), F.coalesce("near_name", F.lit("")).alias("near_name"), F.col("first_note").alias("note"))
 
 
+def first_rows(rows: DataFrame) -> DataFrame:
+    """PRODUCT and the place of its first row."""
+    return rows.groupBy(*PRODUCT).agg(F.min("ord").alias("ord"))
+
+
 def changes_by_product(diffs: DataFrame) -> DataFrame:
     """Changed rows by product: how each size's quantity (else status) moves, and the first action."""
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     some = F.col("src_qty").isNotNull() | F.col("store_qty").isNotNull()
     by_status = F.concat("size", F.lit(": "), text.status_label(F.col("store_status")), F.lit("→"), text.status_label(F.col("src_status")))
     item = F.when(some, F.concat("size", F.lit(": "), number("store_qty"), F.lit("→"), number("src_qty"))).otherwise(by_status)
-    return reconcile.transitions(parts(diffs)["changed"], ["source", "category", "source_product", "parent_sku", "product_name"], item, "action")
+    return reconcile.transitions(parts(diffs)["changed"], list(PRODUCT), item, "action")
 
 
 def summary_rows(diffs: DataFrame) -> DataFrame:
@@ -71,3 +77,10 @@ def preview(diffs: DataFrame, limit: int = 25, groups: int = 12) -> tuple[DataFr
     """The first changed rows and the first products with manual rows, in order: what a console shows."""
     manual = parts(diffs)["manual"].groupBy("source", "category", "source_product").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
     return parts(diffs)["changed"].orderBy("ord").limit(limit), manual.orderBy("ord").limit(groups)
+
+
+def preview_counts(diffs: DataFrame) -> DataFrame:
+    """One row: changed, same and manual rows, and products that manual rows are of."""
+    kind = F.col("status")
+    product = F.struct("source", "category", "source_product")
+    return diffs.agg(F.count_if(kind == reconcile.CHANGED).alias("changed"), F.count_if(kind == reconcile.SAME).alias("same"), F.count_if(kind.isin(*reconcile.MANUAL)).alias("manual"), F.count_distinct(F.when(kind.isin(*reconcile.MANUAL), product)).alias("groups"))

@@ -301,7 +301,81 @@ def grey_bands(spark, sf_dir):
     return pallet.grey_bands(r).groupBy("page").agg(F.count("*").alias("bands"))
 
 
-QUERIES = (text_compatibility, sku_fields, to_int_forms, size_translation, sheet_rows, merged_cells, unified_reread, union_numbered, baseline_check, rule_quality, variable_variations, sync_results, sync_totals, sync_by_product, rollback_identity, rollback_partial_keys, sync_after_crash, typed_cells, rules_in_white_space, match_with_combos, nearest_same_digits, unified_store, diff_display, change_preview, product_changes, escaped_html, page_identifiers, anchored_columns, merged_sections, grey_bands)
+def mark_windows(spark, sf_dir):
+    """Green pixels around the words of every page, from the running totals of its rendered strip, and what they say of the stock."""
+    w = _words(spark, sf_dir)
+    green = "if((i * 7 + page) % 11 = 0, '00FF00', if(i % 2 = 0, 'FFFFFF', '00A0A0'))"
+    image = F.expr(f"concat(encode('P6\\n# strip\\n3 2400 255\\n', 'UTF-8'), unhex(array_join(transform(sequence(0, 2399), i -> repeat({green}, 3)), '')))")
+    strips = w.select("page").distinct().select("page", F.lit(1).alias("section"), F.lit(1).alias("column"), F.lit(5.0).alias("y_top"), F.lit(200).alias("dpi"), image.alias("image"))
+    mid = w.select("page", (F.col("top") + F.col("height") / 2).alias("mid")).distinct()
+    seen = mid.join(pallet.mark_index(strips), "page", "left")
+    counted = seen.select(F.col("page").cast("bigint").alias("page"), "mid", pallet.green_between(F.col("mid") - pallet.CELL, F.col("mid") + pallet.CELL).cast("bigint").alias("green"))
+    return counted.withColumn("availability", F.when(F.col("green") >= pallet.GREEN, "instock").otherwise("outofstock"))
+
+
+def _areas(spark, sf_dir) -> DataFrame:
+    """A block for each order's first line item, somewhere on a page."""
+    li = _table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    top = (F.col("l_suppkey") * 7 % 900).cast("double")
+    return li.select((F.col("l_orderkey") % 97).cast("int").alias("page"), F.lit(1).cast("bigint").alias("section"), F.lit(1).alias("column"), F.col("l_orderkey").alias("block"), (F.col("l_partkey") % 700).cast("double").alias("col_x0"), top.alias("blk_top"), (top + F.col("l_orderkey") % 60).alias("blk_bottom"))
+
+
+def near_text(spark, sf_dir):
+    """Plain words within the area of every block."""
+    areas = _areas(spark, sf_dir).select("page", "block", F.col("col_x0").alias("x_lo"), (F.col("col_x0") + 80).alias("x_hi"), F.col("blk_top").alias("y_lo"), (F.col("blk_bottom") + 30).alias("y_hi"))
+    return pallet.text_near(areas, _words(spark, sf_dir), ["page", "block"], "text").select(F.col("page").cast("bigint").alias("page"), "block", "text")
+
+
+def block_identity(spark, sf_dir):
+    """The identifier and the name of every block."""
+    return pallet.identified(_areas(spark, sf_dir), _words(spark, sf_dir)).select("block", "sku", "name")
+
+
+def size_blocks(spark, sf_dir):
+    """Blocks of rising sizes in the columns of every page; those of fewer than three sizes are none."""
+    li = _table(spark, sf_dir, "lineitem")
+    size = F.element_at(F.array(*map(F.lit, pallet.SIZE_WORDS)), ((F.col("l_orderkey") + F.col("l_linenumber") * 2) % 10 + 1).cast("int"))
+    top = F.col("l_orderkey").cast("double") * 20 + F.when(F.col("l_orderkey") % 32 < 4, 70).otherwise(0)
+    columns = li.where("l_linenumber <= 3").select((F.col("l_suppkey") % 7).alias("page"), F.lit(1).alias("section"), F.col("l_linenumber").alias("column"), size.alias("text"), top.alias("top"), F.col("l_partkey").cast("double").alias("x0"))
+    return pallet.blocks(columns).select(F.col("page").cast("bigint").alias("page"), F.col("column").cast("bigint").alias("column"), F.col("block").cast("bigint").alias("block"), "size", "top", "x0", "blk_top", "blk_bottom")
+
+
+def sheet_totals(spark, sf_dir):
+    """Rows, blocks and forgotten identifiers of a pick-sheet."""
+    w = _words(spark, sf_dir)
+    rows = pallet.page_skus(w).where("page % 3 <> 0").select(F.struct(F.col("page"), F.lit(1).alias("section"), F.lit(1).alias("column"), (F.col("top") % 40).alias("block"), F.col("top").alias("top")).alias("row"), "sku")
+    return pallet.sheet_stats(w, rows).select("n_rows", "products", F.size("orphan_skus").cast("bigint").alias("orphans"), F.md5(F.array_join("orphan_skus", ",")).alias("orphans_md5"))
+
+
+def category_labels(spark, sf_dir):
+    """Labels of columns: of sections with a name of their own, with titles of their columns, and with neither."""
+    p, k = _table(spark, sf_dir, "part"), F.col("p_partkey")
+    section = F.when(k % 3 == 0, "shoes").when(k % 3 == 1, "main").otherwise("bags")
+    columns = F.when(k % 5 == 0, F.array(F.lit("one"))).otherwise(F.array(F.lit("one"), F.lit("two")))
+    return p.select(k.alias("id"), pallet.category(section, columns, k % 2 == 0, (k % 4 + 1).cast("int"), {"shoes": ["men", "women", "all"]}).alias("label"))
+
+
+def suggested_rules(spark, sf_dir):
+    """A rule for each product of the sources: what was found for it, or a request to fill it in."""
+    return match.suggestions(registry._sources(spark, sf_dir), registry._catalogue(spark, sf_dir), registry._rules(spark, sf_dir)).select("ord", "source", "category", "source_product", "parent_sku", "size_map", "note")
+
+
+def catalogue_totals(spark, sf_dir):
+    """Products, those with variations, and variations of the whole catalogue."""
+    c = registry._catalogue(spark, sf_dir).withColumn("type", F.when(F.col("id") % 3 == 0, "simple").otherwise("variable"))
+    raw = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("product_id"), F.col("l_linenumber").cast("bigint").alias("ord"), F.col("l_orderkey").alias("id"), F.lit("").alias("sku"), F.array(F.struct(F.col("l_returnflag").alias("option"))).alias("attributes"), F.lit("true").alias("manage_stock"), F.col("l_quantity").cast("bigint").alias("stock_quantity"), F.lit("instock").alias("stock_status"))
+    return files.catalogue_totals(c, files.shaped_variations(raw, c))
+
+
+def rollback_totals(spark, sf_dir):
+    """A rollback of images some of which are empty and some of which the shop refuses."""
+    s = registry._stock(spark, sf_dir).where("product_id is not null")
+    before = F.when(F.col("ord") % 5 < 3, F.create_map(F.lit("stock_quantity"), F.coalesce(F.col("store_qty").cast("string"), F.lit("null"))))
+    images = s.select("product_id", "variation_id", F.col("product").alias("sku"), before.alias("before"))
+    return sync.rollback(images, _echo, writers=8, chunk=4096)[1]
+
+
+QUERIES = (text_compatibility, sku_fields, to_int_forms, size_translation, sheet_rows, merged_cells, unified_reread, union_numbered, baseline_check, rule_quality, variable_variations, sync_results, sync_totals, sync_by_product, rollback_identity, rollback_partial_keys, sync_after_crash, typed_cells, rules_in_white_space, match_with_combos, nearest_same_digits, unified_store, diff_display, change_preview, product_changes, escaped_html, page_identifiers, anchored_columns, merged_sections, grey_bands, mark_windows, near_text, block_identity, size_blocks, sheet_totals, category_labels, suggested_rules, catalogue_totals, rollback_totals)
 
 STOCK, PUNCT = registry.STOCK, r"[\s　_\-/\\|,，.。:：;；''\"“”‘’()（）\[\]【】{}<>、+&*#@!！?？~`^$%°]+"
 CHANGED = f"ch AS (SELECT *, 'S' || product_id % 50 AS parent_sku, ord % 9 <> 0 AS known FROM diffs WHERE status = '{reconcile.CHANGED}')"
@@ -313,6 +387,9 @@ CELLS = """ev AS (SELECT 'u' || user_id AS file, event_id + 1 AS row, event_id A
 ce AS (SELECT file, row, CASE WHEN k % 3 = 0 THEN t WHEN k % 11 = 0 THEN '  ' END AS b, list_extract(['M', '2xl', ' ', 'M'], k % 4 + 1) AS c, CASE WHEN k % 5 = 0 THEN '✅' WHEN k % 5 < 4 THEN CAST(k % 7 AS VARCHAR) END AS d FROM ev)"""
 FORM = "CASE p_partkey % 6 WHEN 0 THEN 'AB-' || p_partkey || '1' WHEN 1 THEN '灰色圆领 ' || p_name WHEN 2 THEN 'IVkg/' || p_partkey WHEN 3 THEN 't恤/' || p_brand WHEN 4 THEN p_partkey || 'XL码' ELSE '' END"
 WORDS = f"w AS (SELECT l_orderkey % 97 AS page, CASE l_orderkey % 4 WHEN 0 THEN list_extract({list(pallet.SIZES)}, l_linenumber % 8 + 1) WHEN 1 THEN format('{{:03d}}SU-22-{{:04d}}', l_suppkey % 1000, l_partkey % 10000) WHEN 2 THEN '✅' ELSE l_returnflag END AS text, CAST(l_partkey % 800 AS DOUBLE) AS x0, CAST(l_suppkey * 7 % 1000 + l_linenumber AS DOUBLE) AS top FROM lineitem)"
+SKU_WORD = "regexp_full_match(text, '[0-9]{2,3}[A-Za-z]{1,2}-?[0-9]{2}-?[0-9]{4}')"
+PLAIN = f"text NOT IN ('XXS', 'XS', 'S', 'M', 'L', 'XL', 'XXL', 'XXXL', '2XL', '3XL', '✅') AND NOT {SKU_WORD}"
+AREAS = "a AS (SELECT l_orderkey % 97 AS page, l_orderkey AS block, CAST(l_partkey % 700 AS DOUBLE) AS col_x0, CAST(l_suppkey * 7 % 900 AS DOUBLE) AS blk_top, CAST(l_suppkey * 7 % 900 + l_orderkey % 60 AS DOUBLE) AS blk_bottom FROM lineitem WHERE l_linenumber = 1)"
 
 ORACLES = {
     "text_compatibility": f"""WITH f AS (SELECT p_partkey AS id, {FORM} AS s FROM part), n AS (SELECT id, s, lower(s) AS l FROM f)
@@ -377,4 +454,29 @@ SELECT p.page, p.x0, max(a.n) AS "column" FROM p JOIN a ON a.page = p.page AND a
     "merged_sections": f"""WITH {WORDS}, s AS (SELECT page, top - top % 50 AS top, left(max(text), 1) AS name FROM w GROUP BY 1, 2), f AS (SELECT *, CASE WHEN lag(name) OVER (PARTITION BY page ORDER BY top) = name THEN 0 ELSE 1 END AS c FROM s),
 g AS (SELECT *, CAST(sum(c) OVER (PARTITION BY page ORDER BY top) AS BIGINT) AS section FROM f) SELECT page, section, any_value(name) AS name, min(top) AS top, max(top) + 50 AS bottom FROM g GROUP BY 1, 2""",
     "grey_bands": "SELECT l_orderkey % 97 AS page, count(*) AS bands FROM lineitem WHERE l_quantity * 10 >= 300 AND l_discount * 10 >= 0.5 AND l_discount * 10 <= 0.92 GROUP BY 1",
+    "mark_windows": f"""WITH {WORDS}, m AS (SELECT DISTINCT page, top + 5 AS mid FROM w), v AS (SELECT page, mid, greatest(0, CAST(round_even((mid - 11.5 - 5) / 72.0 * 200, 0) AS BIGINT)) AS a, least(2400, CAST(round_even((mid + 11.5 - 5) / 72.0 * 200, 0) AS BIGINT)) AS b FROM m),
+c AS (SELECT page, mid, CASE WHEN b > a THEN 3 * len(list_filter(range(a, b), lambda i: (i * 7 + page) % 11 = 0)) ELSE 0 END AS green FROM v) SELECT page, mid, CAST(green AS BIGINT) AS green, CASE WHEN green >= 60 THEN 'instock' ELSE 'outofstock' END AS availability FROM c""",
+    "near_text": f"""WITH {WORDS}, {AREAS}, n AS (SELECT a.page, block, round_even(top, 0) AS t, round_even(x0, 0) AS x, min(row(round_even(top / 6, 0), x0, top, text)) AS o FROM a JOIN w ON a.page = w.page AND w.top BETWEEN blk_top AND blk_bottom + 30 AND w.x0 BETWEEN col_x0 AND col_x0 + 80 WHERE {PLAIN} GROUP BY ALL)
+SELECT page, block, string_agg(o[4], ' ' ORDER BY o) AS text FROM n GROUP BY 1, 2""",
+    "block_identity": f"""WITH {WORDS}, {AREAS}, s AS (SELECT page, text AS sku, top, x0 FROM w WHERE {SKU_WORD}),
+c AS (SELECT block, min(row(CASE WHEN s.top BETWEEN blk_top - 20 AND blk_bottom + 24 THEN 0 ELSE 1 END, abs(s.top - (blk_top + blk_bottom) / 2), s.top, s.x0, sku)) AS o FROM a JOIN s ON a.page = s.page AND s.x0 BETWEEN col_x0 - 400 AND col_x0 + 40 AND s.top BETWEEN blk_top - 40 AND blk_bottom + 40 GROUP BY 1),
+z AS (SELECT a.page, a.block, 0 AS kind, o[3] - 42 AS y1, o[3] + 12 AS y2, o[4] - 22 AS x1, o[4] + 90 AS x2 FROM a JOIN c ON a.block = c.block UNION ALL SELECT page, block, 1, blk_top - 14, blk_bottom + 14, col_x0 - 400, col_x0 - 40 FROM a),
+n AS (SELECT block, kind, round_even(top, 0) AS t, round_even(x0, 0) AS x, min(row(round_even(top / 6, 0), x0, top, text)) AS o FROM z JOIN w ON z.page = w.page AND w.top BETWEEN y1 AND y2 AND w.x0 BETWEEN x1 AND x2 WHERE {PLAIN} GROUP BY ALL),
+t AS (SELECT block, kind, string_agg(o[4], ' ' ORDER BY o) AS text FROM n GROUP BY 1, 2)
+SELECT a.block, coalesce(c.o[5], '') AS sku, coalesce(t0.text, t1.text, '') AS name FROM a LEFT JOIN c ON c.block = a.block LEFT JOIN t t0 ON t0.block = a.block AND t0.kind = 0 LEFT JOIN t t1 ON t1.block = a.block AND t1.kind = 1""",
+    "size_blocks": """WITH c AS (SELECT l_suppkey % 7 AS page, l_linenumber AS "column", list_extract(['XXS', 'XS', 'S', 'M', 'L', 'XL', 'XXL', 'XXXL', 'XXL', 'XXXL'], (l_orderkey + l_linenumber * 2) % 10 + 1) AS size, l_orderkey * 20.0 + CASE WHEN l_orderkey % 32 < 4 THEN 70 ELSE 0 END AS top, CAST(l_partkey AS DOUBLE) AS x0 FROM lineitem WHERE l_linenumber <= 3),
+r AS (SELECT *, list_position(['XXS', 'XS', 'S', 'M', 'L', 'XL', 'XXL', 'XXXL'], size) AS rank FROM c),
+f AS (SELECT *, CASE WHEN rank <= lag(rank) OVER w OR top - lag(top) OVER w > 90 THEN 1 ELSE 0 END AS cut FROM r WINDOW w AS (PARTITION BY page, "column" ORDER BY top, x0)),
+b AS (SELECT *, 1 + sum(cut) OVER (PARTITION BY page, "column" ORDER BY top, x0) AS block FROM f),
+n AS (SELECT *, count(*) OVER w AS n, min(top) OVER w AS blk_top, max(top) OVER w AS blk_bottom FROM b WINDOW w AS (PARTITION BY page, "column", block))
+SELECT CAST(page AS BIGINT) AS page, CAST("column" AS BIGINT) AS "column", CAST(block AS BIGINT) AS block, size, CAST(top AS DOUBLE) AS top, x0, CAST(blk_top AS DOUBLE) AS blk_top, CAST(blk_bottom AS DOUBLE) AS blk_bottom FROM n WHERE n >= 3""",
+    "sheet_totals": f"""WITH {WORDS}, s AS (SELECT page, text AS sku, top FROM w WHERE {SKU_WORD}), o AS (SELECT DISTINCT sku FROM s WHERE sku NOT IN (SELECT sku FROM s WHERE page % 3 <> 0))
+SELECT count(*) AS n_rows, count(DISTINCT row(page, top % 40)) AS products, (SELECT count(*) FROM o) AS orphans, (SELECT md5(coalesce(string_agg(sku, ',' ORDER BY sku), '')) FROM o) AS orphans_md5 FROM s WHERE page % 3 <> 0""",
+    "category_labels": """WITH k AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'shoes' WHEN 1 THEN 'main' ELSE 'bags' END AS s, p_partkey % 4 + 1 AS c FROM part)
+SELECT k AS id, CASE WHEN k % 2 = 0 THEN s || '｜' || coalesce(CASE WHEN s = 'shoes' THEN list_extract(['men', 'women', 'all'], c) END, CASE WHEN c = 1 THEN '左' ELSE '右' END) ELSE coalesce(list_extract(CASE WHEN k % 5 = 0 THEN ['one'] ELSE ['one', 'two'] END, c), s) END AS label FROM k""",
+    "suggested_rules": f"""SELECT m.ord, {registry.SRC.format("p_partkey")} AS source, p_type AS category, CASE p_partkey % 5 WHEN 0 THEN lower(p_brand || '-' || p_partkey) WHEN 1 THEN p_brand || '-' || p_partkey || 'F' WHEN 2 THEN upper(p_name) WHEN 3 THEN p_type || ' made up' ELSE 'none' || p_partkey END AS source_product,
+CASE WHEN m.product_id IS NOT NULL THEN f.brand || '-' || m.product_id WHEN m.method = '映射的 SKU 在本店不存在' THEN CASE p_partkey % 20 WHEN 9 THEN 'gone-1' ELSE p_brand || '-' || p_partkey || 'FF' END ELSE '' END AS parent_sku, '' AS size_map, CASE WHEN m.product_id IS NOT NULL THEN m.method ELSE '⚠ 需要人工填写 parent_sku' END AS note
+FROM ({registry.ORACLES["rule_cascade"]}) m JOIN part ON p_partkey = m.ord LEFT JOIN (SELECT p_partkey AS id, p_brand AS brand FROM part) f ON f.id = m.product_id QUALIFY row_number() OVER (PARTITION BY source, category, source_product ORDER BY m.ord) = 1""",
+    "catalogue_totals": "SELECT (SELECT count(*) FROM part) AS products, (SELECT count(*) FROM part WHERE p_partkey % 3 <> 0) AS variable_products, (SELECT count(*) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey % 3 <> 0) AS variations",
+    "rollback_totals": f"WITH {STOCK}, i AS (SELECT *, coalesce(variation_id <> 0, false) AND ord % 5 < 3 AS asked FROM stock WHERE product_id IS NOT NULL) SELECT count(*) AS total, count(*) FILTER (asked AND variation_id % 10 <> 0) AS success, count(*) FILTER (asked AND variation_id % 10 = 0) AS failed, count(*) FILTER (NOT asked) AS skipped FROM i",
 }

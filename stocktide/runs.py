@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stocktide.operators import extract, match, ordered, reconcile, sync
 from stocktide.sinks import store
@@ -57,11 +58,18 @@ def run_extract(work: Work, only: list[str] | None = None) -> DataFrame:
     wanted = [s for s in work.settings["sources"] if not only or s["id"] in only]
     if not wanted:
         raise ValueError("no such source is configured")
-    parts = [files.read_source(work.spark, s).select(*extract.UNIFIED, "file", "row", F.lit(k).alias("place")) for k, s in enumerate(wanted)]
+    parts = []
+    for source in wanted:
+        rows = files.read_source(work.spark, source)
+        # Where a row stands in its source, and what counts as a product: a name, or a block of a pick-sheet.
+        sheet = isinstance(rows.schema["row"].dataType, StructType)
+        at = F.array(*[F.col(f"row.{c}").cast("double") for c in ("page", "section", "column", "block", "top")]) if sheet else F.array(F.col("row").cast("double"))
+        product = F.concat_ws("|", "row.page", "row.section", "row.column", "row.block") if sheet else F.col("source_product")
+        parts.append(rows.select(*extract.UNIFIED, "file", at.alias("at"), product.alias("product")))
     rows = stored(extract.union_sources(parts), "sources")
-    store.write_sources(rows, work.folder("unified"), [s["id"] for s in wanted], ["file", "row"])
+    store.write_sources(rows, work.folder("unified"), [s["id"] for s in wanted], ["file", "at"])
     asked = work.spark.createDataFrame([(k, s["id"], s.get("label", s["id"])) for k, s in enumerate(wanted)], "place int, source string, label string")
-    found = rows.groupBy("source").agg(F.count("*").alias("n_rows"), F.count_distinct("source_product").alias("products"))
+    found = extract.source_stats(rows, "product")
     return asked.join(found, "source", "left").na.fill(0, ["n_rows", "products"]).orderBy("place").drop("place")
 
 

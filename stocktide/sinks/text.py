@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stocktide.functions import text
 from stocktide.functions.text import html_escaped
 from stocktide.operators import reconcile, report
 from stocktide.sources.files import RULE_HEADER
@@ -16,25 +17,39 @@ TITLE = "库存差异比对报告"
 MARKDOWN_HEADER = ("来源商品", "尺码", "本店 SKU", "本店商品", "来源数量", "在线数量", "来源状态", "在线状态", "将执行的更新")
 MARKDOWN_FROM = (3, 4, 5, 6, 8, 9, 11, 12, 15)  # of the display columns
 PARTS = (("changed", "一、有差异"), ("manual", "二、需要人工处理"), ("same", "三、无差异（无需更新）"))
+# Fixed values, too: what the tables of the Markdown report are called, and what their columns hold.
+MARKDOWN_TITLES = ("一、有差异（按商品汇总）", "一之二、有差异（逐条明细）", "二、需要人工处理", "三、无差异（无需更新）")
+MARKDOWN_BY_PRODUCT = ("来源", "品类/分区", "来源商品", "本店商品（SKU）", "尺寸变化", "说明")
+MARKDOWN_MANUAL = ("来源商品", "尺码", "状态", "说明")
+PREVIEW_COUNTS, PREVIEW_MANUAL, PREVIEW_CHANGED, PREVIEW_MORE = "有差异 {changed}，一致 {same}，需人工处理 {manual}", "需人工处理的商品（来源 · 品类 · 商品 · 尺码数）", "有差异（商品 · 尺码 · SKU · 数量 · 状态）", "另有 {}"
 MARKED = (8, 9, 10, 11, 12)  # display columns that HTML marks on changed rows
 
 
+def _line(values) -> str:
+    """A row of a Markdown table."""
+    return "| " + " | ".join("-" if v is None or v == "" else str(v).replace("|", "\\|") for v in values) + " |\n"
+
+
 def write_markdown(diffs: DataFrame, path: str, meta: dict | None = None) -> str:
+    """Changes by product and one by one, manual rows with status and note, unchanged rows."""
     shown = report.present(diffs)
-    kinds = {"changed": [reconcile.CHANGED], "manual": list(reconcile.MANUAL), "same": [reconcile.SAME]}
+    parts = report.parts(diffs)
+    detail = lambda *kinds: shown.where(F.col("status").isin(*kinds)).orderBy("ord").select(*[report.DIFF_HEADER[k] for k in MARKDOWN_FROM])
+    by_product = report.changes_by_product(diffs).join(report.first_rows(parts["changed"]), list(report.PRODUCT)).orderBy("ord")
+    product = F.concat(F.coalesce(F.nullif("product_name", F.lit("")), F.lit("-")), F.lit("（"), F.coalesce(F.nullif("parent_sku", F.lit("")), F.lit("-")), F.lit("）"))
+    tables = (
+        (MARKDOWN_TITLES[0], MARKDOWN_BY_PRODUCT, by_product.select("source", "category", "source_product", product, "items", "first_note")),
+        (MARKDOWN_TITLES[1], MARKDOWN_HEADER, detail(reconcile.CHANGED)),
+        (MARKDOWN_TITLES[2], MARKDOWN_MANUAL, parts["manual"].orderBy("ord").select("source_product", "size", "status", "note")),
+        (MARKDOWN_TITLES[3], MARKDOWN_HEADER, detail(reconcile.SAME)),
+    )
     with open(path, "w", encoding="utf-8") as f:
         f.write(f"# {TITLE}\n\n" + "".join(f"- {k}：{v}\n" for k, v in (meta or {}).items()))
         for r in report.summary_rows(diffs).orderBy("line").collect():
             f.write(f"- {r['label']}：**{r['figure']}**\n")
-        for part, title in PARTS:
-            rows = shown.where(F.col("status").isin(*kinds[part])).orderBy("ord")
-            f.write(f"\n## {title}\n\n| {' | '.join(MARKDOWN_HEADER)} |\n|{'---|' * len(MARKDOWN_HEADER)}\n")
-            for r in rows.select(*[report.DIFF_HEADER[k] for k in MARKDOWN_FROM]).toLocalIterator():
-                f.write("| " + " | ".join(str(v).replace("|", "\\|") for v in r) + " |\n")
-            if part == "changed":
-                f.write("\n")
-                for r in report.changes_by_product(diffs).toLocalIterator():
-                    f.write(f"- {r['source']} | {r['category'] or '-'} | {r['source_product']} | {r['product_name'] or '-'}（{r['parent_sku'] or '-'}） | {r['items']} | {r['first_note']}\n")
+        for title, header, rows in tables:
+            f.write(f"\n## {title}\n\n{_line(header)}{_line(['---'] * len(header))}")
+            f.writelines(_line(r) for r in rows.toLocalIterator())
     return path
 
 
@@ -63,11 +78,27 @@ def write_html(diffs: DataFrame, products: DataFrame, path: str, meta: dict | No
     return path
 
 
-def preview_text(diffs: DataFrame, limit: int = 25) -> str:
-    changed, groups = report.preview(diffs, limit)
-    lines = [f"  - [{r['source']}] {r['category'] or '-'} | {r['source_product']}  （{r['n']} 个尺码）" for r in groups.collect()]
-    lines += [f"{r['source_product'][:26]:<28}{r['size']:<6}{(r['parent_sku'] or '-')[:18]:<20}{r['action']}" for r in changed.collect()]
-    return "\n".join(lines)
+def preview_text(diffs: DataFrame, limit: int = 25, groups: int = 12) -> str:
+    """Counts, the first products to see to by hand, and the first changes; where there are more, how many."""
+    counts = report.preview_counts(diffs).first()
+    changed, manual = report.preview(diffs, limit, groups)
+    status = [text.status_label(F.col(c)) for c in ("src_status", "store_status")]
+    changes = changed.select("source_product", "size", "parent_sku", "src_qty", "store_qty", *[s.alias(f"s{k}") for k, s in enumerate(status)]).collect()
+    out = [PREVIEW_COUNTS.format(**counts.asDict())]
+
+    def listed(title: str, rows: list, more: int) -> None:
+        if rows:
+            out.extend(["", title, *(" · ".join("-" if v is None or v == "" else str(v) for v in r) for r in rows)])
+        if more > 0:
+            out.append(PREVIEW_MORE.format(more))
+
+    listed(PREVIEW_MANUAL, [(r["source"], r["category"], r["source_product"], r["n"]) for r in manual.collect()], counts["groups"] - groups)
+    listed(PREVIEW_CHANGED, [(r["source_product"], r["size"], r["parent_sku"], f"{_shown(r['store_qty'])} → {_shown(r['src_qty'])}", f"{r['s1']} → {r['s0']}") for r in changes], counts["changed"] - limit)
+    return "\n".join(out)
+
+
+def _shown(value) -> str:
+    return "-" if value is None else str(value)
 
 
 def write_json(df: DataFrame, path: str) -> None:

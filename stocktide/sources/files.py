@@ -77,6 +77,12 @@ def shaped_variations(raw: DataFrame, products: DataFrame) -> DataFrame:
     return shaped.join(products.where("type = 'variable'").select(F.col("id").alias("product_id")), "product_id", "left_semi")
 
 
+def catalogue_totals(products: DataFrame, variations: DataFrame) -> DataFrame:
+    """One row: products, those that can have variations, and variations."""
+    counts = products.agg(F.count("*").alias("products"), F.count_if(F.col("type") == "variable").alias("variable_products"))
+    return counts.crossJoin(variations.agg(F.count("*").alias("variations")))  # two single rows
+
+
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a rollback snapshot in their order, written as JSON lines or as one document with `entries`. `before` maps the fields
     that an entry has to their values in JSON; it is null where there is no image."""
@@ -123,8 +129,10 @@ def read_source(spark: SparkSession, source: Mapping) -> DataFrame:
     if adapter == "pdf_pallet":
         from stocktide.operators import pallet
 
-        tables = {name: spark.read.parquet(f"{source['file']}/{name}.parquet") for name in ("words", "rects", "mark_cells")}
-        return pallet.inventory(**tables, source=source["id"], **options)
+        read = lambda name: spark.read.parquet(f"{source['file']}/{name}.parquet")
+        strips = exists(spark, f"{source['file']}/strips.parquet")
+        marks = {"marks": pallet.mark_index(read("strips"))} if strips else {"mark_cells": read("mark_cells")}
+        return pallet.inventory(read("words"), read("rects"), source=source["id"], file=source["file"].rstrip("/").rsplit("/", 1)[-1], **marks, **options)
     if adapter != "excel_table":
         raise ValueError(f"unknown adapter: {adapter}")
     sheet = extract.Sheet(source["id"], options.get("product_column", "B"), options.get("size_column", "C"), options.get("quantity_column"), int(options.get("start_row", 1)), options.get("stop_row") and int(options["stop_row"]), options.get("sheet"))

@@ -147,7 +147,10 @@ def test_reports(spark, shop_tables, tmp_path):
     page = open(text_sinks.write_html(diffs, products, f"{tmp_path}/d.html")).read()
     assert page.count("class=chg") == 25 and "数量 3 → 9" in page
     assert "xxl: 3→9" in open(text_sinks.write_markdown(diffs, f"{tmp_path}/d.md")).read()
-    assert text_sinks.preview_text(diffs, 2).count("\n") == 6
+    shown_ = text_sinks.preview_text(diffs, 2, 2).split("\n")
+    assert shown_[0] == "有差异 5，一致 1，需人工处理 6" and shown_[3] == "SP5 · c · 192SU-22-4410 · 2" and shown_[5] == "另有 3" and shown_[-3] == "192SU-22-4410 · xxl · 192SU-22-4410F · 3 → 9 · 有货 → 有货" and shown_[-1] == "另有 3"
+    said = open(text_sinks.write_markdown(diffs, f"{tmp_path}/e.md")).read()
+    assert "| Brown | M | 未能匹配 | " in said and "| SP5 | c | 192SU-22-4410 | Web Hoodie / Black（192SU-22-4410F） | xxl: 3→9、L: -→2 |" in said
     text_sinks.write_json(diffs, f"{tmp_path}/diff-json")
     assert spark.read.json(f"{tmp_path}/diff-json").count() == len(ROWS)
 
@@ -271,9 +274,37 @@ def test_pick_sheet(spark):
     assert pallet.sections(words, rects.where("fill < 0"), spark.createDataFrame([(1, 800.0)], "page int, height double")).first()["name"] == "主表"
 
 
-def test_green_pixels():
+def test_marks_of_rendered_strips(spark):
+    """Windows from running totals against sums over the pixels; strips that are no pixmaps are errors."""
     import numpy as np
 
-    rgb = np.zeros((200, 30, 3), np.uint8)
-    rgb[100:110, :, 1] = 200
-    assert pallet.green_count(pallet.green_pixels(rgb), 30, 45) == 300 and pallet.green_count(pallet.green_pixels(rgb), 50, 60) == 0
+    rng = np.random.default_rng(1)
+    rgb = rng.choice(np.array([[0, 200, 0], [255, 255, 255], [120, 130, 100], [0, 0, 0], [10, 121, 80]], np.uint8), (500, 7))
+    image = b"P6\n# made here\n7 500\n255\n" + rgb.tobytes()
+    index = pallet.mark_index(spark.createDataFrame([(1, 1, 1, 40.0, 200, bytearray(image))], "page int, section long, column int, y_top double, dpi int, image binary"))
+    r, g, b = (rgb[..., k].astype(int) for k in range(3))
+    green = (g > 120) & (g > r + 40) & (g > b + 40)
+    windows = spark.createDataFrame([(float(y), float(y + h)) for y in range(20, 240, 7) for h in (0, 1, 23)], "lo double, hi double")
+    for w in windows.crossJoin(index).select("lo", "hi", pallet.green_between(F.col("lo"), F.col("hi")).alias("green")).collect():
+        a, z = (int(round((y - 40.0) / 72.0 * 200)) for y in (w["lo"], w["hi"]))
+        assert w["green"] == int(green[max(0, a) : max(0, min(500, z))].sum())
+    for bad in (b"P5\n1 1\n255\nx", b"P6\n1 1\n65535\nxxxxxx"):
+        with pytest.raises(ValueError):
+            pallet.pixels(bad)
+
+
+def test_pick_sheet_with_strips(spark):
+    """The same page with marks from a strip: two sizes have a green mark in their window."""
+    import numpy as np
+
+    words = [(1, s, 300.0, 100.0 + 25 * k, 10.0) for k, s in enumerate(("S", "M", "L", "XL"))] + [(1, "192SU-22-4410", 100.0, 120.0, 10.0)]
+    words = spark.createDataFrame(words, "page int, text string, x0 double, top double, height double")
+    rects = spark.createDataFrame([], "page int, x0 double, x1 double, top double, bottom double, fill double")
+    rgb = np.full((600, 10, 3), 255, np.uint8)
+    for mid, rows in ((105, 8), (155, 8), (180, 5)):
+        at = round(mid / 72 * 200)
+        rgb[at : at + rows] = (0, 200, 0)
+    strips = spark.createDataFrame([(1, 1, 1, 0.0, 200, bytearray(b"P6 10 600 255\n" + rgb.tobytes()))], "page int, section long, column int, y_top double, dpi int, image binary")
+    rows = stored(pallet.inventory(words, rects, source="PALLET", file="p.pdf", marks=pallet.mark_index(strips)), "rows")
+    assert [(r["size"], r["green"], r["availability"]) for r in rows.orderBy("row").collect()] == [("S", 80, "instock"), ("M", 0, "outofstock"), ("L", 80, "instock"), ("XL", 50, "outofstock")]
+    assert pallet.sheet_stats(words, rows).first().asDict() == {"n_rows": 4, "products": 1, "orphan_skus": []}
