@@ -28,7 +28,7 @@ BINS = BANDS * ROWS
 POWER = np.uint64(0x9E3779B97F4A7C15)
 SKETCH = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, sketch binary"
 BLOCK = 2000
-SIGMAS = 6.0
+SIGMAS = 3.5
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -182,7 +182,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def alike(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket but different components whose whole sketches agree as pairs of the wanted similarity do
-    (SIGMAS standard deviations allowed, of which links fall short more rarely than they share no band), and whose bins don't prove too many differences: each bin that the two sets fill
+    (SIGMAS standard deviations allowed), and whose bins don't prove too many differences: each bin that the two sets fill
     differently, or only one of them fills, holds a shingle of just one set, and sets of p percent differ in at most
     (100 - p) / (100 + p) of their summed sizes. Members are compared in blocks, and only pairs that agree are given out, by
     their first common band."""
