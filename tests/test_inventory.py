@@ -144,6 +144,12 @@ def test_reports(spark, shop_tables, tmp_path):
     book = workbook.write_diff(diffs, products, f"{tmp_path}/diff.xlsx", {"店铺": "x"})
     counts = {r["sheet"]: r["n"] for r in xlsx.read_cells(spark, book).groupBy("sheet").agg(F.count_distinct("row").alias("n")).collect()}
     assert counts["差异明细"] == 6 and counts["无差异"] == 2 and counts["需人工处理"] == 7 and counts["待处理商品清单"] == 6
+    import re
+    import zipfile
+
+    sheets = [zipfile.ZipFile(book).read(f"xl/worksheets/sheet{k}.xml").decode() for k in (1, 2, 3, 4)]
+    looks = [{k: len(re.findall(f' s="{n}"', x)) for k, n in workbook.STYLE.items()} for x in sheets]
+    assert looks[0] == {"head": 17, "changed": 5 * 17 - 7, "marked": 7, "same": 0, "manual": 0} and looks[1]["same"] == 17 and looks[2]["manual"] == 6 * 17 and looks[3]["head"] == 8
     page = open(text_sinks.write_html(diffs, products, f"{tmp_path}/d.html")).read()
     assert page.count("class=chg") == 25 and "数量 3 → 9" in page
     assert "xxl: 3→9" in open(text_sinks.write_markdown(diffs, f"{tmp_path}/d.md")).read()
