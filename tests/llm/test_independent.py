@@ -31,7 +31,7 @@ def gram_buckets(text):
 
 def test_language_scores_worked_out_again(spark, small):
     rows = [(r["doc_id"], (r["text"] or "")[:400], r["lang"]) for r in small.orderBy("doc_id").collect()]
-    rows += [(-1, None, "en"), (-2, "12 !", "en"), (-3, "", None), (-4, "x", None), (-5, "same words", "zz"), (-6, "same words", "yy"), (-7, "same words", "yy"), (-8, "same words", "zz")]
+    rows += [(-1, None, "en"), (-2, "12 !", "en"), (-3, "", None), (-4, "x", None), (-5, "ŧŋđ ħĸ " * 9, "zz"), (-6, "ŧŋđ ħĸ " * 9, "yy"), (-7, "ŧŋđ ħĸ " * 9, "yy"), (-8, "ŧŋđ ħĸ " * 9, "zz")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     counts, texts = defaultdict(Counter), Counter()
     for _, text, lang in rows:
