@@ -1,7 +1,7 @@
 """Source rows to catalogue products: curated rules, then keys, names and similarity, each on what is left.
 
 Every strategy is an equi-join (similarity too, through signatures of tokens). The exact ones are tried over all rows at once, and the
-first that hits counts; similarity sees only the names of rows that are left. Sides are never broadcast by hint: their sizes grow with the catalogue, so the planner and adaptive execution decide.
+first that hits counts; similarity sees only the names of rows that are left. Sides grow with the catalogue and are never broadcast, see `met`.
 """
 
 from __future__ import annotations
@@ -21,6 +21,17 @@ TO_FILL = "⚠ 需要人工填写 parent_sku"
 SIGNATURES = 24
 
 
+def met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that shuffles both sides. The planner takes their sizes from compressed files, and those of generated rows (keys, signatures,
+    shortened texts) from the rows they were made of, so that it would broadcast far too much through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Few rows of which many will be made, dealt to as many tasks as shuffles have."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def rule_lookup(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """`parent_sku` and `size_map` of the first rule key present, out of six from exact to wildcard; null if none is.
 
@@ -36,9 +47,9 @@ def rule_lookup(rows: DataFrame, rules: DataFrame) -> DataFrame:
     keys = [(s, c, k), (any_, c, k), (s, any_, k), (any_, any_, k), (s, c, p), (any_, any_, p)]
     options = F.array(*[F.struct(F.lit(i).alias("prio"), a.alias("rs"), b.alias("rc"), d.alias("rp")) for i, (a, b, d) in enumerate(keys)])
     tried = rows.select("ord", F.explode(options).alias("o")).select("ord", "o.*")
-    found = tried.join(last, (F.col("rs") == last["source"]) & (F.col("rc") == last["category"]) & (F.col("rp") == last["product"]))
+    found = met(tried, last, (F.col("rs") == last["source"]) & (F.col("rc") == last["category"]) & (F.col("rp") == last["product"]))
     best = found.groupBy("ord").agg(F.min_by("r", "prio").alias("rule"))
-    return rows.join(best, "ord", "left").withColumn("parent_sku", F.col("rule.parent_sku")).withColumn("size_map", F.col("rule.size_map")).drop("rule")
+    return met(rows, best, "ord", "left").withColumn("parent_sku", F.col("rule.parent_sku")).withColumn("size_map", F.col("rule.size_map")).drop("rule")
 
 
 def sku_index(products: DataFrame) -> DataFrame:
@@ -58,19 +69,19 @@ def by_rule_sku(rows: DataFrame, products: DataFrame) -> DataFrame:
     plain = index.select(F.col("key").alias("k1"), F.col("id").alias("id1"))
     bare = index.select(F.col("key").alias("k2"), F.col("id").alias("id2"))
     ruled = rows.where(F.coalesce("parent_sku", F.lit("")) != "").withColumn("k1", text.normalize_sku(F.col("parent_sku"))).withColumn("k2", text.without_trailing_f(F.col("parent_sku")))
-    hit = ruled.join(plain, "k1", "left").join(bare, "k2", "left").withColumn("product_id", F.coalesce("id1", "id2"))
+    hit = met(met(ruled, plain, "k1", "left"), bare, "k2", "left").withColumn("product_id", F.coalesce("id1", "id2"))
     return hit.select("ord", "product_id", F.when(F.col("product_id").isNull(), RULE_MISSING).otherwise(RULE).alias("method"))
 
 
 def by_keys(rows: DataFrame, index: DataFrame, method: str) -> DataFrame:
     """First of a row's sorted keys that the index has."""
     keyed = rows.select("ord", F.explode(text.sku_match_keys(F.col("product"))).alias("key"))
-    return keyed.join(index, "key").groupBy("ord").agg(F.min_by("id", "key").alias("product_id")).withColumn("method", F.lit(method))
+    return met(keyed, index, "key").groupBy("ord").agg(F.min_by("id", "key").alias("product_id")).withColumn("method", F.lit(method))
 
 
 def by_name(rows: DataFrame, products: DataFrame) -> DataFrame:
     index = products.select(text.normalize_name(F.col("name")).alias("key"), "id", "ord").where("key <> ''").groupBy("key").agg(F.min_by("id", "ord").alias("product_id"))
-    return rows.select("ord", text.normalize_name(F.col("product")).alias("key")).join(index, "key").select("ord", "product_id", F.lit(NAME).alias("method"))
+    return met(rows.select("ord", text.normalize_name(F.col("product")).alias("key")), index, "key").select("ord", "product_id", F.lit(NAME).alias("method"))
 
 
 def signature_plan(threshold: float, left_sizes: list[int], right_sizes: list[int], most: int = SIGNATURES) -> list[tuple]:
@@ -101,8 +112,8 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     seen = left.select(F.explode("lt").alias("token")).unionAll(right.select(F.explode("rt").alias("token"))).groupBy("token").agg(F.count("*").alias("df"))
 
     def ordered(df: DataFrame, tokens: str) -> DataFrame:
-        ranked = df.select(tokens).distinct().select(tokens, F.explode(tokens).alias("token")).join(seen, "token").groupBy(tokens).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
-        return stored(df.join(ranked.select(tokens, F.col("r.token").alias("r")), tokens).withColumn("n", F.size(tokens)), "ranked")
+        ranked = met(df.select(tokens).distinct().select(tokens, F.explode(tokens).alias("token")), seen, "token").groupBy(tokens).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+        return stored(met(df, ranked.select(tokens, F.col("r.token").alias("r")), tokens).withColumn("n", F.size(tokens)), "ranked")
 
     left, right = ordered(left, "lt"), ordered(right, "rt")
     sizes = [sorted(r["n"] for r in df.select("n").distinct().collect()) for df in (left, right)]  # a row for each size of a name
@@ -110,10 +121,10 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
 
     def signed(df: DataFrame, side: str) -> DataFrame:
         one = lambda places: F.xxhash64("ln", "rn", F.transform(places, lambda i: F.get("r", i)))
-        met = df.join(plan.select("ln", "rn", "s", f"{side}c"), F.col("n") == F.col(f"{side}n"))
-        return met.select(*[c for c in df.columns if c not in ("r", "n")], F.col("r").alias(f"{side}r"), "ln", "rn", "s", F.explode(F.transform(f"{side}c", one)).alias("signature"))
+        planned = df.join(plan.select("ln", "rn", "s", f"{side}c"), F.col("n") == F.col(f"{side}n"))
+        return planned.select(*[c for c in df.columns if c not in ("r", "n")], F.col("r").alias(f"{side}r"), "ln", "rn", "s", F.explode(F.transform(f"{side}c", one)).alias("signature"))
 
-    both = signed(left, "l").join(signed(right, "r").drop("ln", "rn", "s"), "signature")
+    both = met(signed(left, "l"), signed(right, "r").drop("ln", "rn", "s"), "signature")
     first = F.xxhash64("ln", "rn", F.slice(F.array_intersect("lr", "rr"), F.lit(1), F.col("s")))
     return both.where(F.col("signature") == first).drop("signature", "lr", "rr", "ln", "rn", "s")
 
@@ -131,14 +142,14 @@ def by_similarity(rows: DataFrame, products: DataFrame, threshold: float = 0.86,
     k = F.size(F.array_intersect("lt", "rt"))
     scored = candidates(left.select("lt").distinct(), right, threshold).select("lt", (k / (F.size("lt") + F.size("rt") - k)).alias("score"), "f").where(F.col("score") >= threshold)
     scored = scored.select("lt", "score", F.explode("f").alias("f")).select("lt", F.struct((-F.col("score")).alias("s"), "f.first", "f.id", "score").alias("b"))
-    named = rows.select("ord", "product").join(left, "product")
+    named = met(rows.select("ord", "product"), left, "product")
     if not others:
-        hits = named.join(scored.groupBy("lt").agg(F.min("b").alias("b")), "lt")
+        hits = met(named, scored.groupBy("lt").agg(F.min("b").alias("b")), "lt")
     else:
         # At most one entry is the row itself: the better two are enough.
         place = F.row_number().over(Window.partitionBy("lt").orderBy("b"))
         two = scored.withColumn("place", place).where("place <= 2").groupBy("lt").agg(F.array_sort(F.collect_list("b")).alias("two"))
-        hits = named.join(two, "lt").withColumn("b", F.get(F.filter("two", lambda b: b["id"] != F.col("ord")), 0)).where("b is not null")
+        hits = met(named, two, "lt").withColumn("b", F.get(F.filter("two", lambda b: b["id"] != F.col("ord")), 0)).where("b is not null")
     return hits.select("ord", F.col("b.id").alias("product_id"), F.format_string("名称相似度 %.2f", "b.score").alias("method"))
 
 
@@ -158,10 +169,10 @@ def match_products(rows: DataFrame, products: DataFrame, rules: DataFrame | None
         ranked = hit.select("ord", F.struct(F.lit(prio).alias("prio"), "product_id", "method").alias("hit"))
         hits = ranked if hits is None else hits.unionAll(ranked)
     first = hits.groupBy("ord").agg(F.min_by("hit", "hit.prio").alias("hit"))
-    joined = rows.select("ord", "product").join(first, "ord", "left")
+    joined = met(rows.select("ord", "product"), first, "ord", "left")
     alike = by_similarity(joined.where("hit is null").select(F.col("product").alias("ord"), "product").distinct(), products, threshold)
     alike = alike.select(F.col("ord").alias("product"), F.struct("product_id", "method").alias("alike"))
-    out = joined.join(alike, "product", "left")
+    out = met(joined, alike, "product", "left")
     chosen = F.when(F.col("hit").isNotNull(), F.col("hit.product_id")).otherwise(F.col("alike.product_id"))
     method = F.coalesce(F.col("hit.method"), F.col("alike.method"), F.lit(NONE))
     return out.select("ord", chosen.alias("product_id"), method.alias("method"))
@@ -176,7 +187,7 @@ def find_variation(rows: DataFrame, variations: DataFrame) -> DataFrame:
     if "size_map" in rows.columns:
         translated = F.try_element_at(text.size_map(F.col("size_map")), size)
         size = F.when(F.coalesce("size_map", F.lit("")) == "", size).otherwise(text.normalize_size(F.coalesce(translated, F.col("size"))))
-    return rows.withColumn("key", size).join(first, ["product_id", "key"], "left").drop("key")
+    return met(rows.withColumn("key", size), first, ["product_id", "key"], "left").drop("key")
 
 
 def suggestions(rows: DataFrame, products: DataFrame, rules: DataFrame | None = None, combos: bool = False, threshold: float = 0.86) -> DataFrame:
@@ -187,7 +198,7 @@ def suggestions(rows: DataFrame, products: DataFrame, rules: DataFrame | None =
     first = rows.groupBy("source", "category", "occurrence").agg(F.min_by(F.struct("ord", "product"), "ord").alias("f")).select("source", "category", "occurrence", "f.*")
     matched = match_products(first, products, rules, combos, threshold)
     given = rule_lookup(first, rules).select("ord", "parent_sku") if rules is not None else first.select("ord", F.lit("").alias("parent_sku"))
-    out = first.join(matched, "ord").join(given, "ord").join(products.select(F.col("id").alias("product_id"), "sku"), "product_id", "left")
+    out = met(met(met(first, matched, "ord"), given, "ord"), products.select(F.col("id").alias("product_id"), "sku"), "product_id", "left")
     sku = F.when(F.coalesce("sku", F.lit("")) != "", F.col("sku")).when(F.col("method").isin(RULE, RULE_MISSING), F.coalesce("parent_sku", F.lit(""))).otherwise("")
     note = F.when(F.col("product_id").isNotNull(), F.col("method")).otherwise(TO_FILL)
     return out.select("ord", "source", "category", F.col("occurrence").alias("source_product"), sku.alias("parent_sku"), F.lit("").alias("size_map"), note.alias("note"))
@@ -203,7 +214,7 @@ def _shortened(s: Column, edits: int) -> Column:
     without = lambda t: F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))).otherwise(F.array(t))
     every, layer = [F.array(s)], F.array(s)
     for _ in range(edits):
-        layer = F.flatten(F.transform(layer, without))
+        layer = F.array_distinct(F.flatten(F.transform(layer, without)))
         every.append(layer)
     return F.array_distinct(F.transform(F.concat(*every), lambda t: F.xxhash64(t)))
 
@@ -220,19 +231,21 @@ def nearest_sku(wanted: DataFrame, products: DataFrame, max_distance: int = 2, l
     other = stored(pool.withColumnRenamed("key", "sku_key").where("sku_key <> ''"), "pool")
     mine = wanted.select("key").distinct().withColumn("k", text.normalize_sku(F.col("key"))).where("k <> ''")
     ks, skus = stored(mine.select("k").distinct(), "keys"), other.select("sku_key").distinct()
-    short = ks.where(F.length("k") <= LONG_KEY).select("k", F.explode(_shortened(F.col("k"), max_distance)).alias("h"))
-    short = short.join(skus.where(F.length("sku_key") <= LONG_KEY + max_distance).select("sku_key", F.explode(_shortened(F.col("sku_key"), max_distance)).alias("h")), "h").select("k", "sku_key").distinct()
-    near = short.unionAll(_by_pieces(ks.where(F.length("k") > LONG_KEY), skus.where(F.length("sku_key") > LONG_KEY - max_distance), max_distance))
+    dealt = spread(ks, "k")
+    short = dealt.where(F.length("k") <= LONG_KEY).select("k", F.explode(_shortened(F.col("k"), max_distance)).alias("h"))
+    skus = spread(skus, "sku_key")
+    short = met(short, skus.where(F.length("sku_key") <= LONG_KEY + max_distance).select("sku_key", F.explode(_shortened(F.col("sku_key"), max_distance)).alias("h")), "h").select("k", "sku_key").distinct()
+    near = short.unionAll(_by_pieces(dealt.where(F.length("k") > LONG_KEY), skus.where(F.length("sku_key") > LONG_KEY - max_distance), max_distance))
     near = near.withColumn("d", F.levenshtein("k", "sku_key", max_distance)).where(F.col("d").between(0, max_distance))
-    near = stored(near.join(other, "sku_key").select("k", "sku_key", "id", "pool", "d"), "near")
+    near = stored(met(near, other, "sku_key").select("k", "sku_key", "id", "pool", "d"), "near")
     first = products.select("id", F.col("ord").alias("o"), F.col("sku").alias("sku"))
-    every = near.unionByName(_same_digits(ks, other, near, limit)).distinct().join(first, "id")
+    every = met(near.unionByName(_same_digits(ks, other, near, limit)).distinct(), first, "id")
     flag = F.when((_digits("k") != "") & (_digits("k") == _digits("sku_key")), 0).otherwise(1)
     best = every.groupBy("k", "id").agg(F.min(F.struct("d", "pool", flag.alias("flag"), "o")).alias("b"), F.first("sku").alias("sku"))
     place = F.row_number().over(Window.partitionBy("k").orderBy("b"))
     top = best.withColumn("place", place).where(F.col("place") <= limit)
     distance = F.array_min(F.transform(text.split_sku_field(F.col("sku")), lambda t: F.levenshtein(F.col("k"), text.normalize_sku(t))))
-    return mine.join(top, "k").select("key", "id", "sku", (F.col("b.pool") == 1).alias("combo"), distance.alias("distance"), "place")
+    return met(mine, top, "k").select("key", "id", "sku", (F.col("b.pool") == 1).alias("combo"), distance.alias("distance"), "place")
 
 
 def _digits(c: str) -> Column:
@@ -250,44 +263,45 @@ def _same_digits(ks: DataFrame, other: DataFrame, near: DataFrame, limit: int) -
     """
     pool = other.withColumn("digits", _digits("sku_key")).where("digits <> ''")
     in_group = pool.groupBy("digits").agg(F.count_distinct("id").alias("has"))
-    asked = ks.withColumn("digits", _digits("k")).where("digits <> ''").join(in_group, "digits")
+    asked = ks.withColumn("digits", _digits("k")).where("digits <> ''")
+    asked = met(asked, in_group, "digits")
 
     def open_(found: DataFrame) -> DataFrame:
         """Keys that still need products."""
         own = found.groupBy("k").agg(F.count_distinct("id").alias("n"), F.count_distinct(F.when(_digits("k") == _digits("sku_key"), F.col("id"))).alias("same"))
-        kept = asked.join(own, "k", "left").where((F.coalesce("n", F.lit(0)) < limit) & (F.coalesce("same", F.lit(0)) < F.col("has")))
+        kept = met(asked, own, "k", "left").where((F.coalesce("n", F.lit(0)) < limit) & (F.coalesce("same", F.lit(0)) < F.col("has")))
         return stored(kept.select("k", "digits", "has"), "open")
 
     def whole(left: DataFrame) -> DataFrame:
-        return left.join(pool, "digits").select("k", "sku_key", "id", "pool", F.levenshtein("k", "sku_key").alias("d"))
+        return met(left, pool, "digits").select("k", "sku_key", "id", "pool", F.levenshtein("k", "sku_key").alias("d"))
 
     left = open_(near)
     found, left = whole(left.where(F.col("has") <= SMALL_GROUP)), left.where(F.col("has") > SMALL_GROUP)
     if left.isEmpty():
         return found
-    every = left.select("digits", F.col("k").alias("s")).unionAll(pool.join(left.select("digits").distinct(), "digits", "left_semi").select("digits", F.col("sku_key").alias("s"))).distinct()
+    every = left.select("digits", F.col("k").alias("s")).unionAll(met(pool, left.select("digits").distinct(), "digits", "left_semi").select("digits", F.col("sku_key").alias("s"))).distinct()
     back = F.reverse("s")
     ends = every.groupBy("digits").agg(F.min("s").alias("a"), F.max("s").alias("b"), F.min(back).alias("y"), F.max(back).alias("z"), F.min(F.length("s")).alias("least"))
     common = lambda x, y: f"size(filter(sequence(0, least), i -> i > 0 AND substring({x}, 1, i) = substring({y}, 1, i)))"
     ends = ends.select("digits", "least", F.expr(common("a", "b")).alias("head"), F.expr(common("y", "z")).alias("tail")).withColumn("tail", F.least("tail", F.col("least") - F.col("head")))
-    rest = every.join(ends, "digits").select("digits", "s", F.substring("s", F.col("head") + 1, F.length("s") - F.col("head") - F.col("tail")).alias("rest"))
+    rest = met(every, ends, "digits").select("digits", "s", F.substring("s", F.col("head") + 1, F.length("s") - F.col("head") - F.col("tail")).alias("rest"))
     rest = stored(rest, "rests")
     for reach in REACHES:
-        mine = left.join(rest.select("digits", F.col("s").alias("k"), F.col("rest").alias("k_rest")), ["digits", "k"])
-        others = pool.join(rest.select("digits", F.col("s").alias("sku_key"), F.col("rest").alias("sku_rest")), ["digits", "sku_key"]).select("digits", "sku_rest").distinct()
+        mine = met(left, rest.select("digits", F.col("s").alias("k"), F.col("rest").alias("k_rest")), ["digits", "k"])
+        others = met(pool, rest.select("digits", F.col("s").alias("sku_key"), F.col("rest").alias("sku_rest")), ["digits", "sku_key"]).select("digits", "sku_rest").distinct()
         if reach <= DELETED:
             brief = lambda c: F.length(c) <= SHORT_REST + reach  # noqa: B023, E731
             tried = mine.where(F.length("k_rest") <= SHORT_REST).select("digits", "k_rest").distinct()
-            shortened = lambda df, c: df.select("digits", c, F.explode(_shortened(F.col(c), reach)).alias("h"))  # noqa: B023, E731
-            met = shortened(tried, "k_rest").join(shortened(others.where(brief("sku_rest")), "sku_rest"), ["digits", "h"]).select("digits", "k_rest", "sku_rest").distinct()
+            shortened = lambda df, c: spread(df, "digits", c).select("digits", c, F.explode(_shortened(F.col(c), reach)).alias("h"))  # noqa: B023, E731
+            pairs = met(shortened(tried, "k_rest"), shortened(others.where(brief("sku_rest")), "sku_rest"), ["digits", "h"]).select("digits", "k_rest", "sku_rest").distinct()
         else:
             tried = mine.where(F.length("k_rest") >= 2 * (reach + 1)).select("digits", F.col("k_rest").alias("k")).distinct()
-            met = _by_pieces(tried, others.withColumnRenamed("sku_rest", "sku_key"), reach, ["digits"]).withColumnsRenamed({"k": "k_rest", "sku_key": "sku_rest"})
+            pairs = _by_pieces(tried, others.withColumnRenamed("sku_rest", "sku_key"), reach, ["digits"]).withColumnsRenamed({"k": "k_rest", "sku_key": "sku_rest"})
         if tried.isEmpty():
             continue
-        close = met.withColumn("d", F.levenshtein("k_rest", "sku_rest", reach)).where(F.col("d").between(0, reach))
-        named = close.join(mine, ["digits", "k_rest"]).join(rest.select("digits", F.col("s").alias("sku_key"), F.col("rest").alias("sku_rest")), ["digits", "sku_rest"])
-        found = found.unionByName(stored(named.join(pool, ["digits", "sku_key"]).select("k", "sku_key", "id", "pool", "d"), "same"))
+        close = pairs.withColumn("d", F.levenshtein("k_rest", "sku_rest", reach)).where(F.col("d").between(0, reach))
+        named = met(met(close, mine, ["digits", "k_rest"]), rest.select("digits", F.col("s").alias("sku_key"), F.col("rest").alias("sku_rest")), ["digits", "sku_rest"])
+        found = found.unionByName(stored(met(named, pool, ["digits", "sku_key"]).select("k", "sku_key", "id", "pool", "d"), "same"))
         left = open_(near.unionByName(found)).where(F.col("has") > SMALL_GROUP)
         if left.isEmpty():
             return found
@@ -304,4 +318,4 @@ def _by_pieces(ks: DataFrame, skus: DataFrame, max_distance: int, equal: list[st
     reach = f"sequence(-{max_distance}, {max_distance})"
     spots = f"flatten(flatten(transform({reach}, e -> transform({numbers}, i -> transform({reach}, d -> struct(i AS i, length(sku_key) + e AS n, CASE WHEN 1 + i * (length(sku_key) + e) div {pieces} + d >= 1 THEN {cut('sku_key', '(length(sku_key) + e)', 'i', 'd')} END AS piece))))))"
     pool = skus.select("sku_key", *equal).distinct().select("sku_key", *equal, F.expr(f"explode(array_distinct({spots}))").alias("p")).select("sku_key", *equal, "p.*").where("piece is not null")
-    return whole.join(pool, [*equal, "i", "n", "piece"]).select(*equal, "k", "sku_key").distinct()
+    return met(whole, pool, [*equal, "i", "n", "piece"]).select(*equal, "k", "sku_key").distinct()
