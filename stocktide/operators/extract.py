@@ -32,24 +32,40 @@ class Sheet:
     sheet: str | None = None
 
 
-def merged_values(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """(file, sheet, row, col, value, kind) of every place of a merged range that has a value at its top left.
+def merged_pieces(cells: DataFrame, merges: DataFrame) -> DataFrame:
+    """(file, sheet, col, lo, hi, value, kind): which rows of a column show the value of which merged range, each row in one piece at most.
 
-    A range is opened into its places, so that cells meet them by equality.
+    Of ranges that meet, the one that starts later shows. In a column it ends the one before, unless the one before goes on after it: only such
+    columns are opened into their places.
     """
-    where = ["file", "sheet"]
+    where, column = ["file", "sheet"], ["file", "sheet", "col"]
     top = merges.join(cells.select(*where, F.col("row").alias("min_row"), F.col("col").alias("min_col"), "value", "kind"), [*where, "min_row", "min_col"]).where("value is not null")
-    rows = top.withColumn("row", F.explode(F.sequence("min_row", "max_row")))
-    places = rows.withColumn("col", F.explode(F.sequence("min_col", "max_col")))
-    return places.groupBy(*where, "row", "col").agg(F.max_by(F.struct("value", "kind"), F.struct("min_row", "min_col")).alias("v")).select(*where, "row", "col", "v.*")
+    w = Window.partitionBy(*column).orderBy("min_row", "min_col")
+    opened = top.withColumn("col", F.explode(F.sequence("min_col", "max_col"))).withColumns({"_reach": F.max("max_row").over(w), "_next": F.lead("min_row").over(w)})
+    opened = opened.withColumn("_within", F.max(F.col("_reach") > F.col("max_row")).over(Window.partitionBy(*column)))
+    plain = opened.where("not _within").select(*column, F.col("min_row").alias("lo"), F.least("max_row", F.col("_next") - 1).alias("hi"), "value", "kind").where("lo <= hi")
+    places = opened.where("_within").withColumn("row", F.explode(F.sequence("min_row", "max_row"))).groupBy(*column, "row").agg(F.max_by(F.struct("value", "kind"), F.struct("min_row", "min_col")).alias("v"))
+    return plain.unionByName(places.select(*column, F.col("row").alias("lo"), F.col("row").alias("hi"), "v.*"))
+
+
+def merged_values(cells: DataFrame, merges: DataFrame) -> DataFrame:
+    """(file, sheet, row, col, value, kind) of every place of a merged range that has a value at its top left."""
+    return merged_pieces(cells, merges).select("file", "sheet", F.explode(F.sequence("lo", "hi")).alias("row"), "col", "value", "kind")
 
 
 def read_cells(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """Cells as a reader sees them: the value of their merged range first, else their own."""
-    merged = merged_values(cells, merges)
-    where = ["file", "sheet", "row", "col"]
-    both = cells.withColumn("own", F.struct("value", "kind")).select(*where, "own").join(merged.withColumn("range", F.struct("value", "kind")).select(*where, "range"), where, "full")
-    return both.select(*where, F.coalesce("range", "own").alias("v")).select(*where, "v.*")
+    """Cells as a reader sees them: the value of their merged range first, else their own.
+
+    Cells and pieces of ranges meet in the order of their column; places are made from pieces after that, so they are never shuffled.
+    """
+    fields = ["file", "sheet", "col", "lo", "hi", "value", "kind"]
+    own = cells.select("file", "sheet", "col", F.col("row").alias("lo"), F.lit(None).cast("int").alias("hi"), "value", "kind")
+    w = Window.partitionBy("file", "sheet", "col").orderBy("lo", F.col("hi").isNull())
+    both = own.select(*fields).unionByName(merged_pieces(cells, merges).select(*fields))
+    dealt = both.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file", "sheet", "col")  # few rows, many places
+    seen = dealt.withColumn("_upto", F.last("hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    shown = seen.where(F.col("hi").isNotNull() | F.col("_upto").isNull() | (F.col("_upto") < F.col("lo")))
+    return shown.select("file", "sheet", F.explode(F.sequence("lo", F.coalesce("hi", "lo"))).alias("row"), "col", "value", "kind")
 
 
 def table_rows(cells: DataFrame, merges: DataFrame, sheet: Sheet) -> DataFrame:
