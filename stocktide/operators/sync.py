@@ -28,6 +28,8 @@ LOG_COLUMNS = ("序号", "结果", "来源商品", "尺码", "本店 SKU", "本
 STOCK_FIELDS = ("manage_stock", "stock_quantity", "stock_status")
 IMAGE = updates.IMAGE
 VARIATION = ["product_id", "variation_id"]
+# What sends and results take of a plan; its other columns (notes and actions of the diff, texts of some hundred characters) are never read.
+PLAN = ["ord", "source_product", "size", "parent_sku", "product_name", *VARIATION, "before", "payload"]
 
 
 def payload_text(payload: Column) -> Column:
@@ -114,7 +116,7 @@ class Ledger:
         """The plan, stored with its images. A run that has its images is never planned anew: values read then may be its own."""
         if complete(self.spark, self.path("images", run_id)):
             raise ValueError(f"run {run_id} has begun already: resume it or take it back")
-        kept = self.put("plan", run_id, plan)
+        kept = self.put("plan", run_id, plan.select(*PLAN))
         self.put("images", run_id, snapshot(kept))
         return kept
 

@@ -7,6 +7,8 @@ import pyspark.taskcontext as tc
 import pytest
 from pyspark.sql import Row
 
+from stocktide.operators import reconcile, sync
+from stocktide.plans import inventory
 from stocktide.sinks import updates
 
 CHUNKS = 300
@@ -87,3 +89,17 @@ def test_a_ledger_is_listed_without_a_job(spark, tmp_path, third_task):
     jobs = tracker.getJobIdsForGroup("listing")
     spark.sparkContext.setJobGroup("none", "")
     assert not list(jobs) and found.count() == 60
+
+
+def test_a_stored_plan_has_what_sends_and_results_take(spark, tmp_path, monkeypatch):
+    """Notes and actions of the diff are neither made, nor shuffled or stored for a run."""
+    changes, variations = inventory._changes(spark, "/root/testdata/sf0.001")
+    plan, plans, put = sync.planned(changes, variations), [], sync.Ledger.put
+    monkeypatch.setattr(sync.Ledger, "put", lambda self, kind, run, df: plans.append((kind, df)) or put(self, kind, run, df))
+    ledger = sync.Ledger(spark, str(tmp_path))
+    results = sync.write_back(ledger, "a", plan)
+    assert results.count() == plan.count() > 100
+    stored = dict(plans)["plan"]
+    assert {"note", "action"} <= set(plan.columns) and stored.columns == sync.PLAN
+    made = stored._jdf.queryExecution().optimizedPlan().toString()
+    assert reconcile.NOTE_SAME not in made and reconcile.NOTHING not in made
