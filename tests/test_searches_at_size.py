@@ -3,14 +3,14 @@
 import pytest
 
 from stocktide.operators import match
-from stocktide.plans import inventory
+from stocktide.plans import inventory, registry
 
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("query", [inventory.nearest_same_digits])
+@pytest.mark.parametrize("query", [inventory.nearest_same_digits, registry.nearest_sku_topk])
 def test_a_search_of_identifiers_broadcasts_nothing(spark, monkeypatch, query):
     """A shortened text is one of a hundred of its identifier; the planner takes all of them for a few kilobytes."""
     plans, keep = [], match.stored
