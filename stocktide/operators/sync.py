@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from stocktide.functions import text
 from stocktide.operators import reconcile
+from stocktide.operators.match import met
 from stocktide.sinks import updates
 from stocktide.storage import complete, fresh, remove
 
@@ -50,7 +51,7 @@ def image_text(image: Column) -> Column:
 def planned(changes: DataFrame, variations: DataFrame, mode: str = "auto", update_status: bool = True, no_qty_policy: str = "status_and_zero") -> DataFrame:
     """Changes (rows of a diff) with `before` (null: the variation is gone) and `payload`."""
     before = variations.select("product_id", F.col("id").alias("variation_id"), F.struct("sku", F.col("manage_stock").cast("string").alias("manage_stock"), "stock_quantity", "stock_status").alias("before"))
-    joined = changes.join(before, VARIATION, "left").withColumn("managed", text.truthy(F.col("before.manage_stock")))
+    joined = met(changes, before, VARIATION, "left").withColumn("managed", text.truthy(F.col("before.manage_stock")))
     return joined.withColumn("payload", reconcile.payload(mode, update_status, no_qty_policy)).drop("managed")
 
 
@@ -82,7 +83,7 @@ def _results(plan: DataFrame, sent: DataFrame | None) -> DataFrame:
     if sent is None:
         done = nth.withColumns({"ok": F.lit(None).cast("boolean"), "after": F.lit(None).cast(IMAGE), "error": F.lit("")})
     else:
-        done = nth.join(sent.select(*VARIATION, "ok", "after", "error"), VARIATION, "left")
+        done = met(nth, sent.select(*VARIATION, "ok", "after", "error"), VARIATION, "left")
     result = F.when(F.col("before").isNull(), SKIPPED).when(F.lit(sent is None), REHEARSED).when(F.col("ok"), DONE).otherwise(FAILED)
     return done.withColumn("result", result).withColumn("error", F.when(F.col("before").isNull(), NO_VARIATION).otherwise(F.coalesce("error", F.lit(""))))
 
@@ -127,7 +128,7 @@ class Ledger:
         if announced.isEmpty():
             return images
         failed = updates.outcomes(self.spark, self.path("attempts", run_id)).where("not ok")
-        return images.join(announced, VARIATION, "left_semi").join(failed, VARIATION, "left_anti")
+        return met(met(images, announced, VARIATION, "left_semi"), failed, VARIATION, "left_anti")
 
 
 def write_back(ledger: Ledger, run_id: str, plan: DataFrame, send: updates.Send | None = None, confirmed: bool = False, answer: str | None = None, forget: Callable[[], None] | None = None, **how) -> DataFrame:
@@ -147,7 +148,7 @@ def resume(ledger: Ledger, run_id: str, send: updates.Send, confirmed: bool = Fa
     ledger.get("images", run_id)  # without them there is no way back, and nothing is sent
     if not may_write(confirmed, answer):
         return _results(plan, None)
-    left = requests(plan).join(updates.outcomes(ledger.spark, folder), VARIATION, "left_anti")
+    left = met(requests(plan), updates.outcomes(ledger.spark, folder), VARIATION, "left_anti")
     results = ledger.put("results", run_id, _results(plan, updates.deliver(left, send, folder, **how)))
     if forget is not None and not results.where(F.col("result") == DONE).isEmpty():
         forget()
@@ -175,7 +176,7 @@ def apply_updates(plan: DataFrame, send: updates.Send | None = None, **how) -> t
 def kept_entries(images: DataFrame, results: DataFrame) -> DataFrame:
     """Entries of a snapshot whose write succeeded or was rehearsed."""
     good = results.where(F.col("result").isin(DONE, REHEARSED)).select(*VARIATION).distinct()
-    return images.join(good, VARIATION, "left_semi")
+    return met(images, good, VARIATION, "left_semi")
 
 
 def totals(results: DataFrame) -> DataFrame:
@@ -214,8 +215,8 @@ def rollback(images: DataFrame, send: updates.Send | None = None, folder: str |
     else:
         folder = folder or fresh(images.sparkSession, "attempts")
         done = updates.outcomes(images.sparkSession, folder)
-        sent = updates.deliver(asked.join(done, VARIATION, "left_anti"), send, folder, **how)
-        results = asked.join(sent.select(*VARIATION, "ok", "error"), VARIATION).withColumn("result", F.when(F.col("ok"), DONE).otherwise(FAILED)).drop("ok")
+        sent = updates.deliver(met(asked, done, VARIATION, "left_anti"), send, folder, **how)
+        results = met(asked, sent.select(*VARIATION, "ok", "error"), VARIATION).withColumn("result", F.when(F.col("ok"), DONE).otherwise(FAILED)).drop("ok")
     counts = results.agg(F.count_if(F.col("result") == DONE).alias("success"), F.count_if(F.col("result") == FAILED).alias("failed"))
     whole = images.agg(F.count("*").alias("total")).crossJoin(counts)  # two single rows
     return results, whole.withColumn("skipped", F.col("total") - F.col("success") - F.col("failed"))

@@ -103,3 +103,9 @@ def test_a_stored_plan_has_what_sends_and_results_take(spark, tmp_path, monkeypa
     assert {"note", "action"} <= set(plan.columns) and stored.columns == sync.PLAN
     made = stored._jdf.queryExecution().optimizedPlan().toString()
     assert reconcile.NOTE_SAME not in made and reconcile.NOTHING not in made
+
+
+@pytest.mark.parametrize("query", [inventory.sync_after_crash, inventory.rollback_identity])
+def test_runs_and_their_images_are_never_broadcast(spark, query):
+    """Ids of images are taken for a small part of their compressed files."""
+    assert "Broadcast" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
