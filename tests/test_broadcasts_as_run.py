@@ -45,3 +45,10 @@ def test_a_broadcast_is_seen(spark):
 @pytest.mark.parametrize("query", [inventory.nearest_same_digits, registry.nearest_sku_topk])
 def test_searches_send_nothing(spark, sizes, query):
     assert [sent(spark, query, folder) for folder in sizes] == [[], []]
+
+
+@pytest.mark.parametrize("query", [registry.rule_cascade])
+def test_matching_sends_the_same_over_a_larger_catalogue(spark, sizes, query):
+    """The signature plan at most, once for either side: a row for every two sizes of a name."""
+    small, large = [sent(spark, query, folder) for folder in sizes]
+    assert small == large and len(small) <= 2
