@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,41 @@ def test_texts_of_blocks_are_neither_stored_nor_shuffled(spark):
     assert got == [(1, "192SU-22-4410", "Web Hoodie")] * 2 + [(2, "", "bare"), (3, "", ""), (4, "", ""), (5, "", "")]
 
 
+@pytest.mark.parametrize("grid", [1, 4])
+def test_stretches_of_lines_read_as_words_do(grid):
+    """Lines of few heights and of many, several words on one spot, blank and CJK words, areas of one key that meet; texts come some at a time."""
+    rng = random.Random(grid)
+    some = {"a": (0, 0), "bb": (0, 0), "(": (0, 1), "灰": (1, 1), "": (0, 0)}
+    places = sorted({(rng.randrange(200 * grid) / grid, rng.randrange(120 * grid) / grid) for _ in range(3000)})
+    words = [(y, x, float(round(y / 6)), t, bool(some[t][0]), bool(some[t][1])) for y, x in places for t in rng.choices(list(some), (50, 30, 3, 3, 1))]
+    boxes = []
+    for owner in range(400):
+        y, x = rng.randrange(200), rng.randrange(120)
+        for k in range(1 + owner % 3):
+            lo, left = (y + 5 * k, x + 7 * k) if owner % 2 else (rng.randrange(200), rng.randrange(120))
+            boxes.append((owner, lo + rng.choice((0, 0.25)), lo + rng.choice((1, 5, 30, 60)), left, left + rng.choice((3, 40, 200))))
+    want = {}
+    for owner in range(400):
+        spots, own = {}, [b for b in boxes if b[0] == owner]
+        for y, x, line, t, *_ in words:
+            if any(lo <= y <= hi and left <= x <= right for o, lo, hi, left, right in own):
+                at = round(y), round(x)
+                spots[at] = min((line, x, y, t), spots.get(at, (line, x, y, t)))
+        if spots:
+            out, before = "", ""
+            for *_, t in sorted(spots.values()):
+                if t:
+                    out += t if not before or some[before][1] or some[t][0] else " " + t
+                    before = t
+            want[owner] = out
+    page = pallet.Words(pa.table(dict(zip(("y", "x", "line", "folded", "opens", "closes"), map(list, zip(*words))))))
+    got = [(dict(zip(owners.tolist(), texts.to_pylist())), texts.nbytes) for owners, texts in page.read(*map(np.array, zip(*boxes)))]
+    assert {k: t for texts, _ in got for k, t in texts.items()} == want and sum(len(texts) for texts, _ in got) == len(want)
+    wide = np.zeros(3000)
+    portions = [(len(owners), texts.nbytes) for owners, texts in page.read(np.arange(3000), wide, wide + 200, wide, wide + 120)]
+    assert sum(n for n, _ in portions) == 3000 and max(size for _, size in portions) < 4 << 20 < sum(size for _, size in portions)
+
+
 def test_batches_that_cut_a_group_know_its_words(spark):
     """Keys of a group come in several batches, of which the first has the page's words."""
     w = inventory._words(spark, SF)
